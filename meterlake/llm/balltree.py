@@ -81,10 +81,10 @@ def _search_cell(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     if len(vectors) and len(queries):
         sizes = vectors["v"].map(len)
         for size, own in vectors.groupby(sizes):
-            asked = queries[queries["v"].map(len) == size]
+            asked = queries[queries["qv"].map(len) == size]
             if len(asked):
                 tree = BallTree(np.array(own["v"].tolist(), float), own["vec_id"].to_numpy(np.int64)).finish()
-                for q, v, floor in zip(asked["query_id"].tolist(), asked["v"].tolist(), asked["floor"].tolist(), strict=True):
+                for q, v, floor in zip(asked["query_id"].tolist(), asked["qv"].tolist(), asked["floor"].tolist(), strict=True):
                     out += ((q, i, s) for s, i in tree.search(np.asarray(v, float), q, k, -np.inf if floor != floor or floor is None else floor))
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     n_blocks = max(1, -(-queries.count() // query_rows))
     spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v", spread("vec_id", n_blocks).alias("block"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), spread("vec_id", n_blocks).alias("block"))
     sharded = vectors.select("vec_id", "v", spread("vec_id", n_shards).alias("shard"))
     search = lambda left, right: _search_cell(left, right, k)
 
@@ -112,11 +112,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
         return dealt.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(search, FOUND)
 
     if n_shards > 1:
-        first = cells(sharded.where("shard = 0"), asked.select("query_id", "v", "block", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("shard")))
+        first = cells(sharded.where("shard = 0"), asked.select("query_id", "qv", "block", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("shard")))
         floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
         asked = asked.join(floors, "query_id", "left")
     else:
         asked = asked.withColumn("floor", F.lit(None).cast("double"))
-    found = cells(sharded, asked.select("query_id", "v", "block", "floor", each(n_shards).alias("shard")))
+    found = cells(sharded, asked.select("query_id", "qv", "block", "floor", each(n_shards).alias("shard")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
