@@ -24,7 +24,6 @@ Without both classes in training every score is 0. Other columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -45,7 +44,7 @@ def choose_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str,
     return once.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(max_train)
 
 
-def count_words(train: DataFrame, slots: int) -> pd.DataFrame:
+def count_words(train: DataFrame, slots: int) -> DataFrame:
     """slot, c0, c1 (documents by class), near (sketch of left neighbours); one row per used slot."""
 
     def counted(batches):
@@ -67,7 +66,22 @@ def count_words(train: DataFrame, slots: int) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0, own]), pa.array(counts[1, own]), pa.array(near[own].view(np.int64))], names=["slot", "c0", "c1", "near"])
 
     rows = train.mapInArrow(counted, "slot long, c0 long, c1 long, near long")
-    return rows.groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.bit_or("near").alias("near")).toPandas()
+    return rows.groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.bit_or("near").alias("near"))
+
+
+def ratios(counts: DataFrame, discount: float, slots: int) -> np.ndarray:
+    """log p(w | toxic) - log p(w | ordinary) per slot; only used slots come to the driver, as two small columns."""
+    near = F.lit(0.5) - 64 * F.log1p(-F.least(F.bit_count("near").cast("double"), F.lit(63.5)) / 64)
+    table = counts.select("slot", "c0", "c1", near.alias("near"))
+    held = {c: F.least(F.col(c).cast("double"), F.lit(discount)) for c in ("c0", "c1")}
+    sums = table.agg(*(F.sum(c).alias(f"n{c}") for c in held), *(F.sum(x).alias(f"b{c}") for c, x in held.items()), F.sum("near").alias("near"), F.count("*").alias("used")).first()
+    total = sums["near"] + 0.5 * (slots - sums["used"])
+    back = {c: sums[f"b{c}"] / sums[f"n{c}"] for c in ("c0", "c1")}
+    p = {c: F.greatest(F.col(c) - F.lit(discount), F.lit(0.0)) / float(sums[f"n{c}"]) + back[c] * F.col("near") / total for c in ("c0", "c1")}
+    found = table.select(F.col("slot").cast("int").alias("slot"), (F.log(p["c1"]) - F.log(p["c0"])).cast("float").alias("ratio")).toArrow()
+    out = np.full(slots, np.log(back["c1"]) - np.log(back["c0"]), np.float32)
+    out[found["slot"].to_numpy()] = found["ratio"].to_numpy()
+    return out
 
 
 class Model:
@@ -112,18 +126,9 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return Model(np.zeros(slots))
     # at most max_train rows of an id, a label and a hash
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = count_words(train.select("label", "text"), slots)
-    at = found["slot"].to_numpy()
-    counts = np.zeros((2, slots))
-    counts[0, at], counts[1, at] = found["c0"], found["c1"]
-    bits = np.zeros(slots)
-    bits[at] = np.unpackbits(found["near"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1).sum(1) if len(at) else 0
-    near = -64 * np.log1p(-np.minimum(bits, 63.5) / 64) + 0.5
-    totals = counts.sum(1)
-    discount = 0.5 + np.log10(max(10, sum(seen.values())))
-    back = np.minimum(counts, discount).sum(1) / totals
-    p = np.maximum(counts - discount, 0) / totals[:, None] + back[:, None] * (near / near.sum())
-    model = Model((np.log(p[1]) - np.log(p[0])).astype(np.float32))
+    counts = cut(count_words(train.select("label", "text"), slots))
+    discount = float(0.5 + np.log10(max(10, sum(seen.values()))))
+    model = Model(ratios(counts, discount, slots))
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
@@ -132,8 +137,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x[:, i]) for i in range(3))], names=["label", "a", "b", "c"])
 
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.orderBy("place", "id").limit(fit_rows)), "id")
-    x = few.select("label", "text").mapInArrow(evidence, "label int, a double, b double, c double").toPandas()
-    model.fit(x[["a", "b", "c"]].to_numpy(), x["label"].to_numpy(float))
+    x = few.select("label", "text").mapInArrow(evidence, "label int, a double, b double, c double").toArrow()
+    model.fit(np.stack([x[c].to_numpy() for c in "abc"], 1), x["label"].to_numpy().astype(float))
     return model
 
 
