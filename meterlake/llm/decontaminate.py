@@ -115,8 +115,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, b
     n_blocks = 1 + int(total) // block_bytes
     parts = []
     for block in range(n_blocks):
-        own = (items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)).toPandas()
-        index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].tolist(), own["text"].tolist(), window, k))
+        own = (items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)).toArrow()
+        index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), window, k))
 
         def search(texts, index=index):
             found = list(index.value.search(texts))
@@ -147,4 +147,4 @@ def n_hit(col: str = "hits") -> F.Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, max_share: float = 0.0, **kw) -> DataFrame:
     """The documents, all their columns kept, of which at most max_share of the words are hit; null ids and texts stay."""
     found = find_hits(docs, items, **kw).where((F.size("hits") > 0) & (n_hit() > F.lit(max_share) * F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

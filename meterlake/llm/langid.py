@@ -161,8 +161,8 @@ def train_filter(train: DataFrame, n: int = 3, label_col: str = "lang", text_col
             at = np.flatnonzero(held)
             yield pd.DataFrame({"slot": at, "mask": held[at].view(np.int64)})
 
-        found = rows.select("gram", mask.alias("mask")).mapInPandas(placed, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-        bits[found["slot"].to_numpy()] = found["mask"].to_numpy(np.int64).view(np.uint64)
+        found = rows.select("gram", mask.alias("mask")).mapInPandas(placed, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bits[found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(labels, min(labels, key=lambda x: (-totals[x], x), default=None), bits, hashes)
 
 

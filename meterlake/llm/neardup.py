@@ -190,4 +190,4 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rounds: int
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, but for those that a smaller id of their group stands for."""
     gone = near_duplicates(docs, k, percent, rounds, id_col, text_col).where("not kept").select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
