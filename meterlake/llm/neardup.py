@@ -5,12 +5,12 @@ is cut into bins, and a bin's smallest hash is its value. Empty bins take the va
 chosen by a hash sequence of the bin's own number (optimal densification), so short sets work too.
 Documents with equal sets form a class, of which the smallest id stands for all.
 
-Bands of bin values are bucketed. Within a bucket every member gets an edge to one center only, so
-edges grow with the members, never with their square. A first round takes the smallest id as center;
-edges whose bins disagree too much are dropped, the others are confirmed on the full sets, and
-components follow. Later rounds go back to the buckets that still hold more than one component and
-take centers in other orders, one order per band, so that a link between two members which both differ
-from the first center is found too.
+Bands of bin values are bucketed. Within a bucket every member gets edges to a few centers only, so
+edges grow with the members, never with their square. A first round takes the smallest id as the one
+center; edges whose bins disagree too much are dropped, the others are confirmed on the full sets, and
+components follow. Further rounds go back to the buckets that still hold several components and take
+members of the smallest ones as centers, others in each band and round, until a round finds no new
+link: so a link between two members which both differ from the first center is found too.
 
 Components come from alternating large-star and small-star steps over links, each cut by a
 checkpoint. All joins on keys that may be hot are dealt so that adaptive execution can split them.
@@ -154,40 +154,55 @@ def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row."""
+def crowds(members: DataFrame) -> DataFrame:
+    """key, id, center of all members of buckets with several; the center is the smallest id. members: key, id."""
+    low = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("hi")).where("center < hi").select("key", "center")
+    return spread_join(members, low, ["key"])
+
+
+def further_edges(crowd: DataFrame, found: DataFrame, turn: int, per_bucket: int) -> DataFrame:
+    """src, dst between members of different components that share a bucket and one of which is a center.
+
+    Each bucket that holds several components takes up to per_bucket centers, members of small
+    components first, so that what has stayed apart is held against all of its bucket.
+    """
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    named = found.join(sizes, "component")
+    own = crowd.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = own.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    own = spread_join(own, mixed, ["key"])
+    slot = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(per_bucket))
+    best = own.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("size", F.xxhash64(F.lit(turn), "key", "id").alias("o"), F.col("id").alias("center"), F.col("part").alias("center_part"))).alias("c"))
+    edges = spread_join(own.select("key", "id", "part"), best.select("key", "c.center", "c.center_part"), ["key"]).where("part <> center_part")
+    return edges.select(F.greatest("id", "center").alias("src"), F.least("id", "center").alias("dst")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds: int = 4, per_bucket: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every row. Rounds end when one finds no new link."""
     every = cut(sketches(docs, k, id_col, text_col))
     some = every.where("id is not null and n > 0")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
-    first = cut(some.join(classes, ["s1", "s2", "n", "id"], "left_semi").select("id", "s1", "s2", "n", "bands", "bytes").dropDuplicates(["id", "s1", "s2", "n"]))
-    # rows that repeat an id with another text: the smallest digest's bands stand for the id
-    one = first.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("key"))
-    first_one = first.join(one, (first["id"] == one["id"]) & (first["s1"] == one["key.s1"]) & (first["s2"] == one["key.s2"]) & (first["n"] == one["key.n"]), "left_semi")
-    members = first_one.select("id", F.posexplode("bands").alias("band", "key"))
-    texts = docs
-    links = None
-    found = None
-    for turn in range(rounds):
-        if turn == 0:
-            own = members.withColumn("part", F.col("id"))
-            order = F.col("id")
-        else:
-            own = members.join(found.toDF("id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-            order = F.xxhash64(F.lit(turn), "band", "id")
-        centers = own.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("center"), F.col("part").alias("center_part"))).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        centers = centers.where("lo < hi").select("key", "c.center", "c.center_part")
-        edges = spread_join(own.select("key", "id", "part"), centers, ["key"]).where("part <> center_part")
-        edges = edges.select(F.greatest("id", "center").alias("src"), F.least("id", "center").alias("dst")).distinct()
-        new = confirmed(likely(edges, first_one, max(0.0, percent / 100 - 0.25)), texts, k, percent, id_col, text_col)
-        links = cut(new if links is None else links.unionByName(new))
-        found = components(links)
+    first = some.join(classes, ["s1", "s2", "n", "id"], "left_semi").select("id", "s1", "s2", "n", "bands", "bytes").dropDuplicates(["id", "s1", "s2", "n"])
+    # an id that stands on rows with different texts goes by the smallest digest
+    first = cut(first.groupBy("id").agg(F.min_by("bands", F.struct("s1", "s2", "n")).alias("bands"), F.min_by("bytes", F.struct("s1", "s2", "n")).alias("bytes")))
+    crowd = cut(crowds(first.select("id", F.explode("bands").alias("key"))))
+    edges = crowd.where("id <> center").select(F.col("id").alias("src"), F.col("center").alias("dst")).distinct()
+    links = found = None
+    for turn in range(max_rounds):
+        if turn:
+            edges = further_edges(crowd, found, turn, per_bucket)
+        new = cut(confirmed(likely(edges, first, max(0.0, percent / 100 - 0.3)), docs, k, percent, id_col, text_col))
+        if turn and new.isEmpty():
+            break
+        links = new if links is None else found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(new)
+        found = cut(components(links))
     named = classes.join(found.withColumnRenamed("component", "c"), "id", "left").select("s1", "s2", "n", F.coalesce("c", "id").alias("component_id"))
     own = spread_join(every.select("id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "left")
     result = own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, but for those that a smaller id of their group stands for."""
-    gone = near_duplicates(docs, k, percent, rounds, id_col, text_col).where("not kept").select(F.col(id_col)).distinct()
+    gone = near_duplicates(docs, k, percent, max_rounds, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
