@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 def score_windows(packed: DataFrame, model: Callable, x: str = "x", s1: float = 0.0, s2: float = 1.0, threshold: float = 0.0) -> DataFrame:
     """house, win, step, pred: model gets a batch of scaled windows (n, W) and returns as many values; small ones become 0."""
-    shared = packed.sparkSession.sparkContext.broadcast(model)
-
     def scored(frames):
         import numpy as np
 
         for frame in frames:
             if len(frame):
-                made = np.asarray(shared.value((np.stack(frame[x].to_numpy()) - s1) / s2)) * s2 + s1
+                made = np.asarray(model((np.stack(frame[x].to_numpy()) - s1) / s2)) * s2 + s1
                 made = np.where(made < threshold, 0.0, made)
                 n, size = made.shape
                 yield pd.DataFrame({"house": np.repeat(frame["house"].to_numpy(), size), "win": np.repeat(frame["win"].to_numpy(), size), "step": np.tile(np.arange(size), n), "pred": made.ravel()})
