@@ -1,13 +1,17 @@
 """Repeated and nearly repeated lines by a segment-partition edit join.
 
 Lines are normalised (lower case, white space collapsed); those of at least `min_chars` characters
-take part. Equal lines are one class, whose first place is its smallest (document, line number).
-Each class of length L is cut into threshold + 1 segments, indexed by (L, segment number, segment). A
-class probes the segments of its own and of the up to `threshold` shorter lengths with the substrings
-at the few offsets an alignment within the threshold allows. Two lines within the threshold must
-share a segment. A pair that shares one must also agree in a 64-bit parity sketch of its letter
-pairs up to 4 bits per edit, a test which never loses a pair within the threshold and is made inside
-the join; what passes is verified by a banded bit-parallel edit distance.
+take part and are known by a 64-bit hash. Equal lines are one class, whose first place is its smallest
+(document, line number). Each class of length L is cut into threshold + 1 segments, indexed by (L,
+segment number, segment). A class probes the segments of its own and of the up to `threshold`
+shorter lengths with the substrings at the few offsets an alignment within the threshold allows. Two
+lines within the threshold must share a segment. A pair that shares one must also agree in a 64-bit
+parity sketch of its letter pairs up to 4 bits per edit, a test which never loses a pair within the
+threshold and is made inside the join. What passes is verified on the texts by a banded bit-parallel
+edit distance.
+
+Only hashes are shuffled, and the texts of candidate lines: a Bloom filter of the candidates, of a
+fixed size, keeps the other lines from it. All hashing runs on blocks of many lines at once.
 
 A class is removed if a class within the threshold has an earlier first place; of the other classes
 the first place is kept.
@@ -19,85 +23,164 @@ have equal numbers. Other columns are kept by remove_lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, spread_join
+from meterlake.llm.tasks import cut, small_side, spread_join
+
+#: Bits of the filter of candidate lines.
+FILTER_BITS = 1 << 24
+#: Characters that one block holds at most, but for a single longer line.
+BLOCK_CHARS = 1 << 19
+
+
+def normal_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
+    """(line number, normalised line) of the lines that take part."""
+    if not isinstance(text, str):
+        return []
+    lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars)
+    return [(i, line) for i, line in lines if len(line) >= min_chars]
+
+
+class Lines:
+    """Some lines as one array of code points with the prefix sums that hash any substring."""
 
+    def __init__(self, lines: list[str]):
+        self.codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.sums = W.prefix((self.codes + np.uint64(1)) * W.powers(W._BASE, len(self.codes)))
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    def hashes(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return W.mix((self.sums[at + size] - self.sums[at]) * W.powers(W._BASE_INV, len(self.codes) + 1)[at])
 
+    def ids(self) -> np.ndarray:
+        return W.mix(self.hashes(self.starts, self.sizes) + self.sizes.astype(np.uint64))
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no, line: the normalised lines that take part."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw")).where("doc_id is not null")
-    return rows.select("doc_id", "line_no", normal(F.col("raw")).alias("line")).where(F.char_length("line") >= min_chars)
+    def parity(self) -> np.ndarray:
+        """Per line the XOR of one bit per pair of neighbouring characters; one edit flips at most 4 bits."""
+        bits = np.uint64(1) << (W.mix(self.codes[:-1] * np.uint64(0x110000) + self.codes[1:]) >> np.uint64(58))
+        all_before = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, np.uint64)
+        return all_before[self.starts + self.sizes - 1] ^ all_before[self.starts]
 
 
-def segments(length: int, parts: int) -> list[tuple[int, int]]:
-    """(start, size) of even segments; the longer ones come last."""
-    small, more = divmod(length, parts)
-    out, at = [], 0
-    for i in range(parts):
-        size = small + (i >= parts - more)
-        out.append((at, size))
-        at += size
-    return out
+def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment i of lines of these lengths; the longer segments come last."""
+    small, more = length // parts, length % parts
+    return i * small + np.maximum(0, i - (parts - more)), small + (i >= parts - more)
 
 
-def probe_places(length: int, other: int, threshold: int) -> list[tuple[int, int, int]]:
-    """(segment number, start, size) of the substrings of a line of this length to look up among lines of the other, shorter length."""
-    delta, out = length - other, []
-    for i, (p, size) in enumerate(segments(other, threshold + 1)):
-        lo = max(0, p - i, p + delta - (threshold - i))
-        hi = min(length - size, p + i, p + delta + (threshold - i))
-        out += [(i, at, size) for at in range(lo, hi + 1)]
-    return out
+def probe_offsets(threshold: int) -> list[tuple[int, int, int]]:
+    """(characters longer, segment number, offset from the segment's start) of all substrings to look up."""
+    return [(d, i, off) for d in range(threshold + 1) for i in range(threshold + 1) for off in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)]
 
 
-def parity(codes: np.ndarray) -> int:
-    """XOR of one bit per pair of neighbouring characters; one edit flips at most 4 bits."""
-    pairs = W.mix(codes[:-1] * np.uint64(0x110000) + codes[1:]) >> np.uint64(58)
-    return int(np.bitwise_xor.reduce(np.uint64(1) << pairs)) if len(pairs) else 0
+def keys_of(lines: Lines, threshold: int, indexed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line numbers, keys) of the indexed segments, or of the probes."""
+    parts = threshold + 1
+    for d, i, off in [(0, i, 0) for i in range(parts)] if indexed else probe_offsets(threshold):
+        other = lines.sizes - d
+        start, size = segment(other, i, parts)
+        at = start + off
+        good = np.flatnonzero((other >= parts) & (at >= 0) & (at + size <= lines.sizes))
+        salt = (other[good] * 16 + i).astype(np.uint64)
+        yield good, W.mix(lines.hashes(lines.starts[good] + at[good], size[good]) + salt)
 
 
-_ROLL, _ROLL_INV = W._BASE, W._BASE_INV
+def blocks_of(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], Lines]]:
+    """(ids of documents, line numbers, lines, arrays) by blocks of a batch of (doc_id, text)."""
+    docs, numbers, lines, held = [], [], [], 0
+    for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for i, line in normal_lines(text, min_chars):
+            docs.append(doc)
+            numbers.append(i)
+            lines.append(line)
+            held += len(line)
+            if held >= BLOCK_CHARS:
+                yield np.array(docs, np.int64), np.array(numbers, np.int32), lines, Lines(lines)
+                docs, numbers, lines, held = [], [], [], 0
+    if lines:
+        yield np.array(docs, np.int64), np.array(numbers, np.int32), lines, Lines(lines)
 
 
-def segment_rows(lines: DataFrame, threshold: int) -> DataFrame:
-    """key, id, sketch, indexed: a row per indexed segment and per probe; id is the line's hash."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
-    def made(batches):
-        plans: dict[int, tuple[np.ndarray, ...]] = {}
+
+def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, line_no, id of every line that takes part."""
+
+    def found(batches):
         for batch in batches:
-            ids, keys, sketches, roles, sizes = [], [], [], [], []
-            for line in batch["line"].to_pylist():
-                n = len(line)
-                if n not in plans:
-                    if len(plans) > 5000:
-                        plans.clear()
-                    own = [(n, i, at, size, 1) for i, (at, size) in enumerate(segments(n, threshold + 1))]
-                    own += [(m, i, at, size, 0) for m in range(max(threshold + 1, n - threshold), n + 1) for i, at, size in probe_places(n, m, threshold)]
-                    m, i, at, size, role = np.array(own, np.int64).T
-                    plans[n] = at, at + size, (m * 16 + i).astype(np.uint64), role.astype(bool)
-                at, end, salt, role = plans[n]
-                codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                sums = W.prefix((codes + np.uint64(1)) * W.powers(_ROLL, n))
-                keys.append(W.mix(W.mix((sums[end] - sums[at]) * W.powers(_ROLL_INV, n)[at]) + salt))
-                sketches.append(parity(codes))
-                roles.append(role)
-                sizes.append(len(at))
-            if keys:
-                repeat = np.array(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(), repeat)), pa.array(np.repeat(np.array(sketches, np.uint64).view(np.int64), repeat)), pa.array(np.concatenate(roles))],
-                    names=["key", "id", "sketch", "indexed"],
-                )
-
-    return lines.select("id", "line").mapInArrow(made, "key long, id long, sketch long, indexed boolean")
+            for doc, number, _, lines in blocks_of(batch, min_chars):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(lines.ids().view(np.int64))], names=["doc_id", "line_no", "id"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(found, "doc_id long, line_no int, id long")
+
+
+def segment_rows(docs: DataFrame, threshold: int, min_chars: int, indexed: bool, id_col: str, text_col: str) -> DataFrame:
+    """key, id, sketch: the indexed segments, or the probes, of all lines; repeats within a block are left out."""
+
+    def found(batches):
+        for batch in batches:
+            for _, _, texts, _ in blocks_of(batch, min_chars):
+                lines = Lines(sorted(set(texts)))
+                ids, sketch = lines.ids().view(np.int64), lines.parity().view(np.int64)
+                for own, keys in keys_of(lines, threshold, indexed):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own]), pa.array(sketch[own])], names=["key", "id", "sketch"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(found, "key long, id long, sketch long")
+
+
+def candidates(docs: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """a, b: pairs of lines that share a segment and whose sketches allow the threshold; each pair once."""
+    # dealt by key once: there a line that stands in many blocks is kept once, and the join needs no other exchange
+    once = lambda indexed: segment_rows(docs, threshold, min_chars, indexed, id_col, text_col).repartition("key").dropDuplicates(["key", "id"])
+    index, probe = once(True).toDF("key", "b", "sketch_b"), once(False).toDF("key", "a", "sketch_a")
+    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 4 * threshold
+    pairs = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidate_lines(docs: DataFrame, pairs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """id, line of the lines that stand in pairs, and of few others."""
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(FILTER_BITS)).alias("slot"))
+    one = slots.selectExpr("slot div 64 as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
+    made = one.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words[made["word"].to_numpy()] = made["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def found(batches):
+        held = shared.value
+        for batch in batches:
+            for _, _, texts, lines in blocks_of(batch, min_chars):
+                ids = lines.ids()
+                at = ids.view(np.int64) % FILTER_BITS
+                good = np.flatnonzero((held[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
+                good = good[np.unique(ids[good], return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[good].view(np.int64)), pa.array([texts[i] for i in good], pa.string())], names=["id", "line"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(found, "id long, line string").groupBy("id").agg(F.min("line").alias("line"))
+
+
+def links(docs: DataFrame, threshold: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, distance: pairs of different lines (hashes) within the threshold, each once."""
+    pairs = cut(candidates(docs, threshold, min_chars, id_col, text_col))
+    text = cut(candidate_lines(docs, pairs, min_chars, id_col, text_col))
+    both = spread_join(spread_join(pairs, text.toDF("a", "line_a"), ["a"]), text.toDF("b", "line_b"), ["b"])
+
+    def verified(batches):
+        for batch in batches:
+            found = [within(x, y, threshold) for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.int32())], names=["a", "b", "distance"])
+            yield out.filter(pa.array([d <= threshold for d in found], pa.bool_()))
+
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(verified, "a long, b long, distance int")
 
 
 def within(a: str, b: str, threshold: int) -> int:
@@ -144,54 +227,29 @@ def within(a: str, b: str, threshold: int) -> int:
     return next((e for e in range(threshold + 1) if reach[e] & goal), threshold + 1)
 
 
-def line_classes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """id (hash of the line), line, first (document and line number of its first place), n: one row per distinct line."""
-    every = lines_of(docs, id_col, text_col, min_chars)
-    one = every.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    return one.select(F.xxhash64("line").alias("id"), "line", "first", "n")
-
-
-def links(classes: DataFrame, threshold: int) -> DataFrame:
-    """a, b, distance: pairs of different classes (ids) within the threshold, each once; a is not shorter than b."""
-    rows = segment_rows(classes, threshold)
-    index = rows.where("indexed").select("key", F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    probe = rows.where("not indexed").select("key", F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 4 * threshold
-    pairs = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    text = classes.select("id", "line")
-    both = pairs.join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b")
-
-    def verified(batches):
-        for batch in batches:
-            found = [within(x, y, threshold) for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.int32())], names=["a", "b", "distance"])
-            yield out.filter(pa.array([d <= threshold for d in found], pa.bool_()))
-
-    found = both.select("a", "b", "line_a", "line_b").mapInArrow(verified, "a long, b long, distance int")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("distance").alias("distance"))
-
-
 def line_marks(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line_no, removed, n_links, first_doc_id: every line that is removed or has links to different lines.
 
     first_doc_id: where the line, or the earliest line within the threshold, stands first.
     """
-    classes = line_classes(docs, min_chars, id_col, text_col)
-    found = cut(links(classes, threshold))
+    every = cut(occurrences(docs, min_chars, id_col, text_col))
+    classes = every.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    found = cut(links(docs, threshold, min_chars, id_col, text_col))
     both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = classes.select("id", "first", "n")
-    ends = both.join(firsts.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("other")).withColumnRenamed("a", "id")
-    marked = firsts.join(ends, "id", "left").where("n > 1 or n_links is not null")
-    marked = marked.select("id", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", "other").alias("earliest"))
-    lines = lines_of(docs, id_col, text_col, min_chars).select("doc_id", "line_no", F.xxhash64("line").alias("id"))
-    own = spread_join(lines, marked, ["id"])
+    ends = both.join(classes.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("other")).withColumnRenamed("a", "id")
+    marked = classes.join(ends, "id", "left").where("n > 1 or n_links is not null")
+    marked = marked.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", "other").alias("earliest"))
+    own = spread_join(every, marked, ["id"])
     here = F.struct("doc_id", "line_no")
     return own.select("doc_id", "line_no", (here > F.col("earliest")).alias("removed"), "n_links", F.col("earliest.doc_id").alias("first_doc_id")).where("removed or n_links > 0")
 
 
 def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_lines (that take part), n_removed, n_links, first_doc_ids (sorted ids where removed lines stand first)."""
-    size = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.char_length(normal(x)) >= min_chars))
+    """Per document: doc_id, n_lines, n_removed, n_links, first_doc_ids (sorted ids where removed lines stand first).
+
+    n_lines counts the lines that are no shorter than min_chars as they stand.
+    """
+    size = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.char_length(x) >= min_chars))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.when(F.col(text_col).isNotNull(), size), F.lit(0)).cast("long").alias("n_lines"))
     marks = line_marks(docs, threshold, min_chars, id_col, text_col)
     per = marks.groupBy("doc_id").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc_id")))).alias("first_doc_ids"))
@@ -202,6 +260,7 @@ def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_
 def remove_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the removed lines in their texts; all rows and columns stay."""
     gone = line_marks(docs, threshold, min_chars, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    both = docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left")
+    gone = small_side(gone.withColumnRenamed("doc_id", id_col), F.size("__gone") + 1)
+    both = docs.join(gone, id_col, "left")
     parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i))
     return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))).select(*docs.columns)

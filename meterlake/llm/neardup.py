@@ -9,8 +9,8 @@ Bands of bin values are bucketed. Within a bucket every member gets edges to a f
 edges grow with the members, never with their square. A first round takes the smallest id as the one
 center; edges whose bins disagree too much are dropped, the others are confirmed on the full sets, and
 components follow. Further rounds go back to the buckets that still hold several components and take
-members of the smallest ones as centers, others in each band and round, until a round finds no new
-link: so a link between two members which both differ from the first center is found too.
+others as centers, members of small components among them, others in each band and round, until one
+finds no new link: so a link between two members which both differ from the first center is found too.
 
 Components come from alternating large-star and small-star steps over links, each cut by a
 checkpoint. All joins on keys that may be hot are dealt so that adaptive execution can split them.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, spread_join
+from meterlake.llm.tasks import cut, small_side, spread_join
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
@@ -102,19 +102,23 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(made, "id long, n long, s1 long, s2 long, bands array<long>, bytes binary")
 
 
-def likely(edges: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Edges whose bins agree in at least a share of least."""
-    own = classes.select("id", "bytes")
-    both = spread_join(edges, own.toDF("src", "a"), ["src"])
-    both = spread_join(both, own.toDF("dst", "b"), ["dst"])
+def likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Edges whose bins agree as often as the similarity asks for, less four standard deviations of that share."""
+    share = percent / 100
+    own = classes.select("id", "bytes", "n")
+    both = spread_join(edges, own.toDF("src", "a", "n_a"), ["src"])
+    both = spread_join(both, own.toDF("dst", "b", "n_b"), ["dst"])
+    # sizes alone rule out what differs too much
+    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def kept(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in "ab")
-                yield batch.filter(pa.array((a == b).mean(1) >= least)).select(["src", "dst"])
+                apart = 4 * np.sqrt(share * (1 - share) / np.minimum(batch["n_a"].to_numpy(), BINS))
+                yield batch.filter(pa.array((a == b).mean(1) >= share - apart)).select(["src", "dst"])
 
-    return both.select("src", "dst", "a", "b").mapInArrow(kept, "src long, dst long")
+    return both.select("src", "dst", "a", "b", "n_a").mapInArrow(kept, "src long, dst long")
 
 
 def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -134,11 +138,19 @@ def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     return both.select("src", "dst", "a", "b").mapInArrow(kept, "src long, dst long").distinct()
 
 
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Does each u stand once, and never as a v?"""
+    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
     """id, component (smallest id reachable) of all ids that stand in links (src, dst)."""
     edges = cut(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    digest = None
     for _ in range(max_steps):
+        if is_forest_of_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = spread_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -146,10 +158,8 @@ def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
         joined = spread_join(large, low, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == digest:
-            break
-        digest = now
+    else:
+        raise RuntimeError("components did not settle")
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
@@ -160,39 +170,38 @@ def crowds(members: DataFrame) -> DataFrame:
     return spread_join(members, low, ["key"])
 
 
-def further_edges(crowd: DataFrame, found: DataFrame, turn: int, per_bucket: int) -> DataFrame:
+def further_edges(crowd: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     """src, dst between members of different components that share a bucket and one of which is a center.
 
-    Each bucket that holds several components takes up to per_bucket centers, members of small
-    components first, so that what has stayed apart is held against all of its bucket.
+    Each bucket that still holds several components takes two centers: a member of a small component,
+    which has stayed apart so far, and any member; others in each band and round.
     """
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
     named = found.join(sizes, "component")
-    own = crowd.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), F.coalesce("size", F.lit(1)).alias("size"))
-    mixed = own.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    own = spread_join(own, mixed, ["key"])
-    slot = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(per_bucket))
-    best = own.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("size", F.xxhash64(F.lit(turn), "key", "id").alias("o"), F.col("id").alias("center"), F.col("part").alias("center_part"))).alias("c"))
-    edges = spread_join(own.select("key", "id", "part"), best.select("key", "c.center", "c.center_part"), ["key"]).where("part <> center_part")
+    own = crowd.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    first = lambda size: F.min(F.struct(size.alias("size"), F.xxhash64(F.lit(turn), "key", "id").alias("o"), F.col("id").alias("center"), F.col("part").alias("center_part")))
+    best = own.groupBy("key").agg(F.array(first(F.col("size")), first(F.lit(0).cast("long"))).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    both = spread_join(own.select("key", "id", "part"), best.select("key", "c"), ["key"]).select("id", "part", F.explode("c").alias("c"))
+    edges = both.select("id", "part", "c.center", "c.center_part").where("part <> center_part")
     return edges.select(F.greatest("id", "center").alias("src"), F.least("id", "center").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds: int = 4, per_bucket: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row. Rounds end when one finds no new link."""
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every row. Rounds end when the third or a later one finds no new link."""
     every = cut(sketches(docs, k, id_col, text_col))
     some = every.where("id is not null and n > 0")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
     first = some.join(classes, ["s1", "s2", "n", "id"], "left_semi").select("id", "s1", "s2", "n", "bands", "bytes").dropDuplicates(["id", "s1", "s2", "n"])
     # an id that stands on rows with different texts goes by the smallest digest
-    first = cut(first.groupBy("id").agg(F.min_by("bands", F.struct("s1", "s2", "n")).alias("bands"), F.min_by("bytes", F.struct("s1", "s2", "n")).alias("bytes")))
+    first = cut(first.groupBy("id").agg(F.min_by("bands", F.struct("s1", "s2", "n")).alias("bands"), F.min_by("bytes", F.struct("s1", "s2", "n")).alias("bytes"), F.min(F.struct("s1", "s2", "n"))["n"].alias("n")))
     crowd = cut(crowds(first.select("id", F.explode("bands").alias("key"))))
     edges = crowd.where("id <> center").select(F.col("id").alias("src"), F.col("center").alias("dst")).distinct()
     links = found = None
     for turn in range(max_rounds):
         if turn:
-            edges = further_edges(crowd, found, turn, per_bucket)
-        new = cut(confirmed(likely(edges, first, max(0.0, percent / 100 - 0.3)), docs, k, percent, id_col, text_col))
-        if turn and new.isEmpty():
+            edges = further_edges(crowd, found, turn)
+        new = cut(confirmed(likely(edges, first, percent), docs, k, percent, id_col, text_col))
+        if turn > 1 and new.isEmpty():
             break
         links = new if links is None else found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(new)
         found = cut(components(links))
@@ -205,4 +214,5 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds:
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, but for those that a smaller id of their group stands for."""
     gone = near_duplicates(docs, k, percent, max_rounds, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col)).distinct()
+    gone = small_side(gone)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

@@ -42,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, size: Column | None = None, most: int = 1_000_000) -> DataFrame:
+    """df, cut; marked for broadcast if its rows, or the sum of size over them, are counted to be at most `most`."""
+    df = cut(df)
+    n = df.agg(F.count("*") if size is None else F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if n <= most else df
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join that adaptive execution can split at hot keys.
 

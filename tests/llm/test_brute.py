@@ -109,10 +109,10 @@ def test_line_links(spark):
     base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(30, 60))).strip().ljust(30, "a") for _ in range(40)]
     lines = base + [edited(rng, b, rng.randint(1, 4)) for b in base for _ in range(3)]
     d = spark.createDataFrame([(i, "\n".join(lines[i::10])) for i in range(10)], "doc_id long, text string")
-    classes = linedup.line_classes(d, 30, "doc_id", "text")
-    names = {r["id"]: r["line"] for r in classes.collect()}
-    found = {(frozenset((names[r["a"]], names[r["b"]])), r["distance"]) for r in linedup.links(classes, 2).collect()}
-    distinct = sorted(names.values())
+    lines = [" ".join(x.split()) for x in lines]
+    names = dict(zip(linedup.Lines(lines).ids().view(np.int64).tolist(), lines, strict=True))
+    found = {(frozenset((names[r["a"]], names[r["b"]])), r["distance"]) for r in linedup.links(d, 2, 30).collect()}
+    distinct = sorted(x for x in names.values() if len(x) >= 30)
     expect = {(frozenset((a, b)), distance(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
     assert found == expect and expect
 
