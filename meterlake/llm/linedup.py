@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, small_side, spread_join
+from meterlake.llm.tasks import cut, parts, small_side, spread_join
 
 #: Bits of the filter of candidate lines.
 FILTER_BITS = 1 << 24
 #: Characters that one block holds at most, but for a single longer line.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 
 
 def normal_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
@@ -115,7 +115,7 @@ def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
     """doc_id, line_no, id of every line that takes part."""
 
     def found(batches):
-        for batch in batches:
+        for batch in parts(batches):
             for doc, number, _, lines in blocks_of(batch, min_chars):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(lines.ids().view(np.int64))], names=["doc_id", "line_no", "id"])
 
@@ -126,7 +126,7 @@ def segment_rows(docs: DataFrame, threshold: int, min_chars: int, indexed: bool,
     """key, id, sketch: the indexed segments, or the probes, of all lines; repeats within a block are left out."""
 
     def found(batches):
-        for batch in batches:
+        for batch in parts(batches):
             for _, _, texts, _ in blocks_of(batch, min_chars):
                 lines = Lines(sorted(set(texts)))
                 ids, sketch = lines.ids().view(np.int64), lines.parity().view(np.int64)
@@ -157,7 +157,7 @@ def candidate_lines(docs: DataFrame, pairs: DataFrame, min_chars: int, id_col: s
 
     def found(batches):
         held = shared.value
-        for batch in batches:
+        for batch in parts(batches):
             for _, _, texts, lines in blocks_of(batch, min_chars):
                 ids = lines.ids()
                 at = ids.view(np.int64) % FILTER_BITS

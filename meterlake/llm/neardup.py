@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, small_side, spread_join
+from meterlake.llm.tasks import cut, parts, small_side, spread_join
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, s1, s2 (digest of the set), bands, bytes (one per bin) of every row."""
 
     def made(batches):
-        for batch in batches:
+        for batch in parts(batches):
             n, s1, s2, bands, small = [], [], [], [], []
             for s in shingle_sets(batch["text"].to_pylist(), k):
                 n.append(len(s))
@@ -128,7 +128,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     both = spread_join(both, texts.toDF("dst", "b"), ["dst"])
 
     def kept(batches):
-        for batch in batches:
+        for batch in parts(batches):
             good = []
             for a, b in zip(shingle_sets(batch["a"].to_pylist(), k), shingle_sets(batch["b"].to_pylist(), k), strict=True):
                 same = len(np.intersect1d(a, b, assume_unique=True))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import spread_join
+from meterlake.llm.tasks import parts, spread_join
 
 UNITS = "doc_id long, digest long, start long, stop long, first_word long, n_words long"
 
@@ -55,7 +55,7 @@ def units(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_co
     """doc_id, digest, start, stop, first_word, n_words: every unit of every document."""
 
     def found(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for text, *columns in text_units(batch["text"].to_pylist(), unit_words):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[text]), *map(pa.array, columns)], names=["doc_id", "digest", "start", "stop", "first_word", "n_words"])

@@ -10,6 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+def parts(batches, rows: int = 500):
+    """The batches in slices of few rows, so that a worker holds the texts of one slice as Python objects only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, search: Callable[[list], dict], types: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     """The id column as it is, and the columns that search makes of each batch's texts.
 
@@ -17,7 +24,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, search: Callable[[lis
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             made = search(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(made[c], t) for c, (_, t) in types.items())], names=[id_col, *types])
 
@@ -68,7 +75,7 @@ def filter_texts(docs: DataFrame, text_col: str, keep: Callable[[list], list]) -
     """The rows, with all columns, whose text keep marks true; keep gets each batch's texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(keep(batch[text_col].to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, filter_texts, map_texts
+from meterlake.llm.tasks import cut, filter_texts, map_texts, parts
 
 
 def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
@@ -49,7 +49,7 @@ def count_words(train: DataFrame, slots: int) -> DataFrame:
 
     def counted(batches):
         counts, near = np.zeros((2, slots), np.int64), np.zeros(slots, np.uint64)
-        for batch in batches:
+        for batch in parts(batches):
             labels = np.array(batch["label"].to_pylist())
             for b in W.blocks(batch["text"].to_pylist(), W.ALNUM):
                 at, sizes = slots_of(b.hashes, slots), np.diff(b.bounds)
@@ -132,7 +132,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
-        for batch in batches:
+        for batch in parts(batches):
             x = shared.value.evidence(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x[:, i]) for i in range(3))], names=["label", "a", "b", "c"])
 

@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Bytes of text that one numpy block holds at most, but for a single longer text.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
