@@ -4,13 +4,15 @@ Units are normalised to lower-case words and hashed, digests are grouped over al
 earliest occurrence (smallest document id, then place) is kept, and every other one is removed;
 its offsets in the original text are retained.
 
-A unit is a whole line of at least `unit_words` words. A passage that stands within lines, between
-other words, has no line of its own, so runs of `unit_words` words are units too, wherever the
-hash of one is smallest among the next `unit_words` + 1: such places depend on the words alone, so
-that any 2 * unit_words words which two documents share hold a unit at the same place. With the
-default 25, every shared passage of 50 words or more is found, and nothing shorter than 25 words is.
-
-Defined results: null and empty texts have no units; rows with a null id take no part, and stay as
+A unit is a whole line, however short, or a paragraph: lines that no line without words parts. Both
+go by their words alone, so a paragraph is found in another wrapping too. A passage that stands
+within lines, between other words, has no line of its own, so runs of `unit_words` words are units
+too, wherever the hash of one is smallest among the next `unit_words` + 1: such places depend on the
+words alone, so that any 2 * unit_words words which two documents share hold a unit at the same
+place. With the default 25, every shared passage of 50 words or more is found, and within lines
+nothing shorter than 25 words is.
+
+Defined results: null and empty texts, and lines without words, have no units; rows with a null id take no part, and stay as
 they are in remove_repeats. Within one document, later repeats that
 do not overlap the kept one are removed too. Rows that
 repeat an id count as one document; each is cut at its own units. Other columns are kept by
@@ -41,8 +43,12 @@ def text_units(texts: list[str | None], unit_words: int):
         line = np.searchsorted(breaks, b.starts)
         first = np.flatnonzero(np.diff(line, prepend=-1))
         last = np.append(first[1:], len(line))
-        long = last - first >= unit_words
-        first, last = first[long], last[long]
+        # paragraphs of several lines; a paragraph of one line is that line
+        apart = (np.diff(line[first]) > 1) | np.isin(first[1:], b.bounds)
+        lead = np.flatnonzero(np.concatenate([[True], apart]))
+        end = np.append(lead[1:], len(first))
+        several = end - lead > 1
+        first, last = np.concatenate([first, first[lead[several]]]), np.concatenate([last, last[end[several] - 1]])
         whole = W.mix((sums[last] - sums[first]) * W.powers(W._GRAM_INV, len(sums))[first] + (last - first).astype(np.uint64))
         at, digest, size = np.concatenate([at, first]), np.concatenate([digest, whole]), np.concatenate([size, last - first])
         text = np.searchsorted(b.bounds, at, "right") - 1

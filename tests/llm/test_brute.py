@@ -183,6 +183,13 @@ def test_repeated_lines(spark):
     assert kept == {1: f"a b\n{line}\nc", 2: "\nother"}
 
 
+def test_short_lines_and_paragraphs(spark):
+    data = [(1, "one two three\nalone\n\nnot here"), (2, "x y\nOne two, three!\nz\nalone"), (3, "k\n\none two\nthree alone\n\nlast")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(d).collect()}
+    assert kept == {1: data[0][1], 2: "x y\n!\nz\n", 3: "k\n\n\n\nlast"}
+
+
 def test_balltree_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), (rng.integers(-3, 4, 6) / 4).tolist()) for i in range(400)]
