@@ -12,6 +12,10 @@ words alone, so that any 2 * unit_words words which two documents share hold a u
 place. With the default 25, every shared passage of 50 words or more is found, and within lines
 nothing shorter than 25 words is.
 
+The ends of a passage may lie up to `unit_words` words beyond its outermost unit, and a word between
+two units may be in neither. So each unit of at least `unit_words` words next to words that no such
+unit covers is extended over them, as far as they equal the words beside the kept occurrence.
+
 Defined results: null and empty texts, and lines without words, have no units; rows with a null id take no part, and stay as
 they are in remove_repeats. Within one document, later repeats that
 do not overlap the kept one are removed too. Rows that
@@ -23,10 +27,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import parts, spread_join
+from meterlake.llm.tasks import cut, parts, spread_join
 
 UNITS = "doc_id long, digest long, start long, stop long, first_word long, n_words long"
 
@@ -76,21 +80,102 @@ def repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_
     Units that touch or overlap are one passage; first_doc_id is the smallest document that keeps one of them.
     """
     every = units(docs, unit_words, id_col, text_col)
-    keep = every.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    keep = every.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop", "first_word")).alias("keep"), F.count("*").alias("n")).where("n > 1")
     again = spread_join(every, keep, ["digest"]).where("doc_id <> keep.doc_id or start >= keep.stop")
-    again = again.groupBy("doc_id", "start", "stop", "first_word", "n_words").agg(F.min("keep.doc_id").alias("keep_id"))
-    spans = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "stop", "keep_id"))).alias("spans"))
+    again = cut(again.groupBy("doc_id", "start", "stop", "first_word", "n_words").agg(F.min(F.struct("keep.doc_id", "keep.first_word", "digest")).alias("keep")))
+    found = again.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "stop", F.col("keep.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("units"))
+    found = found.unionByName(extensions(again, docs, unit_words, id_col, text_col))
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "start", "stop", "keep_id", "units"))).alias("spans"))
     return spans.select("doc_id", F.explode(joined("spans")).alias("p")).select("doc_id", "p.*")
 
 
+def edges(again: DataFrame, unit_words: int) -> DataFrame:
+    """doc_id, first_word, n_words, keep, side (-1 or 1): repeated units beside words that no unit of unit_words covers."""
+    w = Window.partitionBy("doc_id").orderBy("first_word", "n_words")
+    end = F.col("first_word") + F.col("n_words")
+    before = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = F.coalesce(F.lead("first_word").over(w) > end, F.lit(True))
+    sides = F.array(F.when(before < F.col("first_word"), -1), F.when(after & (before <= end), 1))
+    long = again.where(F.col("n_words") >= unit_words).withColumn("sides", sides)
+    return long.select("doc_id", "first_word", "n_words", "keep", F.explode(F.array_compact("sides")).alias("side"))
+
+
+def beside(docs: DataFrame, places: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """The places with words (hashes of up to `most` words beyond the unit on its side, outwards), and at and bounds.
+
+    places: doc_id, first_word, n_words, digest, side, keep_id, keep_first. at is where the unit ends on that side,
+    bounds where each of the words does, in code points; both for places with a keep_id only.
+    """
+    names = ["first_word", "n_words", "digest", "side", "keep_id", "keep_first"]
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("places"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    kinds = {"doc_id": pa.int64(), "first_word": pa.int64(), "n_words": pa.int64(), "digest": pa.int64(), "side": pa.int32(), "keep_id": pa.int64(), "keep_first": pa.int64(), "words": pa.binary(), "at": pa.int64(), "bounds": pa.binary()}
+
+    def found(batches):
+        for batch in parts(batches):
+            ids, asked, out = batch["doc_id"].to_pylist(), batch["places"].to_pylist(), []
+            for b in W.blocks(batch["text"].to_pylist(), W.ALNUM):
+                sums, inverse = W.gram_sums(b.hashes), W.powers(W._GRAM_INV, len(b.hashes) + 1)
+                points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
+                for i, (lo, hi, origin) in enumerate(zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist(), points[b.text_starts].tolist(), strict=True)):
+                    for x in asked[b.first + i]:
+                        first, n = lo + x["first_word"], x["n_words"]
+                        if first + n > hi:
+                            continue
+                        # rows that repeat an id may hold other texts
+                        raw = (sums[first + n : first + n + 1] - sums[first : first + 1]) * inverse[first : first + 1]
+                        if x["digest"] not in np.concatenate([W.mix(raw), W.mix(raw + np.uint64(n))]).view(np.int64):
+                            continue
+                        if x["side"] < 0:
+                            near, ends, at = slice(max(lo, first - most), first), b.starts, b.starts[first]
+                        else:
+                            near, ends, at = slice(first + n, min(hi, first + n + most)), b.ends, b.ends[first + n - 1]
+                        step, own = x["side"], x["keep_id"] is not None
+                        out.append((ids[b.first + i], *(x[c] for c in names), b.hashes[near][::step].tobytes(), int(points[at]) - origin if own else None, (points[ends[near]][::step] - origin).astype(np.int32).tobytes() if own else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    types = "doc_id long, first_word long, n_words long, digest long, side int, keep_id long, keep_first long, words binary, at long, bounds binary"
+    return spread_join(rows, wanted, ["doc_id"]).mapInArrow(found, types)
+
+
+def extensions(again: DataFrame, docs: DataFrame, unit_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, first_word, end_word, start, stop, keep_id, units (0): the words beside repeated units that repeat too."""
+    own = cut(edges(again, unit_words).select("doc_id", "first_word", "n_words", "keep.digest", "side", F.col("keep.doc_id").alias("keep_id"), F.col("keep.first_word").alias("keep_first")))
+    none = F.lit(None).cast("long")
+    kept = own.select(F.col("keep_id").alias("doc_id"), F.col("keep_first").alias("first_word"), "n_words", "digest", "side", none.alias("keep_id"), none.alias("keep_first")).distinct()
+    known = cut(beside(docs, own.unionByName(kept), unit_words, id_col, text_col))
+    kept = known.where("keep_id is null").select(F.col("doc_id").alias("keep_id"), F.col("first_word").alias("keep_first"), "n_words", "digest", "side", F.col("words").alias("kept_words"))
+    both = spread_join(known.where("keep_id is not null"), kept, ["keep_id", "keep_first", "n_words", "digest", "side"])
+
+    def compared(batches):
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                a, b = np.frombuffer(x["words"], np.uint64), np.frombuffer(x["kept_words"], np.uint64)
+                m = min(len(a), len(b))
+                n = int(np.append(a[:m] != b[:m], True).argmax())
+                first, end = x["first_word"], x["first_word"] + x["n_words"]
+                if x["side"] < 0 and x["doc_id"] == x["keep_id"]:
+                    n = min(n, first - x["keep_first"] - x["n_words"])
+                if n > 0:
+                    far = int(np.frombuffer(x["bounds"], np.int32)[n - 1])
+                    place = (first - n, first, far, x["at"]) if x["side"] < 0 else (end, end + n, x["at"], far)
+                    out.append((x["doc_id"], *place, x["keep_id"], 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "first_word", "end_word", "start", "stop", "keep_id", "units"])
+
+    return both.mapInArrow(compared, "doc_id long, first_word long, end_word long, start long, stop long, keep_id long, units long")
+
+
 def joined(col: str) -> F.Column:
     """Sorted units joined to passages where they touch or overlap."""
     made = "array<struct<start:long,stop:long,first_word:long,last_word:long,n_units:long,first_doc_id:long>>"
-    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["first_word"].alias("first_word"), (x["end_word"] - 1).alias("last_word"), F.lit(1).cast("long").alias("n_units"), x["keep_id"].alias("first_doc_id"))
+    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["first_word"].alias("first_word"), (x["end_word"] - 1).alias("last_word"), x["units"].alias("n_units"), x["keep_id"].alias("first_doc_id"))
 
     def step(done, x):
         last = F.element_at(done, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["first_word"].alias("first_word"), F.greatest(last["last_word"], x["end_word"] - 1).alias("last_word"), (last["n_units"] + 1).alias("n_units"), F.least(last["first_doc_id"], x["keep_id"]).alias("first_doc_id"))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["first_word"].alias("first_word"), F.greatest(last["last_word"], x["end_word"] - 1).alias("last_word"), (last["n_units"] + x["units"]).alias("n_units"), F.least(last["first_doc_id"], x["keep_id"]).alias("first_doc_id"))
         return F.when((F.size(done) > 0) & (x["first_word"] <= last["last_word"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(one(x))))
 
     return F.aggregate(col, F.array().cast(made), step)

@@ -190,6 +190,25 @@ def test_short_lines_and_paragraphs(spark):
     assert kept == {1: data[0][1], 2: "x y\n!\nz\n", 3: "k\n\n\n\nlast"}
 
 
+def test_whole_passages_are_covered(spark):
+    rng = random.Random(3)
+    fresh = iter(range(10**9))
+    filler = lambda n: " ".join(f"ü{next(fresh)}" for _ in range(n))
+    data, whole = [], {}
+    for i in range(40):
+        passage = filler(rng.randint(50, 120))
+        if i % 3 == 0:
+            passage = passage.replace(" ", "\n", 5)
+        data.append((2 * i, filler(rng.randint(0, 60)) + ". " + passage + " - " + filler(rng.randint(0, 60))))
+        before, after = filler(rng.randint(0, 60)) + "; ", " " + filler(rng.randint(0, 60))
+        data.append((2 * i + 1, before + passage + after))
+        whole[2 * i + 1] = [(len(before), len(before) + len(passage))]
+    found = collections.defaultdict(list)
+    for r in substrings.repeats(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        found[r["doc_id"]].append((r["start"], r["stop"]))
+    assert found == whole
+
+
 def test_balltree_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), (rng.integers(-3, 4, 6) / 4).tolist()) for i in range(400)]
