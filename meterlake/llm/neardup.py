@@ -10,7 +10,9 @@ edges grow with the members, never with their square. A first round takes the sm
 center; edges whose bins disagree too much are dropped, the others are confirmed on the full sets, and
 components follow. Further rounds go back to the buckets that still hold several components and take
 others as centers, members of small components among them, others in each band and round, until one
-finds no new link: so a link between two members which both differ from the first center is found too.
+finds no new link or `max_rounds` are made. A last round then holds all members of different components
+that still share a bucket against each other, so no link within a bucket is lost. It leaves out pairs
+within the largest component of a bucket, and grows with the members outside it times the bucket.
 
 Components come from alternating large-star and small-star steps over links, each cut by a
 checkpoint. All joins on keys that may be hot are dealt so that adaptive execution can split them.
@@ -186,8 +188,18 @@ def further_edges(crowd: DataFrame, found: DataFrame, turn: int) -> DataFrame:
     return edges.select(F.greatest("id", "center").alias("src"), F.least("id", "center").alias("dst")).distinct()
 
 
+def rest_edges(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """src, dst: every pair of members of different components that share a bucket."""
+    own = cut(crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
+    sizes = own.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    few = spread_join(own, mixed, ["key"]).where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
+    both = spread_join(few, own, ["key"]).where("part <> part_a")
+    return both.select(F.greatest("id", "a").alias("src"), F.least("id", "a").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row. Rounds end when the third or a later one finds no new link."""
+    """id, n_shingles, component_id, kept for every row. Rounds with centers end when the third or a later one finds no new link."""
     every = cut(sketches(docs, k, id_col, text_col))
     some = every.where("id is not null and n > 0")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
@@ -197,12 +209,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds:
     crowd = cut(crowds(first.select("id", F.explode("bands").alias("key"))))
     edges = crowd.where("id <> center").select(F.col("id").alias("src"), F.col("center").alias("dst")).distinct()
     links = found = None
-    for turn in range(max_rounds):
+    turn = 0
+    while turn <= max_rounds:
         if turn:
-            edges = further_edges(crowd, found, turn)
-        new = cut(confirmed(likely(edges, first, percent), docs, k, percent, id_col, text_col))
-        if turn > 1 and new.isEmpty():
+            edges = further_edges(crowd, found, turn) if turn < max_rounds else rest_edges(crowd, found)
+        near = cut(likely(edges, first, percent))
+        if turn == max_rounds and near.isEmpty():
             break
+        new = cut(confirmed(near, docs, k, percent, id_col, text_col))
+        if turn > 1 and new.isEmpty():
+            turn = max_rounds if turn < max_rounds else max_rounds + 1
+            continue
+        turn += 1
         links = new if links is None else found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(new)
         found = cut(components(links))
     named = classes.join(found.withColumnRenamed("component", "c"), "id", "left").select("s1", "s2", "n", F.coalesce("c", "id").alias("component_id"))

@@ -158,6 +158,24 @@ def test_near_duplicates(spark):
     assert found == {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
 
 
+def test_links_away_from_every_center(spark):
+    rng = random.Random(4)
+    fresh = iter(range(10**9))
+    base = [f"w{i}" for i in range(60)]
+
+    def changed(n):
+        own = list(base)
+        for i in rng.sample(range(60), n):
+            own[i] = f"v{next(fresh)}"
+        return " ".join(own)
+
+    # the smallest id of each bucket is one of many texts that are like neither of the last two
+    rows = [(i, changed(15)) for i in range(200)] + [(200, " ".join(base)), (201, changed(4))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d, k=1, max_rounds=1).collect()}
+    assert found == {i: min(i, 200) for i in found}
+
+
 def test_repeated_passages(spark):
     rng = random.Random(2)
     fresh = iter(range(10**9))
