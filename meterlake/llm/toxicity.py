@@ -12,9 +12,8 @@ and the whole text. A logistic regression on these three turns them into a score
 
 Words are hashed to `slots` slots, so that the model has a fixed size (4 bytes a slot) and may be
 broadcast. Counts are taken over all training rows and summed by a shuffle. A word's left neighbours
-are counted by a 64-bit linear-counting sketch per slot, which tasks merge with OR. At most
-`max_train` labelled texts (those with the smallest hash of their id) are learned from, and at most
-`fit_rows` of these fit the regression.
+are its distinct pairs with the word before, by a shuffle too. About `fit_rows` of the training rows
+(those whose hash of the id lies below a threshold) fit the regression.
 
 Defined results: a null or empty text gets the score of no evidence. Null labels or ids are not
 learned from; of repeated ids or equal texts with different labels the smallest (id, label) counts.
@@ -35,20 +34,20 @@ def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes % np.uint64(slots)).astype(np.int64)
 
 
-def choose_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """id, label, place: one row per distinct labelled text, at most max_train of them; place is a hash of the id."""
+def choose_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, label, place: one row per distinct labelled text; place is a hash of the id."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     own = own.groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).where(F.col(text_col).isNotNull())
     once = texts.join(own, "id").groupBy("text").agg(F.min(F.struct("id", "label")).alias("row")).select("row.*")
-    return once.withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(max_train)
+    return once.withColumn("place", F.xxhash64("id"))
 
 
 def count_words(train: DataFrame, slots: int) -> DataFrame:
-    """slot, c0, c1 (documents by class), near (sketch of left neighbours); one row per used slot."""
+    """slot, c0, c1 (documents by class), near (distinct left neighbours); one row per used slot."""
 
     def counted(batches):
-        counts, near = np.zeros((2, slots), np.int64), np.zeros(slots, np.uint64)
+        counts = np.zeros((2, slots), np.int64)
         for batch in parts(batches):
             labels = np.array(batch["label"].to_pylist())
             for b in W.blocks(batch["text"].to_pylist(), W.ALNUM):
@@ -58,21 +57,30 @@ def count_words(train: DataFrame, slots: int) -> DataFrame:
                 label = labels[b.first + once // slots]
                 for y in (0, 1):
                     counts[y] += np.bincount(once[label == y] % slots, minlength=slots)
-                inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-                np.bitwise_or.at(near, at[inner], np.uint64(1) << (b.hashes[inner - 1] >> np.uint64(58)))
         used = np.flatnonzero(counts.any(0))
         for lo in range(0, len(used), 100_000):
             own = used[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0, own]), pa.array(counts[1, own]), pa.array(near[own].view(np.int64))], names=["slot", "c0", "c1", "near"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0, own]), pa.array(counts[1, own])], names=["slot", "c0", "c1"])
+
+    def paired(batches):
+        for batch in parts(batches):
+            for b in W.blocks(batch["text"].to_pylist(), W.ALNUM):
+                doc = np.repeat(np.arange(len(b.bounds) - 1), np.diff(b.bounds))
+                inner = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+                # the slot, and 63 bits of slot and left neighbour as one number
+                slot = b.hashes[inner] % np.uint64(slots)
+                pair = W.mix(b.hashes[inner - 1] + W.mix(slot)) >> np.uint64(1)
+                pair, at = np.unique(pair, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot[at].astype(np.int32)), pa.array(pair.view(np.int64))], names=["slot", "pair"])
 
-    rows = train.mapInArrow(counted, "slot long, c0 long, c1 long, near long")
-    return rows.groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.bit_or("near").alias("near"))
+    rows = train.mapInArrow(counted, "slot long, c0 long, c1 long").groupBy("slot").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    near = train.mapInArrow(paired, "slot int, pair long").distinct().groupBy("slot").agg(F.count("*").alias("near"))
+    return rows.join(near, "slot", "left").select("slot", "c0", "c1", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
 
 
 def ratios(counts: DataFrame, discount: float, slots: int) -> np.ndarray:
     """log p(w | toxic) - log p(w | ordinary) per slot; only used slots come to the driver, as two small columns."""
-    near = F.lit(0.5) - 64 * F.log1p(-F.least(F.bit_count("near").cast("double"), F.lit(63.5)) / 64)
-    table = counts.select("slot", "c0", "c1", near.alias("near"))
+    table = counts.select("slot", "c0", "c1", (F.col("near") + 0.5).alias("near"))
     held = {c: F.least(F.col(c).cast("double"), F.lit(discount)) for c in ("c0", "c1")}
     sums = table.agg(*(F.sum(c).alias(f"n{c}") for c in held), *(F.sum(x).alias(f"b{c}") for c, x in held.items()), F.sum("near").alias("near"), F.count("*").alias("used")).first()
     total = sums["near"] + 0.5 * (slots - sums["used"])
@@ -117,17 +125,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(texts)), self.evidence(texts)] @ self.weights, -30, 30)))
 
 
-def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", slots: int = 1 << 20, max_train: int = 1_000_000, fit_rows: int = 100_000) -> Model:
+def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", slots: int = 1 << 20, fit_rows: int = 100_000) -> Model:
     """Learns from the labels given; leave out those that are held back."""
     spark = docs.sparkSession
-    chosen = cut(choose_rows(docs, labels, max_train, id_col, text_col, label_col))
+    chosen = cut(choose_rows(docs, labels, id_col, text_col, label_col))
     seen = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (seen.get(0) and seen.get(1)):
         return Model(np.zeros(slots))
-    # at most max_train rows of an id, a label and a hash
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # rows of an id, a label and a hash: broadcast while they are few
+    total = sum(seen.values())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    train = texts.join(F.broadcast(chosen) if total <= 1_000_000 else chosen, "id")
     counts = cut(count_words(train.select("label", "text"), slots))
-    discount = float(0.5 + np.log10(max(10, sum(seen.values()))))
+    discount = float(0.5 + np.log10(max(10, total)))
     model = Model(ratios(counts, discount, slots))
     shared = spark.sparkContext.broadcast(model)
 
@@ -136,7 +146,9 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             x = shared.value.evidence(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x[:, i]) for i in range(3))], names=["label", "a", "b", "c"])
 
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.orderBy("place", "id").limit(fit_rows)), "id")
+    share = min(1.0, fit_rows / total)
+    some = chosen if share == 1 else chosen.where(F.col("place") < int(2**64 * share) - 2**63)
+    few = texts.join(F.broadcast(some), "id")
     x = few.select("label", "text").mapInArrow(evidence, "label int, a double, b double, c double").toArrow()
     model.fit(np.stack([x[c].to_numpy() for c in "abc"], 1), x["label"].to_numpy().astype(float))
     return model

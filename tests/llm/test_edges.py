@@ -72,6 +72,14 @@ def test_stages_keep_columns_and_odd_rows(spark, stage):
     assert stage(spark, docs(spark, [])).collect() == []
 
 
+def test_toxicity_counts_every_labelled_text(spark):
+    many = spark.range(1_000_100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), (F.col("id") % 2).cast("int").alias("toxic"))
+    assert toxicity.choose_rows(many, many, id_col="doc_id", text_col="text", label_col="toxic").count() == 1_000_100
+    # 2,000 left neighbours of one word, each in two texts
+    texts = spark.range(4000).selectExpr("0 as label", "concat('w', id div 2, ' word') as text")
+    assert toxicity.count_words(texts, 1 << 20).agg(F.max("near")).first()[0] == 2000
+
+
 def test_licenses(spark):
     found = {r["doc_id"]: r for r in licenses.scan(docs(spark)).collect()}
     assert found[1]["n_words"] == found[2]["n_words"] == found[3]["n_words"] == 0
