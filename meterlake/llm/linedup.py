@@ -1,7 +1,8 @@
 """Repeated and nearly repeated lines by a segment-partition edit join.
 
 Lines are normalised (lower case, white space collapsed); those of at least `min_chars` characters
-take part and are known by a 64-bit hash. Equal lines are one class, whose first place is its smallest
+take part and are known by a 64-bit hash. Shorter lines of at least two words (between spaces) take
+part as exact repeats only. Equal lines are one class, whose first place is its smallest
 (document, line number). Each class of length L is cut into threshold + 1 segments, indexed by (L,
 segment number, segment). A class probes the segments of its own and of the up to `threshold`
 shorter lengths with the substrings at the few offsets an alignment within the threshold allows. Two
@@ -16,7 +17,7 @@ fixed size, keeps the other lines from it. All hashing runs on blocks of many li
 A class is removed if a class within the threshold has an earlier first place; of the other classes
 the first place is kept.
 
-Defined results: null and empty texts have no lines. Shorter lines take no part and always stay.
+Defined results: null and empty texts have no lines. Lines of one word under `min_chars` take no part and always stay.
 Rows with a null id take no part; rows that repeat an id count as one document whose lines
 have equal numbers. Other columns are kept by remove_lines.
 """
@@ -38,10 +39,13 @@ FILTER_BITS = 1 << 24
 BLOCK_CHARS = 1 << 18
 
 
-def normal_lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
-    """(line number, normalised line) of the lines that take part."""
+def normal_lines(text: str | None, min_chars: int, short: bool = False) -> list[tuple[int, str]]:
+    """(line number, normalised line) of the lines that take part; with short, of shorter ones of two words or more too."""
     if not isinstance(text, str):
         return []
+    if short:
+        lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")))
+        return [(i, line) for i, line in lines if len(line) >= min_chars or " " in line]
     lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars)
     return [(i, line) for i, line in lines if len(line) >= min_chars]
 
@@ -91,11 +95,11 @@ def keys_of(lines: Lines, threshold: int, indexed: bool) -> Iterator[tuple[np.nd
         yield good, W.mix(lines.hashes(lines.starts[good] + at[good], size[good]) + salt)
 
 
-def blocks_of(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], Lines]]:
+def blocks_of(batch: pa.RecordBatch, min_chars: int, short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], Lines]]:
     """(ids of documents, line numbers, lines, arrays) by blocks of a batch of (doc_id, text)."""
     docs, numbers, lines, held = [], [], [], 0
     for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-        for i, line in normal_lines(text, min_chars):
+        for i, line in normal_lines(text, min_chars, short):
             docs.append(doc)
             numbers.append(i)
             lines.append(line)
@@ -116,7 +120,7 @@ def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
 
     def found(batches):
         for batch in parts(batches):
-            for doc, number, _, lines in blocks_of(batch, min_chars):
+            for doc, number, _, lines in blocks_of(batch, min_chars, short=True):
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(lines.ids().view(np.int64))], names=["doc_id", "line_no", "id"])
 
     return _texts(docs, id_col, text_col).mapInArrow(found, "doc_id long, line_no int, id long")
@@ -247,9 +251,9 @@ def line_marks(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col:
 def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_links, first_doc_ids (sorted ids where removed lines stand first).
 
-    n_lines counts the lines that are no shorter than min_chars as they stand.
+    n_lines counts the lines that are no shorter than min_chars as they stand, or have two words or more.
     """
-    size = F.size(F.filter(F.split(text_col, "\n"), lambda x: F.char_length(x) >= min_chars))
+    size = F.size(F.filter(F.split(text_col, "\n"), lambda x: (F.char_length(x) >= min_chars) | x.rlike(r"\S\s+\S")))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.when(F.col(text_col).isNotNull(), size), F.lit(0)).cast("long").alias("n_lines"))
     marks = line_marks(docs, threshold, min_chars, id_col, text_col)
     per = marks.groupBy("doc_id").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc_id")))).alias("first_doc_ids"))

@@ -124,6 +124,13 @@ def test_lines_removed(spark):
     assert kept == {1: f"{line}\nshort", 2: "short\nkeep", 3: "", 4: None}
 
 
+def test_short_repeated_lines(spark):
+    d = spark.createDataFrame([(1, "two words\none\ntwo  Words"), (2, "Two words\none\ntwo wordz")], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in linedup.remove_lines(d).collect()}
+    assert kept == {1: "two words\none", 2: "one\ntwo wordz"}
+    assert {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in linedup.document_lines(d).collect()} == {(1, 2, 1), (2, 2, 1)}
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
