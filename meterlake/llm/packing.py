@@ -9,101 +9,135 @@ that fits nowhere is cut to fill the sequence with the most room, and its rest f
 
 No shuffle and no driver work: a sequence lies within one task. Its id holds the task's partition
 number, so that a task which runs again after a lost executor numbers on its own. Memory is bounded
-by a chunk, or by one longer document.
+by a chunk and a slice of texts, or by one longer document.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed each on their
-own. Rows with a null id are packed too. Other columns are not read.
+own. Ids keep their column's type and value; rows with a null id are packed too. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import json
 import unicodedata
-from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-PIECES = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
-#: Marks inside white-space chunks that str.split() also takes as white space, but the tokenizer does not.
-_OTHER_SPACE = "\x1c\x1d\x1e\x1f"
+from meterlake.llm.tasks import parts_of_size
 
+#: The parts of a tokenizer file that WordTokenizer works by; fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SHORT = "stmd"
+LONGER = ("re", "ve", "ll")
 
-class CachedTokenizer:
-    """Ids of a lower-casing BPE whose words don't cross white space, by chunk and by word from bounded caches.
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Code points below this one have one-to-one lower case, but for İ, and no composed forms.
+LATIN_END, DOTTED = 0x250, 0x130
+
+
+def kind(char: str) -> int:
+    category = unicodedata.category(char)[0]
+    return SPACE if char in "\t\n\v\f\r \x85\xa0" else LETTER if category == "L" else NUMBER if category == "N" else OTHER
 
-    Equal to Tokenizer.encode(text, add_special_tokens=False).ids; chunks that hold special tokens or
-    letters beyond Latin go through the tokenizer itself.
-    """
 
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+class WordTokenizer:
+    """Ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    def __init__(self, path: str, max_entries: int = 400_000):
-        import regex
+    Where the file is a lower-casing BPE whose words are those of WORD_PATTERN, the words of many
+    Latin texts are found at once, and each distinct word is encoded once, from a bounded cache. Texts
+    beyond Latin, texts that may hold special tokens, and all texts of other files go through the
+    tokenizer itself.
+    """
+
+    def __init__(self, path: str, max_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_words = told.get("normalizer") == NORMALIZER and steps[0] == {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+        self.by_words &= len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.by_words &= told["model"].get("dropout") is None and all(t["content"].startswith("<|") for t in told["added_tokens"])
         codes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = iter(range(256, 512))
         self.bytes = {b: chr(b) if b in codes else chr(next(rest)) for b in range(256)}
-        self.max_entries = max_entries
-        self.words: dict[str, tuple] = {}
-        self.chunks = _Chunks(self)
-
-    def word(self, word: str) -> tuple:
+        chars = [chr(c) for c in range(LATIN_END)]
+        self.kinds = np.array([*map(kind, chars), SPACE], np.uint8)
+        self.lower = np.array([*(ord(c.lower()[0]) for c in chars), 32], np.uint16)
+        self.max_words = max_words
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def word(self, word: bytes) -> bytes:
+        """The ids, little-endian uint32, of a word in UTF-16."""
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= self.max_entries:
-                self.words.clear()
-            raw = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.bytes)
-            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(raw))
+            ids = self.older.get(word)
+            if ids is None:
+                raw = word.decode("utf-16-le").encode().decode("latin-1").translate(self.bytes)
+                ids = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+            if len(self.words) >= self.max_words:
+                self.older, self.words = self.words, {}
+            self.words[word] = ids
         return ids
 
-    def chunk(self, text: str) -> tuple:
-        if "<|" in text:
-            return tuple(self.whole.encode(text, add_special_tokens=False).ids)
-        if text.isascii():
-            pieces = self.ASCII.findall(text.lower())
-        elif max(text) <= "ɏ" and "İ" not in text:
-            pieces = self.latin.findall(unicodedata.normalize("NFC", text).lower())
-        else:
-            return tuple(self.whole.encode(text, add_special_tokens=False).ids)
-        return self.word(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.word, pieces)))
-
-    def ids(self, text: str | None) -> list[int]:
-        if not isinstance(text, str):
-            return []
-        if any(c in text for c in _OTHER_SPACE):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        if len(self.chunks) >= self.max_entries:
-            self.chunks.clear()
-        return list(chain.from_iterable(map(self.chunks.__getitem__, text.split())))
-
-
-class _Chunks(dict):
-    def __init__(self, owner: CachedTokenizer):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, text: str) -> tuple:
-        ids = self.owner.chunk(text)
-        if len(text) <= 64:
-            self[text] = ids
-        return ids
-
-
-_tokenizers: dict[str, CachedTokenizer] = {}
-
-
-def tokenizer(path: str) -> CachedTokenizer:
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        texts = [t if isinstance(t, str) else "" for t in texts]
+        if not self.by_words:
+            return list(map(self.plain, texts))
+        codes = np.frombuffer("\n".join([*texts, "\n\n"]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        odd = (codes >= LATIN_END) | (codes == DOTTED)
+        odd[:-1] |= (codes[:-1] == ord("<")) & (codes[1:] == ord("|"))
+        beyond = set(np.searchsorted(ends, np.flatnonzero(odd), "right").tolist())
+        codes = np.minimum(codes, LATIN_END)
+        kinds, low = self.kinds[codes], self.lower[codes]
+        first = kinds != SPACE
+        first[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == NUMBER)
+        marks = np.flatnonzero(first & (low == ord("'")))
+        marks = marks[kinds[marks + 1] == LETTER]
+        one, two = low[marks + 1], low[marks + 2]
+        size = np.isin(one, [ord(c) for c in SHORT]).astype(np.int64)
+        for a, b in LONGER:
+            size[(one == ord(a)) & (two == ord(b))] = 2
+        marks, size = marks[size > 0], size[size > 0]
+        after = marks + 1 + size
+        first[after[kinds[after] == LETTER]] = True
+        first[marks + 1] = False
+        inside = kinds != SPACE
+        starts = np.flatnonzero(first)
+        data = low[inside]
+        offsets = np.append(np.cumsum(inside)[starts] - 1, len(data)).astype(np.int32) * 2
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        held = list(map(self.word, pieces.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        at = pieces.indices.to_numpy()
+        n = sizes[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        origin = (np.cumsum(sizes) - sizes)[at] - before[:-1]
+        ids = flat[np.repeat(origin, n) + np.arange(before[-1])]
+        bounds = before[np.searchsorted(starts, np.concatenate([[0], ends]))]
+        return [self.plain(text) if i in beyond else ids[bounds[i] : bounds[i + 1]] for i, text in enumerate(texts)]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
     """One per worker process."""
     if path not in _tokenizers:
-        _tokenizers[path] = CachedTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
 
 
@@ -138,31 +172,33 @@ def balance(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: f
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, chunk_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, token_ids (little-endian uint32), doc_tokens, sequence_id, offset."""
 
-    def packed(frames):
-        encode = tokenizer(tokenizer_path)
+    def packed(batches):
+        encode = tokenizer(tokenizer_path).encode
         base, number = TaskContext.get().partitionId() << 36, 0
         ids, tokens, held = [], [], 0
 
         def flush():
             nonlocal ids, tokens, held, number
             rows = balance([len(t) for t in tokens], capacity)
-            made = pd.DataFrame(
-                [(ids[d], start, n, tokens[d][start : start + n].tobytes(), len(tokens[d]), base + number + s, offset) for d, start, n, s, offset in rows],
-                columns=["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"],
-            ).astype({"doc_id": "Int64"})
-            number += 1 + max((r[3] for r in rows), default=-1)
+            doc, start, length, sequence, offset = np.array(rows, np.int64).T
+            own = [tokens[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            every = pa.concat_arrays(ids).take(pa.array(doc))
+            made = [every, pa.array(start), pa.array(length), pa.array(own, pa.binary()), pa.array(sizes[doc]), pa.array(sequence + (base + number)), pa.array(offset)]
+            number += 1 + int(sequence.max())
             ids, tokens, held = [], [], 0
-            return made
-
-        for frame in frames:
-            for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
-                t = np.array([*encode.ids(text), end_id], "<u4")
-                ids.append(None if doc != doc or doc is None else int(doc))
-                tokens.append(t)
-                held += len(t)
+            return pa.RecordBatch.from_arrays(made, names=names)
+
+        for batch in batches:
+            for part in parts_of_size(batch, "text", 1 << 22):
+                ids.append(part["doc_id"])
+                tokens += [np.append(t, np.uint32(end_id)) for t in encode(part["text"].to_pylist())]
+                held = sum(map(len, tokens))
                 if held >= chunk_tokens:
                     yield flush()
         if tokens:
             yield flush()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(packed, PIECES)
+    names = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
+    types = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(packed, types)

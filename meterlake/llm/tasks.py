@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -17,6 +19,16 @@ def parts(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+def parts_of_size(batch, column: str, size: int):
+    """The batch in slices with at most `size` bytes in the column, but for a single longer value."""
+    sizes = np.nan_to_num(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(float))
+    total, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, search: Callable[[list], dict], types: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     """The id column as it is, and the columns that search makes of each batch's texts.
 

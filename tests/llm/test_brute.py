@@ -58,9 +58,22 @@ def test_packing_round_trip(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
-def test_cached_tokenizer_equals_the_tokenizer(text):
+def test_word_tokenizer_equals_the_tokenizer(text):
     own = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    assert own.ids(text) == own.whole.encode(text, add_special_tokens=False).ids
+    whole = lambda t: own.whole.encode(t, add_special_tokens=False).ids
+    texts = [text, "it's we'll ''s 'sort " + text, text + "'r\x85e're'd", None, text[::-1] + "<|endoftext|>'ve12"]
+    assert [x.tolist() for x in own.encode(texts)] == [whole(t or "") for t in texts]
+
+
+def test_tokenizer_of_another_kind():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing.WordTokenizer(path)
+    assert not own.by_words and own.encode(["Two words", None])[0].tolist() == Tokenizer.from_file(path).encode("Two words", add_special_tokens=False).ids
+
+
+def test_packing_keeps_ids(spark):
+    d = spark.createDataFrame([(9007199254740993, "a b"), (None, "c"), (-(2**62) - 1, None)], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["doc_tokens"]) for r in packing.pack(d, public_tokenizers.path("word_bpe_49k.json")).collect()} == {(9007199254740993, 3), (None, 2), (-(2**62) - 1, 1)}
 
 
 @settings(max_examples=200, deadline=None)
