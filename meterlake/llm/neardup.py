@@ -5,21 +5,25 @@ is cut into bins, and a bin's smallest hash is its value. Empty bins take the va
 chosen by a hash sequence of the bin's own number (optimal densification), so short sets work too.
 Documents with equal sets form a class, of which the smallest id stands for all.
 
-Bands of bin values are bucketed. Within a bucket every member gets edges to a few centers only, so
-edges grow with the members, never with their square. A first round takes the smallest id as the one
-center; edges whose bins disagree too much are dropped, the others are confirmed on the full sets, and
-components follow. Further rounds go back to the buckets that still hold several components and take
-others as centers, members of small components among them, others in each band and round, until one
-finds no new link or `max_rounds` are made. A last round then holds all members of different components
-that still share a bucket against each other, so no link within a bucket is lost. It leaves out pairs
-within the largest component of a bucket, and grows with the members outside it times the bucket.
+Bands of bin values are bucketed. Within a bucket every member gets an edge to one center, the
+smallest id, so candidate edges form stars and grow with the members, never with their square. Edges
+are confirmed on the full sets, and components of the links follow.
+
+A star misses links between members that are both unlike the center. So the groups that candidate
+edges connect, and that still hold several components, are compared once more: every member outside
+the largest component of a group against all members of other components, with exact intersections
+counted over an inverted index of the sets. Only links that join two components leave a task, so no
+row per pair is made. Groups of more than `most` members are replaced by their buckets. Groups are
+dealt into blocks of bounded size, and pairs of blocks are the rows that Spark deals to tasks. No link
+between members of one bucket is lost, at any size.
 
 Components come from alternating large-star and small-star steps over links, each cut by a
 checkpoint. All joins on keys that may be hot are dealt so that adaptive execution can split them.
 
 Defined results: a document without words has an empty set, is linked with nothing and stands for
 itself. Rows with a null id have a null component and are kept. Rows that repeat an id are all
-reported, and kept if their id is its component's smallest. Other columns are not read.
+reported, each with the component of its own text, and kept if their id is its component's smallest.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,53 +90,44 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, s1, s2 (digest of the set), bands, bytes (one per bin) of every row."""
+    """id, n, s1, s2 (digest of the set) and bands of every row."""
 
     def made(batches):
         for batch in parts(batches):
-            n, s1, s2, bands, small = [], [], [], [], []
+            n, s1, s2, bands = [], [], [], []
             for s in shingle_sets(batch["text"].to_pylist(), k):
                 n.append(len(s))
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 s2.append(int(W.mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                values = signature(s) if len(s) else None
-                bands.append(None if values is None else band_keys(values))
-                small.append(None if values is None else (values & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["id", "n", "s1", "s2", "bands", "bytes"])
+                bands.append(band_keys(signature(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(made, "id long, n long, s1 long, s2 long, bands array<long>, bytes binary")
+    return rows.mapInArrow(made, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
-def likely(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Edges whose bins agree as often as the similarity asks for, less four standard deviations of that share."""
-    share = percent / 100
-    own = classes.select("id", "bytes", "n")
-    both = spread_join(edges, own.toDF("src", "a", "n_a"), ["src"])
-    both = spread_join(both, own.toDF("dst", "b", "n_b"), ["dst"])
-    # sizes alone rule out what differs too much
-    both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id, hashes (the sorted set as 64-bit numbers) of the documents whose id stands in ids."""
 
-    def kept(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in "ab")
-                apart = 4 * np.sqrt(share * (1 - share) / np.minimum(batch["n_a"].to_numpy(), BINS))
-                yield batch.filter(pa.array((a == b).mean(1) >= share - apart)).select(["src", "dst"])
+    def made(batches):
+        for batch in parts(batches):
+            sets = [s.tobytes() for s in shingle_sets(batch["text"].to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    return both.select("src", "dst", "a", "b", "n_a").mapInArrow(kept, "src long, dst long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.join(ids, "id", "left_semi").mapInArrow(made, "id long, hashes binary").dropDuplicates(["id", "hashes"])
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges with 100 * intersection >= percent * union of the full sets."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = spread_join(edges, texts.toDF("src", "a"), ["src"])
-    both = spread_join(both, texts.toDF("dst", "b"), ["dst"])
+    both = spread_join(edges, sets.toDF("src", "a"), ["src"])
+    both = spread_join(both, sets.toDF("dst", "b"), ["dst"])
 
     def kept(batches):
-        for batch in parts(batches):
+        for batch in batches:
             good = []
-            for a, b in zip(shingle_sets(batch["a"].to_pylist(), k), shingle_sets(batch["b"].to_pylist(), k), strict=True):
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield batch.filter(pa.array(good, pa.bool_())).select(["src", "dst"])
@@ -166,71 +161,110 @@ def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
-def crowds(members: DataFrame) -> DataFrame:
-    """key, id, center of all members of buckets with several; the center is the smallest id. members: key, id."""
+def crowds(first: DataFrame) -> DataFrame:
+    """key, id, center of all members of buckets with several; the center is the smallest id. first: id, bands."""
+    members = first.select("id", F.explode("bands").alias("key"))
     low = members.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("hi")).where("center < hi").select("key", "center")
-    return spread_join(members, low, ["key"])
+    return spread_join(members, small_side(low), ["key"])
 
 
-def further_edges(crowd: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """src, dst between members of different components that share a bucket and one of which is a center.
+def mixed_units(crowd: DataFrame, edges: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """unit, id, part, few: members of the groups that hold several components; few marks those outside the largest.
 
-    Each bucket that still holds several components takes two centers: a member of a small component,
-    which has stayed apart so far, and any member; others in each band and round.
+    A unit is a group that edges connect, or one bucket of a group with more than `most` members.
     """
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    named = found.join(sizes, "component")
-    own = crowd.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    first = lambda size: F.min(F.struct(size.alias("size"), F.xxhash64(F.lit(turn), "key", "id").alias("o"), F.col("id").alias("center"), F.col("part").alias("center_part")))
-    best = own.groupBy("key").agg(F.array(first(F.col("size")), first(F.lit(0).cast("long"))).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    both = spread_join(own.select("key", "id", "part"), best.select("key", "c"), ["key"]).select("id", "part", F.explode("c").alias("c"))
-    edges = both.select("id", "part", "c.center", "c.center_part").where("part <> center_part")
-    return edges.select(F.greatest("id", "center").alias("src"), F.least("id", "center").alias("dst")).distinct()
-
-
-def rest_edges(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """src, dst: every pair of members of different components that share a bucket."""
-    own = cut(crowd.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part")))
-    sizes = own.groupBy("key", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    few = spread_join(own, mixed, ["key"]).where("part <> main").select("key", F.col("id").alias("a"), F.col("part").alias("part_a"))
-    both = spread_join(few, own, ["key"]).where("part <> part_a")
-    return both.select(F.greatest("id", "a").alias("src"), F.least("id", "a").alias("dst")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept for every row. Rounds with centers end when the third or a later one finds no new link."""
+    groups = components(edges).withColumnRenamed("component", "group")
+    groups = cut(groups.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("part")))
+    large = small_side(groups.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most).select("group"))
+    own = groups.join(large, "group", "left_anti").select(F.struct(F.lit(0).alias("bucket"), F.col("group").alias("key")).alias("unit"), "id", "part")
+    of_large = spread_join(groups.join(large, "group", "left_semi"), crowd.select("key", "id"), ["id"])
+    units = cut(own.unionByName(of_large.select(F.struct(F.lit(1).alias("bucket"), "key").alias("unit"), "id", "part")))
+    parts_of = units.groupBy("unit", "part").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("n"))
+    mixed = small_side(parts_of.where("n > 1").select("unit", "main"))
+    return spread_join(units, mixed, ["unit"]).select("unit", "id", "part", (F.col("part") != F.col("main")).alias("few"))
+
+
+def blocks_of_units(units: DataFrame, sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """unit, block, blocks, members: the units' members with their sets, in blocks of about block_rows rows or block_bytes."""
+    full = spread_join(units, sets, ["id"])
+    sizes = units.join(sets.select("id", F.octet_length("hashes").alias("bytes")), "id").groupBy("unit").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    n = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    full = spread_join(full, small_side(sizes.select("unit", n.alias("blocks"))), ["unit"])
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return full.groupBy("unit", block.alias("block"), "blocks").agg(F.collect_list(F.struct("id", "part", "few", "hashes")).alias("members"))
+
+
+def block_links(few: list[dict], all_: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join different parts; of several between the same parts only the first found."""
+    asked = [x for x in few if x["few"]]
+    sets = [np.frombuffer(y["hashes"], np.uint64) for y in all_]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    names = {p: i for i, p in enumerate(dict.fromkeys(x["part"] for x in (*few, *all_)))}
+    label = np.arange(len(names))
+    part = np.array([names[y["part"]] for y in all_])
+    out = []
+    for x in asked:
+        own = np.frombuffer(x["hashes"], np.uint64)
+        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.bincount(owner[at], minlength=len(sets))
+        good = np.flatnonzero((same > 0) & (100 * same >= percent * (len(own) + sizes - same)))
+        me = names[x["part"]]
+        for j in good[label[part[good]] != label[me]].tolist():
+            if label[part[j]] != label[me]:
+                label[label == label[part[j]]] = label[me]
+                out.append((max(x["id"], all_[j]["id"]), min(x["id"], all_[j]["id"])))
+    return out
+
+
+def rest_links(units: DataFrame, sets: DataFrame, percent: int, block_rows: int = 512, block_bytes: int = 1 << 21) -> DataFrame:
+    """src, dst: links between different parts of the same unit, enough of them to join all parts that links join."""
+    held = cut(blocks_of_units(units, sets, block_rows, block_bytes))
+    # a unit of one block meets itself; of several, each block with members to look for meets every block
+    alone = held.where("blocks = 1").select("members", F.lit(None).cast(held.schema["members"].dataType).alias("others"))
+    asked = held.where(F.col("blocks") > 1).where(F.exists("members", lambda x: x["few"]))
+    refs = asked.select("unit", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = spread_join(refs, held.select("unit", "block", "members"), ["unit", "block"])
+    pairs = spread_join(pairs, held.select("unit", F.col("block").alias("other"), F.col("members").alias("others")), ["unit", "other"])
+
+    def found(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                few, others = batch["members"][i].as_py(), batch["others"][i].as_py()
+                links = block_links(few, few if others is None else others, percent)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["src", "dst"])
+
+    return alone.unionByName(pairs.select("members", "others")).mapInArrow(found, "src long, dst long").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, most: int = 4096, block_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept for every row."""
     every = cut(sketches(docs, k, id_col, text_col))
     some = every.where("id is not null and n > 0")
     classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
-    first = some.join(classes, ["s1", "s2", "n", "id"], "left_semi").select("id", "s1", "s2", "n", "bands", "bytes").dropDuplicates(["id", "s1", "s2", "n"])
-    # an id that stands on rows with different texts goes by the smallest digest
-    first = cut(first.groupBy("id").agg(F.min_by("bands", F.struct("s1", "s2", "n")).alias("bands"), F.min_by("bytes", F.struct("s1", "s2", "n")).alias("bytes"), F.min(F.struct("s1", "s2", "n"))["n"].alias("n")))
-    crowd = cut(crowds(first.select("id", F.explode("bands").alias("key"))))
-    edges = crowd.where("id <> center").select(F.col("id").alias("src"), F.col("center").alias("dst")).distinct()
-    links = found = None
-    turn = 0
-    while turn <= max_rounds:
-        if turn:
-            edges = further_edges(crowd, found, turn) if turn < max_rounds else rest_edges(crowd, found)
-        near = cut(likely(edges, first, percent))
-        if turn == max_rounds and near.isEmpty():
-            break
-        new = cut(confirmed(near, docs, k, percent, id_col, text_col))
-        if turn > 1 and new.isEmpty():
-            turn = max_rounds if turn < max_rounds else max_rounds + 1
-            continue
-        turn += 1
-        links = new if links is None else found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(new)
-        found = cut(components(links))
+    first = some.join(classes, ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"])
+    crowd = cut(crowds(first.select("id", "bands")))
+    edges = cut(crowd.where("id <> center").select(F.col("id").alias("src"), F.col("center").alias("dst")).distinct())
+    near = small_side(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    sets = cut(full_sets(docs, near, k, id_col, text_col))
+    links = cut(confirmed(edges, sets, percent))
+    found = cut(components(links))
+    more = rest_links(mixed_units(crowd, edges, found, most), sets, percent, block_rows)
+    links = cut(found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    found = cut(components(links))
     named = classes.join(found.withColumnRenamed("component", "c"), "id", "left").select("s1", "s2", "n", F.coalesce("c", "id").alias("component_id"))
     own = spread_join(every.select("id", "s1", "s2", "n"), named, ["s1", "s2", "n"], "left")
     result = own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns kept, but for those that a smaller id of their group stands for."""
-    gone = near_duplicates(docs, k, percent, max_rounds, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col)).distinct()
+    gone = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col)).distinct()
     gone = small_side(gone)
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

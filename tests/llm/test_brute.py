@@ -149,6 +149,27 @@ def shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
+def components_of(rows, k):
+    sets = {i: shingles(t, k) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and sets[a]:
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+
+
+def near_found(d, **kw):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d, **kw).collect()}
+
+
 def test_near_duplicates(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(300)]
@@ -161,21 +182,32 @@ def test_near_duplicates(spark):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((len(rows), " ".join(copy)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {i: shingles(t, 4) for i, t in rows}
-    parent = {i: i for i in sets}
+    assert near_found(d) == components_of(rows, 4)
 
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(d).collect()}
-    assert found == {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+def test_large_groups_of_near_copies(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(200):
+            copy = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 9)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    expect = components_of(rows, 4)
+    assert len({c for _, c, _ in expect.values()}) > 5
+    # whole groups at once, and bucket by bucket in small blocks
+    assert near_found(d) == near_found(d, most=20, block_rows=16) == expect
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    d = spark.createDataFrame([(1, a), (2, b), (2, a + " more"), (3, b + " more"), (4, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(d).collect()) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 1)]
 
 
 def test_links_away_from_every_center(spark):
@@ -192,7 +224,7 @@ def test_links_away_from_every_center(spark):
     # the smallest id of each bucket is one of many texts that are like neither of the last two
     rows = [(i, changed(15)) for i in range(200)] + [(200, " ".join(base)), (201, changed(4))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d, k=1, max_rounds=1).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d, k=1).collect()}
     assert found == {i: min(i, 200) for i in found}
 
 
