@@ -8,13 +8,14 @@ them, which are confirmed against the items' window hashes.
 
 The items are the small side. They are split into blocks by their measured size, each of at most
 `block_bytes` of text (or one longer item); each block is broadcast on its own, so that what an
-executor holds is bounded however many items there are. Documents are never shuffled for one
-block; for several, only hits are, by document.
+executor holds is bounded however many items there are. Texts are never shuffled. For one block no
+row is; for several, each reads the documents and only hits meet again, by id and digest of the text,
+so that each row gets the hits of its own text.
 
 Defined results: a null or empty text has no words and no hit. An item without words is ignored;
 an item of fewer than `window` words is one window. Repeated items count by item id; items with a
-null id are ignored. Repeated document rows are each reported on their own with one block, and
-once per id with several. Other columns are not read.
+null id are ignored. Every document row is reported on its own, repeated ids and null ids too,
+however many blocks there are. Item ids are read as 64-bit numbers. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -122,14 +123,19 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, b
             found = list(index.value.search(texts))
             return {"n_words": [f[0] for f in found], "hits": [[{"start": a, "end": e} for a, e in f[1]] for f in found], "items": [f[2] for f in found]}
 
-        parts.append(map_texts(docs, "doc_id", "text", search, HITS))
+        rows = docs if n_blocks == 1 else docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
+        parts.append(map_texts(rows, "doc_id", "text", search, HITS))
     if n_blocks == 1:
         return parts[0]
-    every = parts[0]
+    every = parts[0].where(F.size("items") > 0)
     for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("hits", merge_spans("hits"))
+        every = every.unionByName(part.where(F.size("items") > 0))
+    merged = every.groupBy("doc_id").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), merge_spans("hits").alias("hits"), "items")
+    counts = map_texts(docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text"), "row", "text", lambda texts: {"n_words": list(W.counts(texts, W.ALNUM))}, {"n_words": HITS["n_words"]})
+    own = counts.join(merged, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.col("row.digest") == F.col("__digest")), "left")
+    nothing = lambda c: F.coalesce(c, F.array().cast(HITS[c][0])).alias(c)
+    return own.select("row.doc_id", "n_words", nothing("hits"), nothing("items"))
 
 
 def merge_spans(col: str) -> F.Column:

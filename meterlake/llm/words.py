@@ -106,6 +106,12 @@ def blocks(texts: Iterable[str | None], table: bytes) -> Iterator[Block]:
         yield _block(first, held, table)
 
 
+def counts(texts: Iterable[str | None], table: bytes) -> Iterator[int]:
+    """Number of words of each text."""
+    for b in blocks(texts, table):
+        yield from np.diff(b.bounds).tolist()
+
+
 def left_in_text(bounds: np.ndarray) -> np.ndarray:
     """Per word, how many words of its text there are from it on."""
     return np.repeat(bounds[1:], np.diff(bounds)) - np.arange(bounds[-1])
