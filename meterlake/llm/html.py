@@ -2,14 +2,16 @@
 
 The standard library's parser streams start tags, end tags and text. Text inside page furniture
 (menus, headers, footers, side bars, notices, adverts, forms, scripts, styles, reader comments; known
-by tag, role, class or id) is left out. The rest becomes lines, one per block element. Each line has
+by tag, role, whole names in class or id, or names made of such words) is left out. A form that holds
+all text of a page is no furniture. The rest becomes lines, one per block element. Each line has
 its text-to-tag ratio; the ratios are smoothed by a Gaussian, and lines at or over the standard
 deviation of the smoothed ratios are clustered as content. Each content line votes, with its
 length, for the article it stands in (`article` or `main`; else its parent block). Regions with at
 least a quarter of the best one's votes are kept, with all their lines, short ones too.
 
 White space inside a line becomes one space; lines are joined by newlines. A page that breaks off
-inside a tag loses that tag only.
+inside a tag loses that tag only. Declarations that html does not know are comments, a head ends where
+body text begins, and end tags of nothing open are passed by.
 
 Defined results: null or empty html gives an empty text, and so do pages without text. Repeated rows
 are each reported. Other columns are not read.
@@ -35,6 +37,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination comment comments commentlist disqus reply replies respond related recommended share sharing social newsletter subscribe signup login footer header masthead widget toolbar".split()
 )
+#: Words that furniture shares with running text: they count alone or beside other words of furniture or layout.
+SHARED = frozenset("side related notice notices note alert promo respond reply replies comment share sharing social header subscribe recommended popup signup login widget".split())
+LAYOUT = frozenset("area bar block body box button buttons column container content form group inner item items left link links list main meta module nav page panel post posts article articles region right row section site sub top bottom stories text title wrap wrapper".split())
+HEAD_TAGS = frozenset("base link meta noscript script style template title html head".split())
 KEPT_WHOLE = frozenset(["html", "body", "article", "main"])
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -55,26 +61,38 @@ def is_furniture(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and any(p.lower() in FURNITURE for p in _PARTS.findall(value)):
+        if name in ("class", "id") and any(map(names_furniture, value.split())):
             return True
     return False
 
 
+def names_furniture(name: str) -> bool:
+    """Does a class or id name furniture: by a word of its own, or by a shared one among words of layout?"""
+    words = [w.lower() for w in _PARTS.findall(name) if not w.isdigit()]
+    if any(w in FURNITURE and w not in SHARED for w in words):
+        return True
+    return any(w in SHARED for w in words) and all(w in FURNITURE or w in LAYOUT for w in words)
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region) per block from a page's events."""
+    """Collects (text, tags, region, in a form) per block from a page's events.
+
+    What is open stands with how it is left out: 0 not, 1 as part of a form, 2 as other furniture.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, left out (itself or around it)
-        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, int, int]] = []  # tag, number, how left out (itself or around it)
+        self.opened: dict[str, int] = {}  # how many of a tag are open
+        self.articles: list[int] = []  # numbers of the open articles
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.count = 0
 
     def region(self) -> int:
         """The outermost article or main, else the innermost block that is no text block."""
-        for tag, number, _ in self.open:
-            if tag in ("article", "main"):
-                return number
+        if self.articles:
+            return self.articles[0]
         for tag, number, _ in reversed(self.open):
             if tag in SCOPE and tag not in ("ul", "ol", "dl", "table", "blockquote"):
                 return number
@@ -83,20 +101,30 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, max(1, self.tags), self.region()))
+            self.lines.append((text, max(1, self.tags), self.region(), self.left_out() == 1))
             self.tags = 0
         self.text = []
 
-    def left_out(self) -> bool:
-        return bool(self.open) and self.open[-1][2]
+    def left_out(self) -> int:
+        return self.open[-1][2] if self.open else 0
 
     def close_to(self, at: int) -> None:
         if any(t in BLOCK or out for t, _, out in self.open[at:]):
             self.end_line()
+        for tag, _, _ in self.open[at:]:
+            self.opened[tag] -= 1
+            if tag in ("article", "main"):
+                self.articles.pop()
         del self.open[at:]
 
+    def end_head(self) -> None:
+        if self.opened.get("head"):
+            self.close_to(next(i for i, x in enumerate(self.open) if x[0] == "head"))
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag not in HEAD_TAGS:
+            self.end_head()
         if tag in BLOCK or tag in VOID:
             closing = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
             for at in range(len(self.open) - 1, -1, -1):
@@ -104,8 +132,12 @@ class Lines(HTMLParser):
                     self.close_to(at)
                 elif self.open[at][0] in SCOPE:
                     break
-        out = self.left_out() or is_furniture(tag, attrs)
-        if tag in BLOCK or out and not self.left_out():
+        out = before = self.left_out()
+        if out == 1 and tag in ("article", "main"):
+            out = 0
+        if out < 2 and is_furniture(tag, attrs):
+            out = 1 if tag == "form" else 2
+        if tag in BLOCK or out != before:
             self.end_line()
         if tag in VOID:
             if tag == "br" and not out:
@@ -113,21 +145,33 @@ class Lines(HTMLParser):
             return
         self.count += 1
         self.open.append((tag, self.count, out))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
+        if tag in ("article", "main"):
+            self.articles.append(self.count)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.close_to(at)
-                return
+        if self.opened.get(tag):
+            at = len(self.open) - 1
+            while self.open[at][0] != tag:
+                at -= 1
+            self.close_to(at)
 
     def handle_data(self, data):
-        if not self.left_out():
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
+        if self.left_out() < 2:
             self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
 
 def smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     reach = max(1, math.ceil(2 * sigma))
@@ -146,7 +190,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(_UNENDED.sub("", html))
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    lines = [x[:3] for x in parser.lines if not x[3]] or [x[:3] for x in parser.lines]
     if not lines:
         return ""
     ratios = smooth([len(text) / tags for text, tags, _ in lines], sigma)
