@@ -1,6 +1,6 @@
 """Exact top-k by inner product, with a ball tree per shard and branch and bound.
 
-Vectors become whole numbers, floor(scale * x). They are dealt into shards of about `shard_rows`
+Vectors become whole numbers, floor(scale * x), within the range of a 64-bit number. They are dealt into shards of about `shard_rows`
 rows, the queries into blocks of about `query_rows`; each (shard, block) cell is one group of a
 cogrouped pandas job, so memory is bounded by a cell whatever the input. In a cell, a ball tree over
 the shard is searched once per query: nodes go by descending upper bound q.c + |q| r, and the search
@@ -8,10 +8,14 @@ ends at the first node whose bound lies below the current k-th score. That score
 k-th score which a first pass over one shard has found for the query, so every shard shares it. The
 best k of each shard are then ranked per query.
 
+Scores are exact. Where products of two vectors' components may pass 2**53, floating-point products
+only bound the search, and candidates are scored in whole numbers of any size; a score beyond the range
+of a 64-bit number counts as the end of that range.
+
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
 as query or candidate; rows with a null id neither. Vectors of other lengths than the query's are no
 candidates. Rows with the query's id are not its candidates. Ties go to the smaller id. Repeated
-rows are candidates each.
+rows are candidates each; a query id that stands on several rows is one query, by the smallest vector.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 FOUND = "query_id long, vec_id long, score long"
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 class BallTree:
@@ -33,6 +38,7 @@ class BallTree:
         self.rows, self.nodes = rows, []
         self._build(0, len(rows), leaf)
         self.rows, self.ids = rows[self.order], ids[self.order]
+        self.most = float(np.abs(rows).max(initial=0))
 
     def _build(self, lo: int, hi: int, leaf: int) -> int:
         own = self.rows[self.order[lo:hi]]
@@ -55,8 +61,15 @@ class BallTree:
 
     def search(self, query: np.ndarray, own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
         """Best k (score, id) of this tree with a score of at least floor."""
-        slack = 1e-6 * (1 + np.linalg.norm(query))
-        bounds = self.centers @ query + (np.linalg.norm(query) + slack) * (self.radii + 1e-6) + slack
+        norm = float(np.linalg.norm(query))
+        slack = 1e-6 * (1 + norm)
+        exact = self.most * float(np.abs(query).max(initial=0)) * len(query) < 2**53
+        if not exact:
+            # how far a floating-point score or bound may be from the true one
+            slack = max(slack, 1e-9 * norm * float(np.sqrt(len(query))) * self.most)
+            floor = -np.inf if floor <= LOW else floor - slack - 1e-9 * abs(floor)
+            whole = [int(x) for x in query.tolist()]
+        bounds = self.centers @ query + (norm + slack) * (self.radii + 1e-6) + slack
         heap, best, kth = [(-bounds[0], 0)], [], floor
         while heap and -heap[0][0] >= kth:
             _, at = heapq.heappop(heap)
@@ -67,12 +80,15 @@ class BallTree:
                         heapq.heappush(heap, (-bounds[child], child))
                 continue
             scores, ids = self.rows[lo:hi] @ query, self.ids[lo:hi]
-            good = (scores >= kth) & (ids != own_id)
-            best += zip((-scores[good]).tolist(), ids[good].tolist(), strict=True)
+            good = (scores >= kth - (0 if exact else slack)) & (ids != own_id)
+            if exact:
+                best += zip((-scores[good]).tolist(), ids[good].tolist(), strict=True)
+            else:
+                best += ((-min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), LOW), HIGH), i) for row, i in zip(self.rows[lo:hi][good].tolist(), ids[good].tolist(), strict=True))
             best.sort()
             del best[k:]
-            if len(best) == k:
-                kth = max(kth, -best[-1][0])
+            if len(best) == k and (exact or -best[-1][0] > LOW):
+                kth = max(kth, -float(best[-1][0]) - (0 if exact else slack))
         return [(int(-s), i) for s, i in best]
 
 
@@ -103,6 +119,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     n_blocks = max(1, -(-queries.count() // query_rows))
     spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), spread("vec_id", n_blocks).alias("block"))
     sharded = vectors.select("vec_id", "v", spread("vec_id", n_shards).alias("shard"))
     search = lambda left, right: _search_cell(left, right, k)
