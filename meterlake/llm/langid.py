@@ -3,12 +3,13 @@
 Training counts each n-gram (letters with the gaps around words, lower-cased) per language over all
 training rows, in tasks first and then by a shuffled sum. An n-gram belongs to each language where
 its relative frequency is at least `share` of its highest one. All languages share one filter: an
-array of `slots` 64-bit words, bit l of which is for language l; an n-gram ORs its mask into
-`hashes` words. A lookup ANDs those words, which gives all languages that hold the n-gram at once.
+array of `slots` 64-bit words for every 63 languages, one bit for each; an n-gram ORs its masks into
+`hashes` slots. A lookup ANDs those words, which gives all languages that hold the n-gram at once.
 Per text, the bits are counted per language and corrected for each language's own rate of false
 positives (c - n p) / (1 - p); the highest count decides, ties go to the smaller name.
 
-The filter has a fixed size (slots * 8 bytes), so it may be broadcast. At most 63 languages.
+The filter takes slots * 8 bytes for every 63 languages, so it may be broadcast. The names of the
+languages come to the driver, any number of them.
 
 Defined results: a null text or one without letters gives `und` and 0. A text whose n-grams are all
 unknown gets the most frequent language and 0. Training skips null texts and null languages. Without
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from meterlake.llm.tasks import cut, map_texts
 from meterlake.llm.words import mix
 
+#: Languages for each 64-bit word of the filter.
+WIDE = 63
 _letters: list[np.ndarray] = []
 #: Characters that one numpy block holds at most, but for a single longer text.
 BLOCK_CHARS = 1 << 19
@@ -96,13 +99,14 @@ class Filter:
 
     def __init__(self, labels: list[str], common: str | None, bits: np.ndarray, hashes: int):
         self.labels, self.common, self.bits, self.hashes = labels, common, bits, hashes
-        fill = np.array([np.mean((bits >> np.uint64(i)) & np.uint64(1)) for i in range(len(labels))]) if labels else np.zeros(0)
+        fill = np.array([np.mean((bits[i // WIDE] >> np.uint64(i % WIDE)) & np.uint64(1)) for i in range(len(labels))]) if labels else np.zeros(0)
         self.false_rate = np.minimum(fill**hashes, 0.999)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        out = np.full(len(grams), np.uint64(0xFFFFFFFFFFFFFFFF))
+        """Per word of languages and n-gram the languages that hold it."""
+        out = np.full((len(self.bits), len(grams)), np.uint64(0xFFFFFFFFFFFFFFFF))
         for j in range(self.hashes):
-            out &= self.bits[slot(grams, j, len(self.bits))]
+            out &= self.bits[:, slot(grams, j, self.bits.shape[1])]
         return out
 
     def predict(self, texts: list[str | None], n: int) -> tuple[list[str], list[float]]:
@@ -117,7 +121,7 @@ class Filter:
                 scores += [0.0] * len(own)
                 continue
             masks = self.masks(grams)
-            hits = np.stack([np.bincount(at, ((masks >> np.uint64(i)) & np.uint64(1)).astype(float), len(own)) for i in range(len(self.labels))], 1)
+            hits = np.stack([np.bincount(at, ((masks[i // WIDE] >> np.uint64(i % WIDE)) & np.uint64(1)).astype(float), len(own)) for i in range(len(self.labels))], 1)
             right = np.maximum((hits - total[:, None] * self.false_rate) / (1 - self.false_rate), 0)
             best, sums = right.argmax(1), right.sum(1)
             for i, text in enumerate(own):
@@ -143,26 +147,26 @@ def train_filter(train: DataFrame, n: int = 3, label_col: str = "lang", text_col
     counts = cut(counts)
     totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     labels = sorted(totals)
-    if len(labels) > 63:
-        raise ValueError("more than 63 languages")
-    bits = np.zeros(slots, np.uint64)
+    words = max(1, -(-len(labels) // WIDE))
+    bits = np.zeros((words, slots), np.uint64)
     if labels:
-        rate = F.col("n") / F.element_at(F.create_map(*(F.lit(x) for kv in totals.items() for x in kv)), F.col("label"))
-        bit = F.element_at(F.create_map(*(F.lit(x) for i, label in enumerate(labels) for x in (label, 1 << i))), F.col("label")).cast("long")
-        rows = counts.select("gram", rate.alias("rate"), bit.alias("bit")).groupBy("gram").agg(F.collect_list(F.struct("rate", "bit")).alias("all"), F.max("rate").alias("top"))
-        mask = F.aggregate(F.filter("all", lambda x: x["rate"] >= F.lit(share) * F.col("top")), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["bit"]))
+        names = counts.sparkSession.createDataFrame([(label, totals[label], i // WIDE, 1 << (i % WIDE)) for i, label in enumerate(labels)], "label string, total long, word int, bit long")
+        rated = counts.join(F.broadcast(names), "label").select("gram", "word", "bit", (F.col("n") / F.col("total")).alias("rate"))
+        rows = rated.groupBy("gram").agg(F.collect_list(F.struct("rate", "word", "bit")).alias("all"), F.max("rate").alias("top"))
+        held = rows.select("gram", F.explode(F.filter("all", lambda x: x["rate"] >= F.lit(share) * F.col("top"))).alias("x"))
+        rows = held.groupBy("gram", "x.word").agg(F.bit_or("x.bit").alias("mask"))
 
         def placed(frames):
-            held = np.zeros(slots, np.uint64)
+            held = np.zeros((words, slots), np.uint64)
             for frame in frames:
                 grams, masks = frame["gram"].to_numpy(np.int64).view(np.uint64), frame["mask"].to_numpy(np.int64).view(np.uint64)
                 for j in range(hashes):
-                    np.bitwise_or.at(held, slot(grams, j, slots), masks)
-            at = np.flatnonzero(held)
-            yield pd.DataFrame({"slot": at, "mask": held[at].view(np.int64)})
+                    np.bitwise_or.at(held, (frame["word"].to_numpy(), slot(grams, j, slots)), masks)
+            for word, at in ((i, np.flatnonzero(held[i])) for i in range(words)):
+                yield pd.DataFrame({"word": word, "slot": at, "mask": held[word, at].view(np.int64)})
 
-        found = rows.select("gram", mask.alias("mask")).mapInPandas(placed, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        bits[found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
+        found = rows.mapInPandas(placed, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bits[found["word"].to_numpy(), found["slot"].to_numpy()] = found["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(labels, min(labels, key=lambda x: (-totals[x], x), default=None), bits, hashes)
 
 
