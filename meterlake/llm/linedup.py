@@ -1,25 +1,28 @@
 """Repeated and nearly repeated lines by a segment-partition edit join.
 
-Lines are normalised (lower case, white space collapsed); those of at least `min_chars` characters
-take part and are known by a 64-bit hash. Shorter lines of at least two words (between spaces) take
-part as exact repeats only. Equal lines are one class, whose first place is its smallest
-(document, line number). Each class of length L is cut into threshold + 1 segments, indexed by (L,
-segment number, segment). A class probes the segments of its own and of the up to `threshold`
-shorter lengths with the substrings at the few offsets an alignment within the threshold allows. Two
-lines within the threshold must share a segment. A pair that shares one must also agree in a 64-bit
-parity sketch of its letter pairs up to 4 bits per edit, a test which never loses a pair within the
-threshold and is made inside the join. What passes is verified on the texts by a banded bit-parallel
-edit distance.
-
-Only hashes are shuffled, and the texts of candidate lines: a Bloom filter of the candidates, of a
-fixed size, keeps the other lines from it. All hashing runs on blocks of many lines at once.
+Lines are normalised (lower case, white space collapsed) and known by a 64-bit hash. Every line that
+is not empty takes part as an exact repeat; those of at least `min_chars` characters also take part
+as near repeats. Equal lines are one class, whose first place is its smallest (document, line
+number). Each line of length L is cut into threshold + 1 segments, indexed by (L, segment number,
+segment). A line probes the segments of its own and of the up to `threshold` shorter lengths with the
+substrings at the few offsets an alignment within the threshold allows. Two lines within the threshold
+must share a segment. A pair that shares one must also agree in a 64-bit parity sketch of its letter
+pairs up to 4 bits per edit, a test which never loses a pair within the threshold. What passes is
+verified on the texts by a banded bit-parallel edit distance.
+
+One pass over the texts makes the index and probe rows. They are hashed, packed by ranges of keys into
+byte strings, and dealt to one partition per range, where a sort brings equal segments together and
+repeats of a line fall away. A segment that very many different lines share is not compared there: its
+members leave in blocks of `block_rows`, and pairs of blocks are dealt to tasks of their own. Texts are
+never shuffled but for candidate lines: a Bloom filter of their places, of a fixed size, keeps the
+other lines from it.
 
 A class is removed if a class within the threshold has an earlier first place; of the other classes
 the first place is kept.
 
-Defined results: null and empty texts have no lines. Lines of one word under `min_chars` take no part and always stay.
-Rows with a null id take no part; rows that repeat an id count as one document whose lines
-have equal numbers. Other columns are kept by remove_lines.
+Defined results: null and empty texts have no lines, and lines of white space take no part and always
+stay. Rows with a null id take no part; rows that repeat an id count as one document whose lines have
+equal numbers. Ids are read as 64-bit numbers. Other columns are kept by remove_lines.
 """
 
 from __future__ import annotations
@@ -33,21 +36,25 @@ from pyspark.sql import DataFrame, functions as F
 from meterlake.llm import words as W
 from meterlake.llm.tasks import cut, parts, small_side, spread_join
 
-#: Bits of the filter of candidate lines.
-FILTER_BITS = 1 << 24
 #: Characters that one block holds at most, but for a single longer line.
 BLOCK_CHARS = 1 << 18
+#: Characters whose keys a task packs together.
+PACK_CHARS = 1 << 22
+#: Bytes of text for each range of keys; the keys of a range take at most 12 times as much.
+RANGE_BYTES = 1 << 24
+#: Bits of the filter of candidate lines.
+FILTER_BITS = 1 << 24
+
+KEYS = np.dtype([("key", "<u8"), ("id", "<i8"), ("sketch", "<u8")])
+PLACES = np.dtype([("doc_id", "<i8"), ("line_no", "<i4"), ("id", "<i8")])
 
 
-def normal_lines(text: str | None, min_chars: int, short: bool = False) -> list[tuple[int, str]]:
-    """(line number, normalised line) of the lines that take part; with short, of shorter ones of two words or more too."""
+def normal_lines(text: str | None) -> list[tuple[int, str]]:
+    """(line number, normalised line) of the lines that are not empty."""
     if not isinstance(text, str):
         return []
-    if short:
-        lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")))
-        return [(i, line) for i, line in lines if len(line) >= min_chars or " " in line]
-    lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")) if len(line) >= min_chars)
-    return [(i, line) for i, line in lines if len(line) >= min_chars]
+    lines = ((i, " ".join(line.split())) for i, line in enumerate(text.lower().split("\n")))
+    return [(i, line) for i, line in lines if line]
 
 
 class Lines:
@@ -67,7 +74,7 @@ class Lines:
 
     def parity(self) -> np.ndarray:
         """Per line the XOR of one bit per pair of neighbouring characters; one edit flips at most 4 bits."""
-        bits = np.uint64(1) << (W.mix(self.codes[:-1] * np.uint64(0x110000) + self.codes[1:]) >> np.uint64(58))
+        bits = np.uint64(1) << ((self.codes[:-1] * np.uint64(0x110000) + self.codes[1:]) * W._BASE >> np.uint64(58))
         all_before = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, np.uint64)
         return all_before[self.starts + self.sizes - 1] ^ all_before[self.starts]
 
@@ -83,108 +90,253 @@ def probe_offsets(threshold: int) -> list[tuple[int, int, int]]:
     return [(d, i, off) for d in range(threshold + 1) for i in range(threshold + 1) for off in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)]
 
 
-def keys_of(lines: Lines, threshold: int, indexed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(line numbers, keys) of the indexed segments, or of the probes."""
+def keys_of(lines: Lines, own: np.ndarray, threshold: int, indexed: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line numbers, keys) of the indexed segments, or of the probes, of the lines whose numbers stand in own."""
     parts = threshold + 1
+    sizes, starts = lines.sizes[own], lines.starts[own]
     for d, i, off in [(0, i, 0) for i in range(parts)] if indexed else probe_offsets(threshold):
-        other = lines.sizes - d
+        other = sizes - d
         start, size = segment(other, i, parts)
         at = start + off
-        good = np.flatnonzero((other >= parts) & (at >= 0) & (at + size <= lines.sizes))
+        good = np.flatnonzero((other >= parts) & (at >= 0) & (at + size <= sizes))
         salt = (other[good] * 16 + i).astype(np.uint64)
-        yield good, W.mix(lines.hashes(lines.starts[good] + at[good], size[good]) + salt)
+        yield own[good], W.mix(lines.hashes(starts[good] + at[good], size[good]) + salt)
 
 
-def blocks_of(batch: pa.RecordBatch, min_chars: int, short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], Lines]]:
-    """(ids of documents, line numbers, lines, arrays) by blocks of a batch of (doc_id, text)."""
+def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Lines]]:
+    """(ids of documents, line numbers, lines) by blocks of a batch of (doc_id, text)."""
     docs, numbers, lines, held = [], [], [], 0
     for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-        for i, line in normal_lines(text, min_chars, short):
+        for i, line in normal_lines(text):
             docs.append(doc)
             numbers.append(i)
             lines.append(line)
             held += len(line)
             if held >= BLOCK_CHARS:
-                yield np.array(docs, np.int64), np.array(numbers, np.int32), lines, Lines(lines)
+                yield np.array(docs, np.int64), np.array(numbers, np.int32), Lines(lines)
                 docs, numbers, lines, held = [], [], [], 0
     if lines:
-        yield np.array(docs, np.int64), np.array(numbers, np.int32), lines, Lines(lines)
+        yield np.array(docs, np.int64), np.array(numbers, np.int32), Lines(lines)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
 
-def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, line_no, id of every line that takes part."""
+OCCURRENCE, INDEX, PROBE, PAIR = range(4)
+
+
+def packed_rows(texts: DataFrame, threshold: int, min_chars: int, ranges: int) -> DataFrame:
+    """range, kind, data: index and probe rows (KEYS) by ranges of keys, and places of lines (PLACES) in any range."""
+
+    def packed(batches):
+        turn = 0
+        held: dict[int, list[np.ndarray]] = {INDEX: [], PROBE: []}
+        chars = 0
+
+        def row(at, kind, data):
+            return at, kind, data.tobytes()
+
+        def flush():
+            out = []
+            for kind, arrays in held.items():
+                rows = np.concatenate([np.zeros(0, KEYS), *arrays])
+                if len(rows):
+                    at = (rows["key"] % np.uint64(ranges)).astype(np.int64)
+                    order = np.argsort(at, kind="stable")
+                    used, first = np.unique(at[order], return_index=True)
+                    out += [row(r, kind, rows[order[lo:hi]]) for r, lo, hi in zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(rows)], strict=True)]
+                    arrays.clear()
+            if out:
+                yield batch_of(out)
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["range", "kind", "data"])
+
+        for part in parts(batches):
+            for doc, number, lines in blocks_of(part):
+                ids = lines.ids().view(np.int64)
+                places = np.zeros(len(ids), PLACES)
+                places["doc_id"], places["line_no"], places["id"] = doc, number, ids
+                turn += 1
+                yield batch_of([row((turn * 7919 + int(ids[0])) % ranges, OCCURRENCE, places)])
+                own = np.unique(ids, return_index=True)[1]
+                own = own[lines.sizes[own] >= min_chars]
+                sketch = lines.parity()
+                for kind in (INDEX, PROBE):
+                    for at, keys in keys_of(lines, own, threshold, kind == INDEX):
+                        rows = np.zeros(len(at), KEYS)
+                        rows["key"], rows["id"], rows["sketch"] = keys, ids[at], sketch[at]
+                        held[kind].append(rows)
+                chars += int(lines.sizes.sum())
+                if chars >= PACK_CHARS:
+                    yield from flush()
+                    chars = 0
+        yield from flush()
+
+    return texts.mapInArrow(packed, "range int, kind int, data binary")
+
+
+def once(rows: np.ndarray) -> np.ndarray:
+    """The rows sorted by key and id, each (key, id) once."""
+    rows = rows[np.lexsort((rows["id"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])
+    return rows[new]
+
+
+def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, most: int = 1 << 21) -> Iterator[np.ndarray]:
+    """Pairs (smaller id, larger id) of each probe with the index rows lo .. hi whose sketches allow the threshold."""
+    total = np.cumsum(hi - lo)
+    at = 0
+    while at < len(probe):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        n = (hi - lo)[at:end]
+        a = np.repeat(np.arange(at, end), n)
+        b = np.repeat(lo[at:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        near = np.bitwise_count(probe["sketch"][a] ^ index["sketch"][b]) <= 4 * threshold
+        a, b = probe["id"][a[near]], index["id"][b[near]]
+        yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        at = end
+
+
+def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int) -> DataFrame:
+    """kind, a, b, line_no, data: places (document, hash of the line, number), candidate pairs (hashes) and blocks of hot segments (key, block)."""
+
+    def rows(kind, a, b, line=None, data=None):
+        n = len(a)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(n, pa.int32()) if line is None else pa.array(line), pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())],
+            names=["kind", "a", "b", "line_no", "data"],
+        )
+
+    def joined(batches):
+        held: dict[int, list[np.ndarray]] = {INDEX: [], PROBE: []}
+        for batch in batches:
+            for kind, data in zip(batch["kind"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                if kind == OCCURRENCE:
+                    places = np.frombuffer(data, PLACES)
+                    yield rows(OCCURRENCE, np.ascontiguousarray(places["doc_id"]), np.ascontiguousarray(places["id"]), np.ascontiguousarray(places["line_no"]))
+                else:
+                    held[kind].append(np.frombuffer(data, KEYS))
+        if not (held[INDEX] and held[PROBE]):
+            return
+        index, probe = (once(np.concatenate(held.pop(kind))) for kind in (INDEX, PROBE))
+        lo, hi = np.searchsorted(index["key"], probe["key"], "left"), np.searchsorted(index["key"], probe["key"], "right")
+        some = hi > lo
+        probe, lo, hi = probe[some], lo[some], hi[some]
+        keys, first, n = np.unique(probe["key"], return_index=True, return_counts=True)
+        crowded = (hi - lo)[first] * n > hot
+        for key, at, size in zip(keys[crowded].tolist(), first[crowded].tolist(), n[crowded].tolist(), strict=True):
+            for kind, own in ((INDEX, index[lo[at] : hi[at]]), (PROBE, probe[at : at + size])):
+                for block in range(-(-len(own) // block_rows)):
+                    yield rows(kind, np.array([key], np.uint64).view(np.int64), np.array([block]), data=[own[block * block_rows : (block + 1) * block_rows].tobytes()])
+        cool = ~np.repeat(crowded, n)
+        for pairs in matches(probe[cool], lo[cool], hi[cool], index, threshold):
+            if len(pairs):
+                yield rows(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+
+    return packed.mapInArrow(joined, "kind int, a long, b long, line_no int, data binary")
+
+
+def hot_pairs(found: DataFrame, threshold: int) -> DataFrame:
+    """a, b: candidate pairs of the segments that many lines share, one pair of blocks a row."""
+    side = lambda kind, name: found.where(F.col("kind") == kind).select(F.col("a").alias("key"), F.col("data").alias(name))
+    pairs = spread_join(side(PROBE, "probe"), side(INDEX, "index"), ["key"])
+
+    def compared(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                probe, index = (np.frombuffer(batch[c][i].as_py(), KEYS) for c in ("probe", "index"))
+                for p in matches(probe, np.zeros(len(probe), np.int64), np.full(len(probe), len(index)), index, threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
-    def found(batches):
-        for batch in parts(batches):
-            for doc, number, _, lines in blocks_of(batch, min_chars, short=True):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(number), pa.array(lines.ids().view(np.int64))], names=["doc_id", "line_no", "id"])
+    # pairs of blocks are dealt to tasks one by one
+    return pairs.select("probe", "index").repartition(F.xxhash64("probe", "index")).mapInArrow(compared, "a long, b long")
 
-    return _texts(docs, id_col, text_col).mapInArrow(found, "doc_id long, line_no int, id long")
 
+def find(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line_no, id of every line that takes part; a, b: candidate pairs, each once)."""
+    texts, spark = _texts(docs, id_col, text_col), docs.sparkSession
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
+    packed = packed_rows(texts, threshold, min_chars, ranges)
+    found = cut(found_rows(packed.repartitionById(ranges, F.col("range")), threshold, hot, block_rows))
+    every = found.where(F.col("kind") == OCCURRENCE).select(F.col("a").alias("doc_id"), "line_no", F.col("b").alias("id"))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").unionByName(hot_pairs(found, threshold)).distinct()
+    return every, cut(pairs)
 
-def segment_rows(docs: DataFrame, threshold: int, min_chars: int, indexed: bool, id_col: str, text_col: str) -> DataFrame:
-    """key, id, sketch: the indexed segments, or the probes, of all lines; repeats within a block are left out."""
 
-    def found(batches):
-        for batch in parts(batches):
-            for _, _, texts, _ in blocks_of(batch, min_chars):
-                lines = Lines(sorted(set(texts)))
-                ids, sketch = lines.ids().view(np.int64), lines.parity().view(np.int64)
-                for own, keys in keys_of(lines, threshold, indexed):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[own]), pa.array(sketch[own])], names=["key", "id", "sketch"])
-
-    return _texts(docs, id_col, text_col).mapInArrow(found, "key long, id long, sketch long")
-
-
-def candidates(docs: DataFrame, threshold: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """a, b: pairs of lines that share a segment and whose sketches allow the threshold; each pair once."""
-    # dealt by key once: there a line that stands in many blocks is kept once, and the join needs no other exchange
-    once = lambda indexed: segment_rows(docs, threshold, min_chars, indexed, id_col, text_col).repartition("key").dropDuplicates(["key", "id"])
-    index, probe = once(True).toDF("key", "b", "sketch_b"), once(False).toDF("key", "a", "sketch_a")
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 4 * threshold
-    pairs = probe.join(index, (probe["key"] == index["key"]) & (F.col("a") != F.col("b")) & near)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def candidate_lines(docs: DataFrame, pairs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """id, line of the lines that stand in pairs, and of few others."""
-    slots = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod("id", F.lit(FILTER_BITS)).alias("slot"))
-    one = slots.selectExpr("slot div 64 as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
-    made = one.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
+
+
+def lines_at(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, line of the lines at the places (doc_id, line_no), and of few others."""
+
+    def marked(batches):
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        for batch in batches:
+            at = place_hash(batch["doc_id"].to_numpy(), batch["line_no"].to_numpy()) % np.uint64(FILTER_BITS)
+            np.bitwise_or.at(bits, (at // np.uint64(64)).astype(np.int64), np.uint64(1) << (at % np.uint64(64)))
+        word = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], names=["word", "bits"])
+
+    made = places.select("doc_id", "line_no").mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     words[made["word"].to_numpy()] = made["bits"].to_numpy().astype(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def found(batches):
-        held = shared.value
-        for batch in parts(batches):
-            for _, _, texts, lines in blocks_of(batch, min_chars):
-                ids = lines.ids()
-                at = ids.view(np.int64) % FILTER_BITS
-                good = np.flatnonzero((held[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
-                good = good[np.unique(ids[good], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[good].view(np.int64)), pa.array([texts[i] for i in good], pa.string())], names=["id", "line"])
+        bits = shared.value
+        for part in parts(batches):
+            texts = part["text"].to_pylist()
+            n = np.array([t.count("\n") + 1 for t in texts], np.int64)
+            before = np.cumsum(n) - n
+            line = np.arange(n.sum()) - np.repeat(before, n)
+            at = place_hash(np.repeat(part["doc_id"].to_numpy(), n), line) % np.uint64(FILTER_BITS)
+            hit = np.flatnonzero((bits[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1))
+            wanted: dict[int, list[int]] = {}
+            for i, number in zip((np.searchsorted(before, hit, "right") - 1).tolist(), line[hit].tolist(), strict=True):
+                wanted.setdefault(i, []).append(number)
+            lines = []
+            for i, numbers in wanted.items():
+                own = texts[i].lower().split("\n")
+                lines += [" ".join(own[j].split()) for j in numbers if j < len(own)]
+            lines = sorted({x for x in lines if x})
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(Lines(lines).ids().view(np.int64)), pa.array(lines, pa.string())], names=["id", "line"])
 
     return _texts(docs, id_col, text_col).mapInArrow(found, "id long, line string").groupBy("id").agg(F.min("line").alias("line"))
 
 
-def links(docs: DataFrame, threshold: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, distance: pairs of different lines (hashes) within the threshold, each once."""
-    pairs = cut(candidates(docs, threshold, min_chars, id_col, text_col))
-    text = cut(candidate_lines(docs, pairs, min_chars, id_col, text_col))
-    both = spread_join(spread_join(pairs, text.toDF("a", "line_a"), ["a"]), text.toDF("b", "line_b"), ["b"])
+def verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """a, b, distance: the pairs whose lines are within the threshold."""
+    both = spread_join(spread_join(pairs, lines.toDF("a", "line_a"), ["a"]), lines.toDF("b", "line_b"), ["b"])
 
-    def verified(batches):
+    def compared(batches):
         for batch in batches:
             found = [within(x, y, threshold) for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(found, pa.int32())], names=["a", "b", "distance"])
             yield out.filter(pa.array([d <= threshold for d in found], pa.bool_()))
 
-    return both.select("a", "b", "line_a", "line_b").mapInArrow(verified, "a long, b long, distance int")
+    return both.select("a", "b", "line_a", "line_b").mapInArrow(compared, "a long, b long, distance int")
+
+
+def classes_and_links(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every line's place; places of repeated and candidate lines; a, b, distance of different lines within the threshold)."""
+    every, pairs = find(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    again = every.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    own = cut(spread_join(every, small_side(again.unionByName(ends).distinct()), ["id"]))
+    firsts = own.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("first.*")
+    lines = cut(lines_at(docs, firsts, id_col, text_col))
+    return every, own, cut(verified(pairs, lines, threshold))
+
+
+def links(docs: DataFrame, threshold: int = 2, min_chars: int = 30, hot: int = 1 << 26, block_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, distance: pairs of different lines (hashes) within the threshold, each once."""
+    return classes_and_links(docs, threshold, min_chars, hot, block_rows, id_col, text_col)[2]
 
 
 def within(a: str, b: str, threshold: int) -> int:
@@ -231,39 +383,44 @@ def within(a: str, b: str, threshold: int) -> int:
     return next((e for e in range(threshold + 1) if reach[e] & goal), threshold + 1)
 
 
-def line_marks(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def marks_of(own: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, line_no, removed, n_links, first_doc_id: every line that is removed or has links to different lines.
 
     first_doc_id: where the line, or the earliest line within the threshold, stands first.
     """
-    every = cut(occurrences(docs, min_chars, id_col, text_col))
-    classes = every.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    found = cut(links(docs, threshold, min_chars, id_col, text_col))
+    classes = own.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = both.join(classes.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("other")).withColumnRenamed("a", "id")
     marked = classes.join(ends, "id", "left").where("n > 1 or n_links is not null")
     marked = marked.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", "other").alias("earliest"))
-    own = spread_join(every, marked, ["id"])
     here = F.struct("doc_id", "line_no")
-    return own.select("doc_id", "line_no", (here > F.col("earliest")).alias("removed"), "n_links", F.col("earliest.doc_id").alias("first_doc_id")).where("removed or n_links > 0")
+    marks = spread_join(own, marked, ["id"])
+    return marks.select("doc_id", "line_no", (here > F.col("earliest")).alias("removed"), "n_links", F.col("earliest.doc_id").alias("first_doc_id")).where("removed or n_links > 0")
+
+
+def line_marks(docs: DataFrame, threshold: int = 2, min_chars: int = 30, hot: int = 1 << 26, block_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As marks_of, for the lines of docs."""
+    _, own, found = classes_and_links(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
+    return marks_of(own, found)
 
 
 def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, n_links, first_doc_ids (sorted ids where removed lines stand first).
 
-    n_lines counts the lines that are no shorter than min_chars as they stand, or have two words or more.
+    n_lines counts the lines that take part. Rows that repeat an id each report the figures of the id.
     """
-    size = F.size(F.filter(F.split(text_col, "\n"), lambda x: (F.char_length(x) >= min_chars) | x.rlike(r"\S\s+\S")))
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.when(F.col(text_col).isNotNull(), size), F.lit(0)).cast("long").alias("n_lines"))
-    marks = line_marks(docs, threshold, min_chars, id_col, text_col)
+    every, own, found = classes_and_links(docs, threshold, min_chars, 1 << 26, 8192, id_col, text_col)
+    marks = marks_of(own, found)
     per = marks.groupBy("doc_id").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc_id")))).alias("first_doc_ids"))
-    none = F.array().cast("array<bigint>")
-    return every.join(per, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first_doc_ids", none).alias("first_doc_ids"))
+    sizes = every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(sizes, "doc_id", "left").join(per, "doc_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("doc_id", count("n_lines"), count("n_removed"), count("n_links"), F.coalesce("first_doc_ids", F.array().cast("array<bigint>")).alias("first_doc_ids"))
 
 
 def remove_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the removed lines in their texts; all rows and columns stay."""
-    gone = line_marks(docs, threshold, min_chars, id_col, text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+    gone = line_marks(docs, threshold, min_chars, id_col=id_col, text_col=text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     gone = small_side(gone.withColumnRenamed("doc_id", id_col), F.size("__gone") + 1)
     both = docs.join(gone, id_col, "left")
     parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i))

@@ -10,7 +10,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from meterlake.llm import balltree, html, licenses, linedup, neardup, packing, queries as Q, substrings
+from meterlake.llm import balltree, html, langid, licenses, linedup, neardup, packing, queries as Q, substrings
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -124,24 +124,55 @@ def test_line_links(spark):
     d = spark.createDataFrame([(i, "\n".join(lines[i::10])) for i in range(10)], "doc_id long, text string")
     lines = [" ".join(x.split()) for x in lines]
     names = dict(zip(linedup.Lines(lines).ids().view(np.int64).tolist(), lines, strict=True))
-    found = {(frozenset((names[r["a"]], names[r["b"]])), r["distance"]) for r in linedup.links(d, 2, 30).collect()}
+    found, hot = ({(frozenset((names[r["a"]], names[r["b"]])), r["distance"]) for r in linedup.links(d, 2, 30, **kw).collect()} for kw in ({}, {"hot": 2, "block_rows": 2}))
     distinct = sorted(x for x in names.values() if len(x) >= 30)
     expect = {(frozenset((a, b)), distance(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}
-    assert found == expect and expect
+    assert found == hot == expect and expect
+
+
+def test_segment_that_many_lines_share(spark):
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(1000)]
+    lines = [f"an opening which all of these lines have: {x}" for name in names for x in (name, edited(rng, name, 1))]
+    d = spark.createDataFrame([(i, "\n".join(lines[i::50])) for i in range(50)], "doc_id long, text string")
+    expect = {frozenset((a, b)) for a, b in zip(lines[::2], lines[1::2], strict=True) if a != b}
+    by_id = dict(zip(linedup.Lines(lines).ids().view(np.int64).tolist(), lines, strict=True))
+    for kw in ({}, {"hot": 1000, "block_rows": 100}):
+        assert expect == {frozenset((by_id[r["a"]], by_id[r["b"]])) for r in linedup.links(d, **kw).collect()}
+
+
+def test_document_lines(spark):
+    rng = random.Random(8)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice([x, x.upper(), "  " + x, edited(rng, x, 1) or "x"]) for x in rng.choices(base, k=rng.randint(0, 8)))) for i in range(60)]
+    first, places = {}, collections.defaultdict(list)
+    for i, text in rows:
+        for j, line in enumerate(text.split("\n")):
+            line = " ".join(line.lower().split())
+            if line:
+                first.setdefault(line, (i, j))
+                places[i].append((j, line))
+    near = {x: [y for y in first if x != y and min(len(x), len(y)) >= 30 and distance(x, y) <= 2] for x in first}
+    expect = {}
+    for i, _ in rows:
+        gone = [(x, min(first[y] for y in (x, *near[x]))) for j, x in places[i] if min(first[y] for y in (x, *near[x])) < (i, j)]
+        expect[i] = (len(places[i]), len(gone), sum(len(near[x]) for _, x in places[i]), sorted({f[0] for _, f in gone}))
+    found = linedup.document_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"], r["first_doc_ids"]) for r in found.collect()} == expect
 
 
 def test_lines_removed(spark):
     line = "this is a line of more than thirty characters"
     d = spark.createDataFrame([(1, f"{line}\nshort\n{line}"), (2, f"short\n{line.upper()}  \nkeep"), (3, f"{line}x"), (4, None)], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in linedup.remove_lines(d).collect()}
-    assert kept == {1: f"{line}\nshort", 2: "short\nkeep", 3: "", 4: None}
+    assert kept == {1: f"{line}\nshort", 2: "keep", 3: "", 4: None}
 
 
 def test_short_repeated_lines(spark):
     d = spark.createDataFrame([(1, "two words\none\ntwo  Words"), (2, "Two words\none\ntwo wordz")], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in linedup.remove_lines(d).collect()}
-    assert kept == {1: "two words\none", 2: "one\ntwo wordz"}
-    assert {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in linedup.document_lines(d).collect()} == {(1, 2, 1), (2, 2, 1)}
+    assert kept == {1: "two words\none", 2: "two wordz"}
+    assert {(r["doc_id"], r["n_lines"], r["n_removed"]) for r in linedup.document_lines(d).collect()} == {(1, 3, 1), (2, 3, 2)}
 
 
 def shingles(text, k):
@@ -290,6 +321,21 @@ def test_balltree_against_all_pairs(spark):
         assert [found[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
+def test_balltree_with_huge_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-9, 10, 5) * 10.0 ** rng.integers(0, 12, 5)).tolist()) for i in range(300)]
+    table = spark.createDataFrame([*rows, (50, rows[50][1])], "vec_id long, embedding array<double>")
+    v = balltree.whole_vectors(table)
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in balltree.top_k(v, v.where("vec_id % 50 = 0"), 5, shard_rows=90, query_rows=3).collect()}
+    m = [[int(np.floor(256 * x)) for x in r[1]] for r in rows] + [[int(np.floor(256 * x)) for x in rows[50][1]]]
+    ids = [r[0] for r in rows] + [50]
+    for q in range(0, 300, 50):
+        best = sorted((-min(max(sum(a * b for a, b in zip(m[q], m[i], strict=True)), balltree.LOW), balltree.HIGH), ids[i]) for i in range(301) if ids[i] != q)[:5]
+        assert [found[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    extreme = balltree.whole_vectors(spark.createDataFrame([(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [-1e200, 2.0])], "vec_id long, embedding array<double>"))
+    assert [(r["vec_id"], r["score"]) for r in balltree.top_k(extreme, extreme.where("vec_id = 0"), 5).orderBy("rank").collect()] == [(1, balltree.HIGH), (2, balltree.LOW)]
+
+
 def test_pages(spark):
     for r in Q.table(spark, SF, "pages").collect():
         body = re.search(r"<article>(.*?)(</article>|\Z)", r["html"] or "", re.S)
@@ -303,6 +349,66 @@ def test_pages(spark):
     assert html.main_text(page) == "Head\ntext more"
 
 
+def test_odd_pages():
+    assert html.main_text("<p>one <![foo bar]> two<![ x]></p><![CDATA[z]]>") == "one two"
+    assert html.main_text("<head><title>t</title><p>text") == "text" and html.main_text("<head>text<title>t</title> more") == "text\nmore"
+    assert html.main_text("<body><form><p>all of it</p></form>") == "all of it"
+    assert html.main_text("<body><form>f<main><p>main</p></main></form><p>out</p>") in ("main", "main\nout")
+    article = '<article><h1>H</h1><p class="side-effects">effects of it</p><p id="related-work">work of others</p><div class="cookie-notice">c</div><div class="related-posts">r</div></article>'
+    assert html.main_text(article) == "H\neffects of it\nwork of others"
+    assert html.main_text("<div>" * 6000 + "x" + "</i>" * 6000) == "x"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<", ">", "</", "<!", "<![", "]]>", "<!--", "-->", "&", "&#x110000;", "&#0;", "p", "div", "article", "head", "form", "script", "title", " ", "=", "\"", "class=ad", "text", "/>", "<p>", "</p>", "<li>", "<br>", "<td>", "\x00", "é"]), max_size=40))
+def test_tag_soup(parts):
+    assert isinstance(html.main_text("".join(parts)), str)
+
+
+def test_choice_of_regions_without_article():
+    rng = random.Random(3)
+    for _ in range(40):
+        blocks = [("".join(rng.choice("abc ") for _ in range(rng.choice([5, 300]))).strip() or "a") for _ in range(rng.randint(1, 9))]
+        page = "".join(f"<div>{b}</div>" for b in blocks)
+        lines = [" ".join(b.split()) for b in blocks]
+        # a line's own start and end tag
+        ratio = [len(b) / 2 for b in lines]
+        weight = [np.exp(-d * d / 2) for d in range(3)]
+        soft = [sum(ratio[j] * weight[abs(i - j)] for j in range(len(lines)) if abs(i - j) <= 2) / sum(weight[abs(i - j)] for j in range(len(lines)) if abs(i - j) <= 2) for i in range(len(lines))]
+        votes = [len(b) if s >= np.std(soft) - 1e-9 else 0 for b, s in zip(lines, soft, strict=True)]
+        assert html.main_text(page) == "\n".join(b for b, v in zip(lines, votes, strict=True) if 4 * v >= max(votes) and v)
+
+
+def test_more_languages_than_bits(spark):
+    rng = random.Random(7)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i}": ["".join(rng.choice(alphabet) for _ in range(5)) for _ in range(6)] for i in range(150)}
+    rows = [(i * 10 + j, " ".join(rng.choices(w, k=12)), lang) for i, (lang, w) in enumerate(words.items()) for j in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, langid.train_filter(d)).collect()}
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.98
+
+
+def test_language_filter_against_counting(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join("".join(rng.choice("abcde" if i % 3 else "defgh") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 20))), f"l{i % 3}") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = lambda text: [g for w in text.split() for g in (f" {w} "[j : j + 3] for j in range(len(w)))]
+    counts = collections.defaultdict(collections.Counter)
+    for _, text, lang in rows:
+        counts[lang].update(grams(text))
+    rate = {g: {x: c[g] / sum(c.values()) for x, c in counts.items() if c[g]} for c in counts.values() for g in c}
+    # so many slots that the filter makes no mistakes worth correcting
+    model = langid.train_filter(d, slots=1 << 22)
+    for r in langid.identify(d, model).collect():
+        own = grams(dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        hits = {x: sum(rate[g].get(x, 0) >= 0.2 * max(rate[g].values()) for g in own) for x in counts}
+        if own:
+            assert r["lang_pred"] == min(hits, key=lambda x: (-hits[x], x)) and abs(r["score"] - max(hits.values()) / sum(hits.values())) < 1e-3
+        else:
+            assert r["lang_pred"] == "und"
+
+
 def test_models_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in Q.table(spark, sf, "documents").collect()}
