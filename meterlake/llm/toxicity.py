@@ -1,16 +1,19 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) is the history of a discounted word model; both back off to one shared
-continuation model, the share of distinct left neighbours that a word has:
+Each class (toxic, ordinary) is a discounted word model; both back off to one shared continuation
+model, the share of distinct left neighbours that a word has:
 
-    p(w | class) = max(c(class, w) - D, 0) / C(class) + L(class) * continuation(w)
+    p(w | class) = (c(class, w) - D(c(class, w))) / C(class) + L(class) * continuation(w)
 
-c counts the training documents that hold w (equal texts once), and D grows slowly with their
-number, so that rare expressions rest on the shared counts. A text's evidence is the log-likelihood
-ratio of its words, normalised by length at three spans: the strongest word, the three strongest,
-and the whole text. A logistic regression on these three turns them into a score.
+c counts the word's places in the class's training texts (equal texts once). The discounts for words
+counted once, twice, and three times or more come from the class's counts of counts (modified
+Kneser-Ney), and L gives their sum to the shared counts, on which rare expressions so rest. A text's
+evidence is the difference of its toxic and ordinary log-likelihoods, normalised by length, over three
+spans: its whole length, its three most toxic words, and the most toxic one, as a few words make a long
+text toxic. A logistic regression on these three turns them into a score; it learns from training texts
+whose own words are taken out of the counts (leave one out).
 
-Words are hashed to `slots` slots, so that the model has a fixed size (4 bytes a slot) and may be
+Words are hashed to `slots` slots, so that the model has a fixed size (16 bytes a slot) and may be
 broadcast. Counts are taken over all training rows and summed by a shuffle. A word's left neighbours
 are its distinct pairs with the word before, by a shuffle too. About `fit_rows` of the training rows
 (those whose hash of the id lies below a threshold) fit the regression.
@@ -44,19 +47,16 @@ def choose_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 
 def count_words(train: DataFrame, slots: int) -> DataFrame:
-    """slot, c0, c1 (documents by class), near (distinct left neighbours); one row per used slot."""
+    """slot, c0, c1 (places by class), near (distinct left neighbours); one row per used slot."""
 
     def counted(batches):
         counts = np.zeros((2, slots), np.int64)
         for batch in parts(batches):
             labels = np.array(batch["label"].to_pylist())
             for b in W.blocks(batch["text"].to_pylist(), W.ALNUM):
-                at, sizes = slots_of(b.hashes, slots), np.diff(b.bounds)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                once = np.unique(doc * slots + at)
-                label = labels[b.first + once // slots]
+                label = np.repeat(labels[b.first : b.first + len(b.bounds) - 1], np.diff(b.bounds))
                 for y in (0, 1):
-                    counts[y] += np.bincount(once[label == y] % slots, minlength=slots)
+                    counts[y] += np.bincount(slots_of(b.hashes[label == y], slots), minlength=slots)
         used = np.flatnonzero(counts.any(0))
         for lo in range(0, len(used), 100_000):
             own = used[lo : lo + 100_000]
@@ -78,37 +78,64 @@ def count_words(train: DataFrame, slots: int) -> DataFrame:
     return rows.join(near, "slot", "left").select("slot", "c0", "c1", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
 
 
-def ratios(counts: DataFrame, discount: float, slots: int) -> np.ndarray:
-    """log p(w | toxic) - log p(w | ordinary) per slot; only used slots come to the driver, as two small columns."""
-    table = counts.select("slot", "c0", "c1", (F.col("near") + 0.5).alias("near"))
-    held = {c: F.least(F.col(c).cast("double"), F.lit(discount)) for c in ("c0", "c1")}
-    sums = table.agg(*(F.sum(c).alias(f"n{c}") for c in held), *(F.sum(x).alias(f"b{c}") for c, x in held.items()), F.sum("near").alias("near"), F.count("*").alias("used")).first()
-    total = sums["near"] + 0.5 * (slots - sums["used"])
-    back = {c: sums[f"b{c}"] / sums[f"n{c}"] for c in ("c0", "c1")}
-    p = {c: F.greatest(F.col(c) - F.lit(discount), F.lit(0.0)) / float(sums[f"n{c}"]) + back[c] * F.col("near") / total for c in ("c0", "c1")}
-    found = table.select(F.col("slot").cast("int").alias("slot"), (F.log(p["c1"]) - F.log(p["c0"])).cast("float").alias("ratio")).toArrow()
-    out = np.full(slots, np.log(back["c1"]) - np.log(back["c0"]), np.float32)
-    out[found["slot"].to_numpy()] = found["ratio"].to_numpy()
-    return out
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Of words counted once, twice, and three times or more, from how many words there are of the first four counts."""
+    if not (n1 and n2):
+        return [0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    return [1 - 2 * y * n2 / n1, min(max(2 - 3 * y * n3 / n2, 0.5), 2.0), min(max(3 - 4 * y * n4 / n3, 0.5), 3.0) if n3 else 0.5]
 
 
 class Model:
-    """Log-likelihood ratio per slot, and the weights of the regression."""
-
-    def __init__(self, ratio: np.ndarray):
-        self.ratio, self.weights = ratio, None
-
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: ratio of the strongest word, mean of the three strongest, mean of all words."""
+    """Counts and shared backoff per slot, log-likelihood ratios made of them, and the weights of the regression."""
+
+    def __init__(self, slots: int):
+        self.counts = np.zeros((2, slots), np.float32)
+        self.continuation = np.zeros(slots, np.float32)
+        self.ratio, self.weights = np.zeros(slots, np.float32), None
+
+    def learn(self, counts: DataFrame) -> None:
+        """From count_words: one row of totals, and three small columns of used slots, come to the driver."""
+        ask = [F.count_if(F.col(f"c{y}") == i).alias(f"n{y}{i}") for y in (0, 1) for i in (1, 2, 3, 4)]
+        told = counts.agg(*ask, F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("near").alias("near")).first()
+        found = counts.select(F.col("slot").cast("int").alias("slot"), *(F.col(c).cast("float").alias(c) for c in ("c0", "c1", "near"))).toArrow()
+        at = found["slot"].to_numpy()
+        self.counts[:, at] = np.stack([found[c].to_numpy() for c in ("c0", "c1")])
+        self.continuation[:] = 0.5
+        self.continuation[at] += found["near"].to_numpy()
+        self.continuation /= told["near"] + 0.5 * len(self.ratio)
+        self.discount = [np.array([0.0, *discounts(*(told[f"n{y}{i}"] for i in (1, 2, 3, 4)))]) for y in (0, 1)]
+        self.total = [told["c0"], told["c1"]]
+        self.left = [float(self.held_back(self.counts[y], y).sum(dtype=np.float64)) / self.total[y] for y in (0, 1)]
+        self.ratio = self.ratios(*self.counts, self.continuation).astype(np.float32)
+
+    def held_back(self, counts: np.ndarray, y: int) -> np.ndarray:
+        return np.minimum(self.discount[y][np.minimum(counts, 3).astype(np.int64)], counts)
+
+    def ratios(self, c0: np.ndarray, c1: np.ndarray, continuation: np.ndarray) -> np.ndarray:
+        """log p(w | toxic) - log p(w | ordinary) of words with these counts."""
+        logs = [np.log((c - self.held_back(c, y)) / self.total[y] + self.left[y] * continuation) for y, c in ((0, c0), (1, c1))]
+        return logs[1] - logs[0]
+
+    def evidence(self, texts: list[str | None], labels: list[int] | None = None) -> np.ndarray:
+        """Per text: ratio of the most toxic word, mean of the three most toxic, mean of all words.
+
+        With the labels of training texts, each text's own words are taken out of its class's counts.
+        """
         out = np.zeros((len(texts), 3))
         for b in W.blocks(texts, W.ALNUM):
             at = slots_of(b.hashes, len(self.ratio))
             for i in range(len(b.bounds) - 1):
                 own = at[b.bounds[i] : b.bounds[i + 1]]
                 if len(own):
-                    r = self.ratio[np.unique(own)]
+                    used, n = np.unique(own, return_counts=True)
+                    r = self.ratio[used]
+                    if labels is not None:
+                        counts = self.counts[:, used].astype(np.float64)
+                        counts[labels[b.first + i]] -= n
+                        r = self.ratios(*np.maximum(counts, 0), self.continuation[used])
                     top = np.partition(r, len(r) - 3)[-3:] if len(r) > 3 else r
-                    out[b.first + i] = top.max(), top.mean(), self.ratio[own].mean()
+                    out[b.first + i] = top.max(), top.mean(), (r * n).sum() / len(own)
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> None:
@@ -131,19 +158,18 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = cut(choose_rows(docs, labels, id_col, text_col, label_col))
     seen = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not (seen.get(0) and seen.get(1)):
-        return Model(np.zeros(slots))
+        return Model(slots)
     # rows of an id, a label and a hash: broadcast while they are few
     total = sum(seen.values())
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = texts.join(F.broadcast(chosen) if total <= 1_000_000 else chosen, "id")
-    counts = cut(count_words(train.select("label", "text"), slots))
-    discount = float(0.5 + np.log10(max(10, total)))
-    model = Model(ratios(counts, discount, slots))
+    model = Model(slots)
+    model.learn(cut(count_words(train.select("label", "text"), slots)))
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
         for batch in parts(batches):
-            x = shared.value.evidence(batch["text"].to_pylist())
+            x = shared.value.evidence(batch["text"].to_pylist(), batch["label"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["label"], *(pa.array(x[:, i]) for i in range(3))], names=["label", "a", "b", "c"])
 
     share = min(1.0, fit_rows / total)

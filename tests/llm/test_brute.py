@@ -10,7 +10,7 @@ import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from meterlake.llm import balltree, html, langid, licenses, linedup, neardup, packing, queries as Q, substrings
+from meterlake.llm import balltree, html, langid, licenses, linedup, neardup, packing, queries as Q, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -379,6 +379,53 @@ def test_choice_of_regions_without_article():
         assert html.main_text(page) == "\n".join(b for b, v in zip(lines, votes, strict=True) if 4 * v >= max(votes) and v)
 
 
+def test_toxicity_against_plain_counts(spark):
+    rng = random.Random(13)
+    common, rude = [f"c{i}" for i in range(60)], ["rude", "vile", "mean"]
+    rows = []
+    for i in range(120):
+        words = rng.choices(common, weights=[1 / (j + 1) for j in range(60)], k=rng.randint(0, 30)) + [f"r{rng.randrange(300)}" for _ in range(rng.randint(0, 4))]
+        if i % 4 == 0:
+            words += rng.choices(rude, k=2)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train_model(d, d.select("doc_id", "toxic"))
+    first = {}
+    for i, text, y in rows:
+        first.setdefault(text, (i, y))
+    counts = [collections.Counter(), collections.Counter()]
+    near = collections.defaultdict(set)
+    for text, (_, y) in first.items():
+        w = text.split()
+        counts[y].update(w)
+        for a, b in zip(w, w[1:]):
+            near[b].add(a)
+    total = [sum(c.values()) for c in counts]
+    seen = [[sum(v == k for v in c.values()) for k in (1, 2, 3, 4)] for c in counts]
+    held = lambda c, y: min([0, *toxicity.discounts(*seen[y])][min(c, 3)], c)
+    left = [sum(held(v, y) for v in counts[y].values()) / total[y] for y in (0, 1)]
+    share = lambda w: (len(near[w]) + 0.5) / (sum(map(len, near.values())) + 0.5 * (1 << 20))
+
+    def ratio(w, own=0, of=None):
+        c = [counts[y][w] - (own if y == of else 0) for y in (0, 1)]
+        p = [(c[y] - held(c[y], y)) / total[y] + left[y] * share(w) for y in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    def evidence(text, of=None):
+        n = collections.Counter(text.split())
+        r = sorted((ratio(w, k, of), k) for w, k in n.items())
+        return [r[-1][0], np.mean([x for x, _ in r[-3:]]), sum(x * k for x, k in r) / sum(n.values())] if r else [0, 0, 0]
+
+    some = [t for t in first]
+    assert np.allclose(model.evidence(some), [evidence(t) for t in some], atol=1e-4)
+    labels = [first[t][1] for t in some]
+    assert np.allclose(model.evidence(some, labels), [evidence(t, y) for t, y in zip(some, labels)], atol=1e-4)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_texts(d, model).collect()}
+    assert all(abs(found[i] - 1 / (1 + np.exp(-np.dot(model.weights, [1, *evidence(t)])))) < 1e-3 for i, t, _ in rows)
+    assert np.mean([(found[i] >= 0.3) == y for i, _, y in rows]) > 0.9
+
+
 def test_more_languages_than_bits(spark):
     rng = random.Random(7)
     alphabet = "abcdefghijklmnopqrstuvwxyz"
