@@ -30,11 +30,16 @@ def bucket_means(readings: DataFrame, keys: list[str], every: int, ts: str = "ts
     return readings.groupBy(*keys, k.alias("k")).agg(mean(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")), digits).alias("x"))
 
 
-def dense(means: DataFrame, keys: list[str], max_steps: int = 50_000_000) -> DataFrame:
-    """Every bucket from a key's first to its last one, x NULL where there is none. A longer grid is an error."""
+def dense(means: DataFrame, keys: list[str], max_steps: int = 1_000_000_000, block: int = 65_536) -> DataFrame:
+    """Every bucket from a key's first to its last one, x NULL where there is none. A longer grid is an error.
+
+    The grid is made block by block, so no row holds more than a block of it.
+    """
     ends = means.groupBy(*keys).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     hi = F.when(F.col("hi") - F.col("lo") < max_steps, F.col("hi")).otherwise(F.raise_error(F.lit("the grid of a series is too long")).cast("long"))
-    grid = ends.select(*keys, F.explode(F.sequence("lo", hi)).alias("k"))
+    spans = ends.select(*keys, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(hi / block))).alias("__block"))
+    first, last = F.col("__block") * block, F.col("__block") * block + block - 1
+    grid = spans.select(*keys, F.explode(F.sequence(F.greatest("lo", first), F.least("hi", last))).alias("k"))
     return grid.join(means, [*keys, "k"], "left")
 
 

@@ -30,14 +30,19 @@ def statistics(kind: Scaling, x: Column | str) -> tuple[Column, Column]:
 
 
 def fit(df: DataFrame, kind: Scaling | float, x: str, by: list[str] = ()) -> DataFrame:
-    """by..., s1, s2; a number is a constant scale."""
+    """by..., s1, s2; a number is a constant scale. All rows given count; see fit_on."""
     s1, s2 = statistics(kind, x) if isinstance(kind, Scaling) else (F.lit(0.0), F.lit(float(kind)))
     return df.groupBy(*by).agg(s1.alias("s1"), s2.alias("s2")) if by else df.agg(s1.alias("s1"), s2.alias("s2"))
 
 
+def fit_on(df: DataFrame, kind: Scaling | float, x: str, by: list[str] = (), split: str = "train") -> DataFrame:
+    """fit over the rows of one split only, so that nothing of the others leaks into the scale. df: has split."""
+    return fit(df.where(F.col("split") == split), kind, x, by)
+
+
 def _with(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    # one row, or one row per channel
-    return df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))
+    # one row; or one row per key, which Spark broadcasts if it is small
+    return df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
 
 
 def transform(df: DataFrame, stats: DataFrame, x: str, by: list[str] = (), out: str | None = None) -> DataFrame:

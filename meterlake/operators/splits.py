@@ -1,14 +1,16 @@
 """Train, valid and test splits in hash order: exact counts, disjoint ids, the same for the same seed.
 
-The order is that of md5(id:seed), so any SQL engine can repeat a split. Exact counts need a rank over
-all ids, which sorts them; ids here are houses, entities or windows, not readings. For splits by
-share without a sort use split_by_share.
+The order is that of md5(id:seed), so any SQL engine can repeat a split. Exact counts need a place for
+each id, which is counted by ranges of the hash and then within a range, so no task sees all ids. For
+splits by share without a sort use split_by_share.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meterlake.operators.ordered import running_sums
+
 
 def hash_order(id_col: Column | str, seed: int) -> Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -17,8 +19,10 @@ def hash_order(id_col: Column | str, seed: int) -> Column:
 
 def ranked(ids: DataFrame, id_col: str, seed: int) -> DataFrame:
     """ids with place (from 0 in hash order) and total."""
-    w = Window.orderBy(hash_order(id_col, seed), id_col)
-    return ids.select(id_col, (F.row_number().over(w) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("total"))
+    order = hash_order(id_col, seed)
+    ranges = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
+    placed = running_sums(ids.select(id_col), ranges, [order, id_col], {"place": F.lit(1)})
+    return placed.select(id_col, "place", F.col("place_total").alias("total"))
 
 
 def split_counts(df: DataFrame, id_col: str, n_test: Column | int, n_valid: Column | int, seed: int = 0) -> DataFrame:
@@ -73,12 +77,15 @@ def split_by_share(df: DataFrame, id_col: str, test: float = 0.2, valid: float =
 
 def split_fixed(df: DataFrame, lists: DataFrame) -> DataFrame:
     """By configured lists (appliance, house, split)."""
-    return df.join(F.broadcast(lists), ["appliance", "house"])
+    return df.join(lists, ["appliance", "house"])
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
-    """All rows in hash order."""
-    return df.orderBy(hash_order(id_col, seed), id_col)
+    """All rows in hash order, with their place from 1 in it."""
+    order = hash_order(id_col, seed)
+    ranges = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
+    placed = running_sums(df, ranges, [order, id_col], {"place": F.lit(1)}).drop("place_total")
+    return placed.withColumn("place", (F.col("place") + 1).cast("long")).orderBy("place")
 
 
 def cap_samples(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:

@@ -35,7 +35,7 @@ def status(df: DataFrame, keys: list[str], min_on: int = 1, min_off: int = 0, mi
 
 def status_by_params(df: DataFrame, params: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """The same with thresholds and durations per appliance from a small dimension (appliance, min_threshold, max_threshold, min_on, min_off, min_activation)."""
-    both = df.join(F.broadcast(params), "appliance")
+    both = df.join(params, "appliance")
     both = both.withColumn("raw", F.coalesce(F.col(x).between(F.col("min_threshold"), F.col("max_threshold")), F.lit(False)).cast("int"))
     merged = merge_short_off(both, keys, F.col("min_off"))
     done = keep_long_on(merged, keys, F.greatest("min_on", "min_activation"))

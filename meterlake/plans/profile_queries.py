@@ -11,8 +11,8 @@ from meterlake.plans.profiles import Profile, Rules, prepare
 NAMES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _profile(layout: str, **kw) -> Profile:
-    rules = {n: Rules(40.0, 300.0, 2, 2, 1) for n in NAMES}
+def _profile(layout: str, names: list[str] = NAMES, **kw) -> Profile:
+    rules = {n: Rules(40.0, 300.0, 2, 2, 1) for n in names}
     return Profile(layout, rules, every=3600, cutoff=200.0, factor=3, **kw)
 
 
@@ -29,7 +29,7 @@ def _round(df):
 _O = "partition by house, appliance order by k"
 
 
-def _sql(source: str, meters: bool, long_gap: bool, fill: int, tail: str) -> str:
+def _sql(source: str, meters: bool, long_gap: bool, fill: int, tail: str, anchor: bool = False) -> str:
     part = "house, appliance, meter" if meters else "house, appliance"
     order = f"partition by {part} order by k"
     on = f"using ({part}, k)"
@@ -38,6 +38,8 @@ def _sql(source: str, meters: bool, long_gap: bool, fill: int, tail: str) -> str
     g as (select i.*, m.x from (select {part}, unnest(range(min(k), max(k) + 1)) as k from m group by {part}) i left join m {on}),"""
     main = f"select house, k, last_value(x ignore nulls) over ({order} rows between {fill} preceding and current row) as x{', meter' if meters else ''} from g where appliance = 'aggregate'"
     out += f" ma as ({main})," + (" mb as (select house, k, sum(x) as x from ma group by 1, 2)," if meters else " mb as (select house, k, x from ma),")
+    if anchor:
+        out = out.replace(" mb as (", " m0 as (") + " an as (select house, min(k) as first from m0 where k % 24 = 0 group by 1), mb as (select house, k, x from m0 join an using (house) where k >= first),"
     out += " ca as (select house, appliance, k, sum(x) as x from g where appliance <> 'aggregate' group by 1, 2, 3)," if meters else " ca as (select house, appliance, k, x from g where appliance <> 'aggregate'),"
     if long_gap:
         out += f" c1 as (select *, case when lag(x is null) over ({_O}) is distinct from (x is null) then 1 else 0 end as edge from ca), c2 as (select *, sum(edge) over ({_O}) as run from c1), cb as (select house, appliance, k, case when x is null and count(*) over (partition by house, appliance, run) > 12 then 0.0 else x end as x from c2),"
@@ -81,3 +83,14 @@ def day_windows(spark, sf):
     whole = W.drop_gappy(made, KEYS, ["x", "total"])
     labels = W.has_on(whole.fillna(0, ["status"]), KEYS)
     return W.energy(whole, KEYS).join(labels, [*KEYS, "win"]).select(*KEYS, "win", F.round("energy", 4).alias("energy"), "label")
+
+
+@query("profile_anchored", _sql(_EVENTS, False, True, 6, f"select house, appliance, k, round(x, 5) as x, {_HARD}, round(total, 5) as total from d", anchor=True))
+def anchored(spark, sf):
+    return _round(prepare(_rows(spark, sf), _profile("channels", anchor="day", chunk=500)))
+
+
+@query("profile_extra_channels", _sql(_EVENTS, False, True, 6, f", y as (select house, k, sum(coalesce(x, 0)) as total from d where appliance in ('purchase', 'view') group by 1, 2) select d.house, d.appliance, d.k, round(d.x, 5) as x, {_HARD}, round(y.total, 5) as total from d left join y using (house, k) where appliance in ('click', 'error', 'purchase')"))
+def extra_channels(spark, sf):
+    """'view' has no rules: it counts in the synthetic aggregate only."""
+    return _round(prepare(_rows(spark, sf), _profile("channels", ["click", "error", "purchase"], synthetic=["purchase", "view"])))

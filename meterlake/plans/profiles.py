@@ -42,13 +42,18 @@ class Profile:
     use_durations: bool = True
     soft_label: bool = False
     synthetic: list[str] = field(default_factory=list)
+    anchor: str | None = None  # 'day' or 'week': mains start at a first midnight, or a first one of that weekday
+    weekday: int = 1
+    chunk: int = 65_536  # buckets of a series that one task takes, with what the rules reach over on both sides
 
 
 def prepare(readings: DataFrame, profile: Profile, mains: str = "aggregate") -> DataFrame:
     """house, appliance, k (coarse grid), x, status, total.
 
     readings: house, appliance (mains under its own name), ts, watts; with a meter column for the
-    layout 'meters'; with an issue column for 'wide'.
+    layout 'meters'; with an issue column for 'wide'. Channels of the synthetic aggregate without
+    rules count in it, and have no rows of their own. Rules over time run on pieces of a series, so
+    that a long one is no single task.
     """
     p = profile
     if p.layout == "wide":
@@ -56,16 +61,21 @@ def prepare(readings: DataFrame, profile: Profile, mains: str = "aggregate") ->
     keys = [*CHANNEL, "meter"] if p.layout == "meters" else CHANNEL
     series = R.resample_mean(readings, keys, p.every)
     main, channel = series.where(F.col("appliance") == mains), series.where(F.col("appliance") != mains)
+    long_gap = p.long_gap if p.layout != "wide" else None
+    fill = lambda df, by: R.in_chunks(df, by, p.chunk, p.fill + 1, lambda d, w: R.forward_fill(d, w, p.fill))
+    main = fill(main, keys)
     if p.layout == "meters":
-        main = R.sum_meters(R.forward_fill(main, keys, p.fill), CHANNEL)
+        main = R.sum_meters(main, CHANNEL)
         channel = R.sum_meters(channel, CHANNEL)
+    if long_gap is None:
+        channel = fill(channel, CHANNEL)
     else:
-        main = R.forward_fill(main, keys, p.fill)
-    if p.long_gap is not None and p.layout != "wide":
-        channel = R.fill_long_gaps_zero(channel, CHANNEL, p.long_gap)
-    channel = R.forward_fill(channel, CHANNEL, p.fill)
+        zeros = lambda d, w: R.forward_fill(R.fill_long_gaps_zero(d, w, long_gap), w, p.fill)
+        channel = R.in_chunks(channel, CHANNEL, p.chunk, long_gap + p.fill + 2, zeros)
     clean = lambda x: N.clip(N.noise_floor(x, p.floor), p.cutoff)
     main = main.select("house", "k", clean("x").alias("total"))
+    if p.anchor:
+        main = J.anchor(main.withColumn("ts", N.from_seconds(F.col("k") * p.every)), ["house"], weekday=p.weekday if p.anchor == "week" else None).drop("ts")
     both = J.align_inner(main, channel.select(*CHANNEL, "k", clean("x").alias("x")), ["house", "k"])
     named = both.where(F.col("appliance").isin(list(p.rules)))
     low = F.create_map(*(F.lit(v) for a, r in p.rules.items() for v in (a, float(r.low))))[F.col("appliance")]
@@ -73,8 +83,10 @@ def prepare(readings: DataFrame, profile: Profile, mains: str = "aggregate") ->
     state = named.withColumn("raw", N.threshold_status("x", low, high))
     if p.use_durations:
         of = lambda get: F.create_map(*(F.lit(v) for a, r in p.rules.items() for v in (a, get(r))))[F.col("appliance")]
-        state = S.merge_short_off(state, CHANNEL, of(lambda r: r.min_off))
-        state = S.keep_long_on(state, CHANNEL, of(lambda r: max(r.min_on, r.min_activation))).drop("run")
+        durations = lambda d, w: S.keep_long_on(S.merge_short_off(d, w, of(lambda r: r.min_off)), w, of(lambda r: max(r.min_on, r.min_activation))).drop("run")
+        # runs are counted in rows, and a gap or a run may begin where the other ends
+        reach = max((r.min_off + max(r.min_on, r.min_activation) for r in p.rules.values()), default=0) + 2
+        state = R.in_chunks(state, CHANNEL, p.chunk, reach, durations)
     else:
         state = state.withColumn("status", F.col("raw"))
     state = state.withColumn("status", N.restore_missing("status", "x"))
@@ -82,6 +94,9 @@ def prepare(readings: DataFrame, profile: Profile, mains: str = "aggregate") ->
     if not p.soft_label:
         coarse = coarse.withColumn("status", N.hard_label("status"))
     if p.synthetic:
-        made = R.synthetic_aggregate(coarse, ["house"], p.synthetic).withColumnRenamed("x", "total")
+        more = channel.where(F.col("appliance").isin([a for a in p.synthetic if a not in p.rules]))
+        more = R.downsample(more.select(*CHANNEL, "k", clean("x").alias("x")), CHANNEL, p.factor, ["x"])
+        parts = coarse.select(*CHANNEL, "k", "x").unionByName(more.select(*CHANNEL, "k", "x"))
+        made = R.synthetic_aggregate(parts, ["house"], p.synthetic).withColumnRenamed("x", "total")
         coarse = coarse.drop("total").join(made, ["house", "k"], "left")
     return coarse.select(*CHANNEL, "k", "x", "status", "total")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from meterlake.functions import numeric as N
 from meterlake.operators import align as J, regularise as R, status as S, windows as W
 from meterlake.plans.base import HIGH, HOUR, KEYS, LOW, SIZE, filled, grid, query, readings, states, table, upto, windows
-from meterlake.sources import readings as IN, results as OUT
+from meterlake.sources import known, readings as IN, results as OUT
+from meterlake.sources.folders import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for a round trip, in the folder that the cluster shares."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/trip-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/trip-{uuid.uuid4().hex}"
 
 
 # --- scalars and filters -------------------------------------------------------------------------
@@ -105,10 +105,41 @@ def p11(spark, sf):
     return J.select_channels(states(spark, sf), ["purchase", "view"], ["house", "k"])
 
 
-@query("p12_validate_appliances", "select distinct event_type as appliance from events")
+#: The event types, in order, under names of a public dataset.
+_NAMED = {"click": "dishwasher", "error": "fridge", "purchase": "kettle", "signup": "microwave", "view": "washing_machine"}
+_NAME_SQL = "case event_type " + " ".join(f"when '{a}' then '{b}'" for a, b in _NAMED.items()) + " end"
+
+
+def _named(spark, sf) -> DataFrame:
+    names = F.create_map(*(F.lit(x) for kv in _NAMED.items() for x in kv))
+    return readings(spark, sf).withColumn("appliance", F.element_at(names, F.col("appliance")))
+
+
+@query("p7_known_rules", "with v(appliance, lo, hi) as (values " + ", ".join(f"('{a}', {low}, {high})" for a, (low, high, *_) in known.DURATION_RULES["ukdale"].items()) + f"), r as (select event_id, {_NAME_SQL} as appliance, value * 10 as watts from events) select event_id, appliance, cast(case when watts between lo and hi then 1 else 0 end as integer) as raw from r join v using (appliance)")
+def p7_known(spark, sf):
+    rows = _named(spark, sf).withColumn("watts", F.col("watts") * 10).join(F.broadcast(known.rule_table(spark, "ukdale")), "appliance")
+    return rows.select("event_id", "appliance", N.threshold_status("watts", F.col("min_threshold"), F.col("max_threshold")).alias("raw"))
+
+
+@query("p12_validate_appliances", f"select {_NAME_SQL} as appliance, count(*) as n from events group by 1")
 def p12(spark, sf):
-    names = [r[0] for r in readings(spark, sf).select("appliance").distinct().collect()]
-    return readings(spark, sf).where(F.col("appliance").isin(J.check_names(names, names))).select("appliance").distinct()
+    rows = _named(spark, sf)
+    names = J.check_names([r[0] for r in rows.select("appliance").distinct().collect()], known.APPLIANCES["ukdale"])
+    return rows.where(F.col("appliance").isin(names)).groupBy("appliance").agg(F.count("*").alias("n"))
+
+
+@query("s5_known_meters", "with v(house, appliance, meters) as (values " + ", ".join(f"({h}, '{a}', {m})" for h, own in known.METERS.items() for a, m in own.items()) + "), n as (select distinct appliance from v), h as (select distinct cast(user_id % 8 as integer) as house from events) select h.house, n.appliance, u.meter from h cross join n left join (select house, appliance, unnest(meters) as meter from v) u on u.house = h.house and u.appliance = n.appliance")
+def s5_known(spark, sf):
+    houses = readings(spark, sf).select((F.col("user_id") % 8).cast("int").alias("house"))
+    return IN.meter_map(houses, known.meter_table(spark))
+
+
+@query("l5_known_houses", "with v(appliance, house, split) as (values " + ", ".join(f"('{a}', {h}, '{s}')" for a, lists in known.HOUSE_LISTS["ukdale"].items() for s, houses in zip(("train", "valid", "test"), lists) for h in houses) + f"), r as (select event_id, {_NAME_SQL} as appliance, cast(user_id % 6 as integer) as house from events) select event_id, appliance, house, split from r join v using (appliance, house)")
+def l5_known(spark, sf):
+    from meterlake.operators.splits import split_fixed
+
+    rows = _named(spark, sf).select("event_id", "appliance", (F.col("user_id") % 6).cast("int").alias("house"))
+    return split_fixed(rows, known.split_table(spark, "ukdale")).select("event_id", "appliance", "house", "split")
 
 
 @query("p13_small_prediction_zero", upto("sc") + "select house, appliance, k, case when p < 40 then 0.0 else p end as p from sc")
@@ -356,10 +387,15 @@ def w7(spark, sf):
     return W.energy(windows(spark, sf), KEYS).withColumn("energy", F.round("energy", 4))
 
 
-@query("w8_concat_houses", upto("w") + "select house, count(*) as n from (select distinct house, appliance, win from w) group by 1")
+@query("w8_concat_houses", upto("w") + "select house, appliance, win, min(k) as start_k, count(*) as steps, round(sum(x), 4) as total from w group by 1, 2, 3")
 def w8(spark, sf):
-    packed = W.pack(windows(spark, sf), KEYS, ["x"])
-    return packed.groupBy("house").agg(F.count("*").alias("n"))
+    # windows of even houses and of odd ones, packed on their own and put together
+    rows = windows(spark, sf)
+    packed = [W.pack(rows.where(F.col("house") % 2 == i), KEYS, ["x"]) for i in (0, 1)]
+    both = packed[0].unionByName(packed[1])
+    some = F.filter("x", lambda v: v.isNotNull())
+    total = F.when(F.size(some) > 0, F.round(F.aggregate(some, F.lit(0.0), lambda a, v: a + v), 4))
+    return both.select(*KEYS, "win", "start_k", F.size("x").cast("long").alias("steps"), total.alias("total"))
 
 
 @query("w9_basis_projection", upto("f", "h as (select house, appliance, k, coalesce(x, 0) as x from f)") + "select house, appliance, k, round(0.5 * x + 0.3 * coalesce(lead(x, 1) over o, 0) + 0.2 * coalesce(lead(x, 2) over o, 0), 7) as b0, round(x - 2 * coalesce(lead(x, 1) over o, 0) + coalesce(lead(x, 2) over o, 0), 7) as b1 from h window o as (partition by house, appliance order by k)")
@@ -520,8 +556,11 @@ def s13(spark, sf):
 @query("s14_append_timing", "select 'count of ' || event_type as experiment, cast(n as double) as train_time, 0.0 as eval_time from (select event_type, count(*) as n from events group by 1)")
 def s14(spark, sf):
     path = scratch(spark)
-    for r in table(spark, sf, "events").groupBy("event_type").count().collect():
-        OUT.append_timing(spark, path, f"count of {r['event_type']}", r["count"], 0.0)
+    counts = table(spark, sf, "events").groupBy("event_type").count()
+    for kind in ("c", "e"):
+        # two runs of experiments, one after the other
+        own = counts.where(F.col("event_type").startswith(kind) if kind == "c" else ~F.col("event_type").startswith("c"))
+        OUT.append_timings(own.select(F.concat(F.lit("count of "), "event_type").alias("experiment"), F.col("count").alias("train_time"), F.lit(0.0).alias("eval_time")), path)
     return spark.read.option("header", True).schema("experiment string, train_time double, eval_time double").csv(path)
 
 
@@ -538,3 +577,11 @@ def s15(spark, sf):
 def s16(spark, sf):
     steps = _split_windows(spark, sf).select("split", "idx", F.col("on").alias("status"))
     return OUT.read_summary(spark, scratch(spark), steps).withColumn("pct_on", F.round("pct_on", 4))
+
+
+@query("s16_scan_written_summary", _SW + "select split, count(*) as n, cast(sum(o) as bigint) as n_on, round(100.0 * sum(o) / count(*), 4) as pct_on from (select split, idx, max(\"on\") as o from i group by 1, 2) group by 1")
+def s16_written(spark, sf):
+    path = scratch(spark)
+    steps = _split_windows(spark, sf).select("split", "idx", F.col("on").alias("status"))
+    OUT.read_summary(spark, path, steps).write.option("header", True).csv(path)
+    return OUT.read_summary(spark, path, steps).withColumn("pct_on", F.round("pct_on", 4))

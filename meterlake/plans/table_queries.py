@@ -7,12 +7,13 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.functions import calendar as C, metrics as M, numeric as N
-from meterlake.operators import evaluate as E, models as X, runs as U, scaling as K, splits as L, windows as W
+from meterlake.operators import evaluate as E, models as X, regularise as R, runs as U, scaling as K, splits as L, windows as W
 from meterlake.plans.base import HOUR, KEYS, LOW, filled, grid, query, readings, scored, table, upto, windows
 from meterlake.plans.series_queries import _RUNS, run_logs
 
 # --- splits ----------------------------------------------------------------------------------------
 
+_SHARE = "(('0x' || substr(md5(cast(event_id as varchar) || ':7'), 1, 8))::bigint / 4294967296.0)"
 _PLACE = "row_number() over (order by md5(id || ':7'), id) - 1 as place, count(*) over () as total"
 
 
@@ -35,9 +36,9 @@ def l3(spark, sf):
     return L.split_houses(readings(spark, sf).select(F.col("user_id").alias("id")).distinct(), 7, share_test=0.1, n_valid=3, id_col="id")
 
 
-@query("l4_split_windows", upto("w", f"i as (select distinct win * 1000 + house * 10 + length(appliance) as id from w), p as (select id, {_PLACE} from (select cast(id as varchar) as id from i))") + "select cast(id as bigint) as id, case when place < floor(total * 0.8) then 'train' else 'test' end as split from p")
+@query("l4_split_windows", upto("w", f"i as (select distinct house || '-' || appliance || '-' || win as id from w), p as (select id, {_PLACE} from i)") + "select id, case when place < floor(total * 0.8) then 'train' else 'test' end as split from p")
 def l4(spark, sf):
-    ids = windows(spark, sf).select((F.col("win") * 1000 + F.col("house") * 10 + F.length("appliance")).alias("id")).distinct()
+    ids = windows(spark, sf).select(F.concat_ws("-", "house", "appliance", "win").alias("id")).distinct()
     return L.split_windows(ids, "id", 0.2, seed=7)
 
 
@@ -48,10 +49,9 @@ def l5(spark, sf):
     return L.split_fixed(series, lists).select(*KEYS, "k", "x", "split")
 
 
-@query("l6_shuffle", "select event_id, cast(row_number() over (order by md5(cast(event_id as varchar) || ':7'), event_id) as integer) as place from events")
+@query("l6_shuffle", "select event_id, row_number() over (order by md5(cast(event_id as varchar) || ':7'), event_id) as place from events")
 def l6(spark, sf):
-    rows = readings(spark, sf).select("event_id")
-    return rows.select("event_id", F.row_number().over(Window.orderBy(L.hash_order("event_id", 7), "event_id")).alias("place"))
+    return L.shuffled(readings(spark, sf).select("event_id"), "event_id", 7)
 
 
 @query("l7_cap_samples", "select event_id, event_type from (select *, row_number() over (partition by event_type order by event_id) as rn from events) where rn <= 100")
@@ -69,7 +69,7 @@ def l8(spark, sf):
     return made.select("event_id", "choice", "target", F.when(F.col("choice") != "noise", F.col("masked")).alias("masked"))
 
 
-@query("l4_split_by_share")
+@query("l4_split_by_share", f"select event_id, case when {_SHARE} < 0.2 then 'test' when {_SHARE} < 0.2 + 0.1 then 'valid' else 'train' end as split from events")
 def l4s(spark, sf):
     return L.split_by_share(readings(spark, sf).select("event_id"), "event_id", 0.2, 0.1, seed=7)
 
@@ -292,22 +292,22 @@ def _period_sql(period: str) -> str:
     return upto(
         "sc",
         "t as (select house, k, sum(y) as total from sc group by 1, 2), "
-        f"d as (select house, cast(date_trunc('{period}', ts) as date) as period, sum(y) as y, sum(p) as p, sum(total) as total from sc join t using (house, k) where appliance = 'purchase' and k % 5 <> 0 group by 1, 2), "
-        f"b as (select house, unnest(generate_series(min(period), max(period), interval 1 {period})) as period from d group by 1), "
-        "e as (select coalesce(y, 0) + 1 as y, coalesce(p, 0) + 1 as p, coalesce(total, 0) + 1 as total from b left join d on b.house = d.house and cast(b.period as date) = d.period)",
+        f"d as (select house, appliance, cast(date_trunc('{period}', ts) as date) as period, sum(y) as y, sum(p) as p, sum(total) as total from sc join t using (house, k) group by 1, 2, 3), "
+        f"b as (select house, appliance, unnest(generate_series(min(period), max(period), interval 1 {period})) as period from d group by 1, 2), "
+        "e as (select coalesce(y, 0) + 1 as y, coalesce(p, 0) + 1 as p, coalesce(total, 0) + 1 as total from b left join d on b.house = d.house and b.appliance = d.appliance and cast(b.period as date) = d.period)",
     )
 
 
 def _period_rows(spark, sf) -> DataFrame:
     df = scored(spark, sf)
     total = df.groupBy("house", "k").agg(F.sum("y").alias("total"))
-    return df.join(total, ["house", "k"]).where((F.col("appliance") == "purchase") & (F.col("k") % 5 != 0))
+    return df.join(total, ["house", "k"])
 
 
 def _register_period(period: str):
     @query(f"r3_metrics_by_period_{period}", _period_sql(period) + f"select {_cols(_REG | _ENE)} from e")
     def run(spark, sf):
-        return E.by_period(_period_rows(spark, sf), ["house"], period)
+        return E.by_period(_period_rows(spark, sf), KEYS, period)
 
 
 for _p in ("day", "week", "month"):
@@ -316,7 +316,7 @@ for _p in ("day", "week", "month"):
 
 @query("r4_share_of_total", _period_sql("day").rstrip() + ", s as (select y / total as y, p / total as p from e) select " + _cols({k: f"100 * ({v})" for k, v in (_REG | _ENE).items()} | {"true_ratio": "100 * avg(y)"}) + " from s")
 def r4(spark, sf):
-    return E.share_of_total(_period_rows(spark, sf), ["house"], "day")
+    return E.share_of_total(_period_rows(spark, sf), KEYS, "day")
 
 
 @query("r5_split_stats", upto("w", "i as (select case when house = 3 then 'test' when house = 2 then 'valid' else 'train' end as split, house, appliance, win, max(status) as o from w group by 1, 2, 3, 4)") + "select split, count(*) as n, cast(sum(o) as bigint) as n_on, round(100.0 * sum(o) / count(*), 4) as pct_on, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct_total from i group by 1")
@@ -451,11 +451,10 @@ def o4(spark, sf):
 
 @query("u1_union_all", upto("g") + "select house, appliance, k, x from g")
 def u1(spark, sf):
-    from functools import reduce
-
-    series = grid(spark, sf)
-    houses = sorted(r[0] for r in series.select("house").distinct().collect())
-    return reduce(DataFrame.unionByName, [series.where(F.col("house") == h) for h in houses])
+    # the channels of even houses and those of odd ones, each made on its own
+    rows = readings(spark, sf)
+    even, odd = (R.resample_mean(rows.where(F.col("house") % 2 == i), KEYS, HOUR, digits=2) for i in (0, 1))
+    return even.unionByName(odd)
 
 
 @query("u2_distinct_houses", "select distinct user_id as house from events")
@@ -479,12 +478,12 @@ def s13_names(spark, sf):
 # --- models ----------------------------------------------------------------------------------------
 
 
-@query("x1_score_windows", upto("w", "a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house * 10 + length(appliance) as house, win, step, round(case when m < 40 then 0.0 else m end, 4) as pred from a where appliance in ('purchase', 'view') and win not in (select win from w where x is null)")
+@query("x1_score_windows", upto("w", "o as (select appliance, row_number() over (order by appliance) as n from (select distinct appliance from w)), a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house * 10 + n as house, win, step, round(case when m < 40 then 0.0 else m end, 4) as pred from a join o using (appliance) where not exists (select 1 from w where w.house = a.house and w.appliance = a.appliance and w.win = a.win and w.x is null)")
 def x1(spark, sf):
     rows = windows(spark, sf)
-    gappy = rows.where("x is null").select("win").distinct()
-    packed = W.pack(rows.where("appliance in ('purchase', 'view')").join(gappy, "win", "left_anti"), KEYS, ["x"])
-    ids = packed.withColumn("house", F.col("house") * 10 + F.length("appliance")).drop("appliance")
+    packed = W.pack(W.drop_gappy(rows, KEYS, ["x"]), KEYS, ["x"])
+    names = rows.select("appliance").distinct().withColumn("n", F.row_number().over(Window.orderBy("appliance")))
+    ids = packed.join(names, "appliance").withColumn("house", (F.col("house") * 10 + F.col("n")).cast("long")).drop("appliance", "n")
 
     def window_mean(batch):
         return batch.mean(axis=1, keepdims=True).repeat(batch.shape[1], axis=1)
@@ -503,19 +502,19 @@ def x2(spark, sf):
 def _steps(spark, sf):
     df = scored(spark, sf)
     total = df.groupBy("house", "k").agg(F.sum("y").alias("agg"))
-    return X.step_features(df.where("appliance = 'purchase'").join(total, ["house", "k"]), ["house"])
+    return X.step_features(df.join(total, ["house", "k"]), KEYS)
 
 
 @query("x3_fit_step_power")
 def x3(spark, sf):
     rows, names = _steps(spark, sf)
-    return X.predict(X.fit_step_power(rows, names), rows, names).select("house", "k", "y", "prediction")
+    return X.predict(X.fit_step_power(rows, names), rows, names).select(*KEYS, "k", "y", "prediction")
 
 
 @query("x4_fit_step_state")
 def x4(spark, sf):
     rows, names = _steps(spark, sf)
-    return X.predict(X.fit_step_state(rows, names), rows, names).select("house", "k", "s", "prediction")
+    return X.predict(X.fit_step_state(rows, names), rows, names).select(*KEYS, "k", "s", "prediction")
 
 
 @query("x5_metric_fn", upto("sc") + "select appliance, round_even(avg(abs(p - y)), 3) as mae, round_even(max(abs(p - y)), 3) as worst from sc group by 1")
@@ -528,3 +527,30 @@ def x5(spark, sf):
 def x6(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
     return X.grouped_fit(rows, ["l_returnflag", "l_linestatus"], "x", "y").select("l_returnflag", "l_linestatus", "n", F.round("slope", 3).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
+# --- a whole experiment ----------------------------------------------------------------------------
+
+_E1 = upto(
+    "w",
+    "e0 as (select *, case when house = 3 then 'test' when house = 2 then 'valid' else 'train' end as split, sum(case when x is null then 1 else 0 end) over (partition by house, appliance, win) as gaps from w)",
+    "e2 as (select * from e0 where gaps = 0)",
+    "e3 as (select appliance, max(x) as s2 from e2 where split = 'train' group by 1)",
+    "e4 as (select e2.*, e3.s2, x / s2 as scaled from e2 join e3 using (appliance) where s2 <> 0)",
+    "e5 as (select appliance, k % 24 as h, avg(scaled) as level from e4 where split = 'train' group by 1, 2)",
+    "e6 as (select e4.*, case when e5.level * s2 < 40 then 0.0 else e5.level * s2 end as p from e4 join e5 on e5.appliance = e4.appliance and e5.h = e4.k % 24)",
+    "e7 as (select split, appliance, x as y, p, status as s, cast(case when p > 40 then 1 else 0 end as integer) as q from e6 where split <> 'train')",
+)
+
+
+@query("e1_experiment", _E1 + f"select split, appliance, {_cols(_REG | _ENE | _STA)} from e7 group by 1, 2")
+def e1(spark, sf):
+    """Readings to windows, split by houses, scaled by the train split, scored by hour of the day, and measured."""
+    split = F.when(F.col("house") == 3, "test").when(F.col("house") == 2, "valid").otherwise("train")
+    whole = W.drop_gappy(windows(spark, sf), KEYS, ["x"]).withColumn("split", split)
+    stats = K.fit_on(whole, K.Scaling.MAX, "x", ["appliance"])
+    scaled = K.transform(whole, stats, "x", ["appliance"], out="scaled").where("scaled is not null").withColumn("h", F.col("k") % 24)
+    levels = scaled.where("split = 'train'").groupBy("appliance", "h").agg(F.avg("scaled").alias("level"))
+    scored_rows = K.inverse(scaled.join(levels, ["appliance", "h"]), stats, "level", ["appliance"], out="p")
+    made = scored_rows.withColumn("p", N.small_to_zero("p", LOW)).withColumn("q", N.predicted_state("p", LOW))
+    return E.per_step(made.where("split <> 'train'").select("split", "appliance", F.col("x").alias("y"), "p", F.col("status").alias("s"), "q"), ["split", "appliance"])

@@ -33,8 +33,8 @@ def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def label_channels(readings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Readings of labelled channels, by appliance; the dictionary is a small dimension."""
-    return readings.join(F.broadcast(labels), ["house", "channel"]).select("house", "appliance", "ts", "watts")
+    """Readings of labelled channels, by appliance."""
+    return readings.join(labels, ["house", "channel"]).select("house", "appliance", "ts", "watts")
 
 
 def wide_house(spark: SparkSession, path: str, house: str = r"house_?(\d+)", issues: str = "Issues") -> DataFrame:

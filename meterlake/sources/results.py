@@ -36,11 +36,11 @@ def split_summary(windows: DataFrame, written: DataFrame, splits: list[str]) ->
 
 
 def read_summary(spark: SparkSession, path: str, windows: DataFrame) -> DataFrame:
-    """The written summary where there is one, else the same counts from the windows (split, status)."""
+    """split, n, n_on, pct_on: the written summary where there is one, else the same counts from the windows (split, status)."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        return spark.read.option("header", True).schema("split string, n long, n_on long, pct_on double").csv(path)
     one = windows.groupBy("split", "idx").agg(F.max((F.col("status") == 1).cast("int")).alias("on"))
     return one.groupBy("split").agg(F.count("*").alias("n"), F.sum("on").alias("n_on"), (F.sum("on") * 100 / F.count("*")).alias("pct_on"))
 
@@ -64,7 +64,12 @@ def scan_runs(spark: SparkSession, path: str, metrics: list[str], kind: str = "j
 
 
 def append_timing(spark: SparkSession, path: str, name: str, train_s: float, eval_s: float) -> None:
-    spark.createDataFrame([(name, float(train_s), float(eval_s))], "experiment string, train_time double, eval_time double").write.mode("append").option("header", True).csv(path)
+    append_timings(spark.createDataFrame([(name, float(train_s), float(eval_s))], "experiment string, train_time double, eval_time double"), path)
+
+
+def append_timings(rows: DataFrame, path: str) -> None:
+    """Adds rows of experiment, train_time, eval_time to the table at path."""
+    rows.select("experiment", F.col("train_time").cast("double"), F.col("eval_time").cast("double")).write.mode("append").option("header", True).csv(path)
 
 
 def write_metrics_table(df: DataFrame, path: str, keys: list[str]) -> None:
