@@ -34,6 +34,74 @@ def test_license_base(spark):
         assert {label for _, label in places} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def license_rows(text):
+    """All columns of the query from plain regular expressions."""
+    w = WORD.findall((text or "").translate(LOWER))
+    line, starts = " ".join(w), {}
+    at = 0
+    for i, x in enumerate(w):
+        starts[at] = i
+        at += len(x) + 1
+    found = []
+    for order, r in enumerate(licenses.RULES):
+        for m in re.finditer(f"(?<![^ ])(?:{r.pattern})(?![^ ])", line):
+            first = starts[m.start()]
+            found.append((first, -(first + m[0].count(" ")), -r.priority, order))
+    kept = []
+    for first, end, priority, order in sorted(found):
+        if not any(-e >= -end and -p >= -priority for s, e, p, _ in kept):
+            kept.append((first, end, priority, order))
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    base = [(i, label) for label, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p]
+    labels = {label for _, label in base} | {licenses.RULES[o].label for *_, o in kept}
+    score = max([0.0, *(0.5 for _ in base), *(licenses.RULES[o].weight for *_, o in kept)])
+    return len(w), len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score, len(kept)
+
+
+def test_license_query_against_plain_expressions(spark, tmp_path):
+    rng = random.Random(17)
+    sample = [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "GNU GENERAL PUBLIC LICENSE Version 2 or any later version", "SPDX-License-Identifier: GPL-3.0-or-later", "MIT License", "the mit licence", "under the terms of the MIT license",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted", "isc license", "All rights reserved. Copyright (c) 2019-2021", "Creative Commons Attribution 4.0 International",
+        "licensed under either the Apache License 2.0 or the MIT license", "mit dem Hund", "limit licenses", "this is free and unencumbered software released into the public domain",
+    ]
+    made = [(i, " ".join(rng.choice([*sample, "some other words,", "Ünicode K İ"]) for _ in range(rng.randint(0, 6)))) for i in range(300)]
+    spark.createDataFrame([*made, (300, None), (301, "".join(sample) * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_detections")
+    for sf in (str(tmp_path), SF):
+        rows = {r["doc_id"]: r["text"] for r in Q.table(spark, sf, "documents").collect()}
+        for r in Q.op1_license_scan(spark, sf).collect():
+            assert tuple(r[n] for n in names) == license_rows(rows[r["doc_id"]])
+
+
+def written(parsed):
+    """Strings that a parsed expression matches: every branch, and optional parts both left out and there once."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [next((chr(x) for o, x in arg if str(o) == "LITERAL" and str(arg[0][0]) != "NEGATE"), "7")]
+        elif name == "NOT_LITERAL":
+            more = ["x"]
+        elif name in ("SUBPATTERN", "BRANCH"):
+            more = [s for branch in ([arg[3]] if name == "SUBPATTERN" else arg[1]) for s in written(branch)]
+        else:
+            assert name == "MAX_REPEAT", name
+            more = [s for n in {arg[0], max(arg[0], 1)} for s in ([""] if n == 0 else written(arg[2]))]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_no_rule_matches_without_its_keywords():
+    from re import _parser
+
+    for r in licenses.RULES:
+        assert all(k in s for s in written(_parser.parse(r.pattern)) for k in r.keywords), r
+
+
 def test_license_suppression(spark):
     text = "Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: GPL-3.0-or-later. Under the MIT license"
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
