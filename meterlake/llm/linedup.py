@@ -418,10 +418,16 @@ def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_
     return rows.select("doc_id", count("n_lines"), count("n_removed"), count("n_links"), F.coalesce("first_doc_ids", F.array().cast("array<bigint>")).alias("first_doc_ids"))
 
 
-def remove_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the removed lines in their texts; all rows and columns stay."""
+def remove_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, drop_emptied: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the removed lines in their texts; all rows and columns stay.
+
+    With drop_emptied, rows that lose all of their text go: every line of theirs stands in another document.
+    """
     gone = line_marks(docs, threshold, min_chars, id_col=id_col, text_col=text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
     gone = small_side(gone.withColumnRenamed("doc_id", id_col), F.size("__gone") + 1)
     both = docs.join(gone, id_col, "left")
     parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n"))).select(*docs.columns)
+    both = both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n")))
+    if drop_emptied:
+        both = both.where(F.col("__gone").isNull() | F.regexp_like(text_col, F.lit(r"\S")))
+    return both.select(*docs.columns)

@@ -19,7 +19,7 @@ unit covers is extended over them, as far as they equal the words beside the kep
 Defined results: null and empty texts, and lines without words, have no units; rows with a null id take no part, and stay as
 they are in remove_repeats. Within one document, later repeats that
 do not overlap the kept one are removed too. Rows that
-repeat an id count as one document; each is cut at its own units. Other columns are kept by
+repeat an id count as one document; each is cut at its own units. Ids are read as 64-bit numbers. Other columns are kept by
 remove_repeats.
 """
 
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from meterlake.llm import words as W
 from meterlake.llm.tasks import cut, parts, spread_join
 
-UNITS = "doc_id long, digest long, start long, stop long, first_word long, n_words long"
+UNITS = "doc_id long, digest long, start long, stop long, first_word long, n_words long, whole int"
 
 
 def text_units(texts: list[str | None], unit_words: int):
-    """(text number, digest, start, stop, first word, words) arrays per block; start and stop count code points."""
+    """(text number, digest, start, stop, first word, words, is it a line or paragraph) arrays per block; start and stop count code points."""
     for b in W.blocks(texts, W.ALNUM):
         if not len(b.hashes):
             continue
@@ -54,11 +54,12 @@ def text_units(texts: list[str | None], unit_words: int):
         several = end - lead > 1
         first, last = np.concatenate([first, first[lead[several]]]), np.concatenate([last, last[end[several] - 1]])
         whole = W.mix((sums[last] - sums[first]) * W.powers(W._GRAM_INV, len(sums))[first] + (last - first).astype(np.uint64))
+        kind = np.repeat(np.array([0, 1], np.int32), [len(at), len(first)])
         at, digest, size = np.concatenate([at, first]), np.concatenate([digest, whole]), np.concatenate([size, last - first])
         text = np.searchsorted(b.bounds, at, "right") - 1
         points = np.concatenate([[0], np.cumsum((b.data & 0xC0) != 0x80)])
         origin = points[b.text_starts[text]]
-        yield b.first + text, digest.view(np.int64), points[b.starts[at]] - origin, points[b.ends[at + size - 1]] - origin, at - b.bounds[text], size
+        yield b.first + text, digest.view(np.int64), points[b.starts[at]] - origin, points[b.ends[at + size - 1]] - origin, at - b.bounds[text], size, kind
 
 
 def units(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,24 +69,24 @@ def units(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_co
         for batch in parts(batches):
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for text, *columns in text_units(batch["text"].to_pylist(), unit_words):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), *map(pa.array, columns)], names=["doc_id", "digest", "start", "stop", "first_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), *map(pa.array, columns)], names=["doc_id", "digest", "start", "stop", "first_word", "n_words", "whole"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(found, UNITS)
 
 
 def repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed passage: doc_id, start, stop (code points of the text), first_word, last_word, n_units, first_doc_id.
+    """One row per removed passage: doc_id, start, stop (code points of the text), first_word, last_word, n_units, n_whole, first_doc_id.
 
-    Units that touch or overlap are one passage; first_doc_id is the smallest document that keeps one of them.
+    Units that touch or overlap are one passage; n_whole of its units are lines or paragraphs, the others runs; first_doc_id is the smallest document that keeps one of them.
     """
     every = units(docs, unit_words, id_col, text_col)
     keep = every.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop", "first_word")).alias("keep"), F.count("*").alias("n")).where("n > 1")
     again = spread_join(every, keep, ["digest"]).where("doc_id <> keep.doc_id or start >= keep.stop")
-    again = cut(again.groupBy("doc_id", "start", "stop", "first_word", "n_words").agg(F.min(F.struct("keep.doc_id", "keep.first_word", "digest")).alias("keep")))
-    found = again.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "stop", F.col("keep.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("units"))
-    found = found.unionByName(extensions(again, docs, unit_words, id_col, text_col))
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "start", "stop", "keep_id", "units"))).alias("spans"))
+    again = cut(again.groupBy("doc_id", "start", "stop", "first_word", "n_words").agg(F.min(F.struct("keep.doc_id", "keep.first_word", "digest")).alias("keep"), F.max("whole").alias("whole")))
+    found = again.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "stop", F.col("keep.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("units"), F.col("whole").cast("long").alias("whole"))
+    found = found.unionByName(extensions(again, docs, unit_words, id_col, text_col).withColumn("whole", F.lit(0).cast("long")))
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "start", "stop", "keep_id", "units", "whole"))).alias("spans"))
     return spans.select("doc_id", F.explode(joined("spans")).alias("p")).select("doc_id", "p.*")
 
 
@@ -170,12 +171,12 @@ def extensions(again: DataFrame, docs: DataFrame, unit_words: int, id_col: str,
 
 def joined(col: str) -> F.Column:
     """Sorted units joined to passages where they touch or overlap."""
-    made = "array<struct<start:long,stop:long,first_word:long,last_word:long,n_units:long,first_doc_id:long>>"
-    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["first_word"].alias("first_word"), (x["end_word"] - 1).alias("last_word"), x["units"].alias("n_units"), x["keep_id"].alias("first_doc_id"))
+    made = "array<struct<start:long,stop:long,first_word:long,last_word:long,n_units:long,n_whole:long,first_doc_id:long>>"
+    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["first_word"].alias("first_word"), (x["end_word"] - 1).alias("last_word"), x["units"].alias("n_units"), x["whole"].alias("n_whole"), x["keep_id"].alias("first_doc_id"))
 
     def step(done, x):
         last = F.element_at(done, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["first_word"].alias("first_word"), F.greatest(last["last_word"], x["end_word"] - 1).alias("last_word"), (last["n_units"] + x["units"]).alias("n_units"), F.least(last["first_doc_id"], x["keep_id"]).alias("first_doc_id"))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["first_word"].alias("first_word"), F.greatest(last["last_word"], x["end_word"] - 1).alias("last_word"), (last["n_units"] + x["units"]).alias("n_units"), (last["n_whole"] + x["whole"]).alias("n_whole"), F.least(last["first_doc_id"], x["keep_id"]).alias("first_doc_id"))
         return F.when((F.size(done) > 0) & (x["first_word"] <= last["last_word"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(one(x))))
 
     return F.aggregate(col, F.array().cast(made), step)

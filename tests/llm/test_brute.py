@@ -359,6 +359,42 @@ def test_short_lines_and_paragraphs(spark):
     assert kept == {1: data[0][1], 2: "x y\n!\nz\n", 3: "k\n\n\n\nlast"}
 
 
+def test_lines_and_paragraphs_against_plain_search(spark):
+    rng = random.Random(14)
+    pool = [" ".join(rng.choice("abcdefghijklmnopq") for _ in range(rng.randint(1, 5))) for _ in range(25)]
+    data = [(i, "".join(rng.choice([rng.choice(pool), rng.choice(pool).upper() + "!", "", f"own{i}x{j}"]) + "\n" for j in range(rng.randint(0, 8)))) for i in range(50)]
+    places = collections.defaultdict(list)
+    for i, text in data:
+        w = [(m[0].lower(), m.start(), m.end(), text.count("\n", 0, m.start())) for m in WORD.finditer(text.translate(LOWER))]
+        lines = [[k for k in range(len(w)) if w[k][3] == n] for n in range(text.count("\n") + 1)]
+        blocks, block = [], []
+        for line in [*lines, []]:
+            if line:
+                block.append(line)
+            else:
+                blocks += [[k for x in block for k in x]] if len(block) > 1 else []
+                block = []
+        for unit in [x for x in lines if x] + blocks:
+            places[tuple(w[k][0] for k in unit)].append((i, w[unit[0]][1], w[unit[-1]][2], unit[0], unit[-1]))
+    gone = collections.defaultdict(dict)
+    for found in places.values():
+        keep = min(found)
+        for i, start, stop, first, last in found:
+            if i != keep[0] or start >= keep[2]:
+                gone[i].update({k: None for k in range(first, last + 1)})
+    expect = set()
+    for i, words in gone.items():
+        order = sorted(words)
+        runs = [[order[0]]]
+        for k in order[1:]:
+            runs[-1].append(k) if k == runs[-1][-1] + 1 else runs.append([k])
+        expect |= {(i, r[0], r[-1]) for r in runs}
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    rows = substrings.repeats(d).collect()
+    assert {(r["doc_id"], r["first_word"], r["last_word"]) for r in rows} == expect and len(expect) > 20
+    assert all(r["n_whole"] == r["n_units"] > 0 for r in rows)
+
+
 def test_whole_passages_are_covered(spark):
     rng = random.Random(3)
     fresh = iter(range(10**9))
