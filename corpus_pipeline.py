@@ -1,4 +1,12 @@
-"""A training-corpus pipeline: each stage applies one operator to what the stage before it kept."""
+"""A training-corpus pipeline: each stage applies one operator to what the stage before it kept.
+
+Every stage but the last returns the columns of documents. Null and empty texts are no evidence of
+anything: they pass all filters and are packed as an end id alone. Rows with a null id pass the filters
+that go by id. Rows that repeat an id share its fate where a stage decides by id (line dedup,
+near-dedup, decontamination); toxicity decides by each text. Ties go to the smaller id. Empty tables
+give empty results; without labels of both classes no document is toxic, and without benchmark items
+none is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlake.llm import decontaminate, linedup, neardup, packing, toxicity
 from meterlake.llm.queries import table, tokenizer_path
-from meterlake.llm.tasks import crc_mod, shared_folder
+from meterlake.llm.tasks import crc_mod
+from meterlake.sources.folders import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand, equal or nearly so, earlier in the corpus."""
-    return linedup.remove_lines(docs)
+    """Documents without lines that stand, equal or nearly so, earlier in the corpus; those that lose all text go."""
+    return linedup.remove_lines(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
