@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from meterlake.functions import calendar as C, metrics as M, numeric as N
 from meterlake.operators import align as J, evaluate as E, models as X, regularise as R, runs as U, scaling as K, splits as L, status as S, windows as W
 from meterlake.plans.profiles import Profile, Rules, prepare
-from meterlake.sources import readings as IN, results as OUT
+from meterlake.operators.ordered import running_sums, score_ranges
+from meterlake.sources import known, readings as IN, results as OUT
+from meterlake.sources.folders import shared_folder
 
 
 def series(spark, values, house=1):
@@ -218,3 +220,126 @@ def test_streams(spark, tmp_path):
     assert {r["x"] for r in spark.table("means").collect()} == {60.0, 50.0}
     assert sorted(r["readings"] for r in spark.table("on").collect()) == [1, 3]
     assert [r["gap_s"] for r in spark.table("gaps").orderBy("ts").collect()] == [None, 4.0, 8.0, None]
+
+
+def test_grids_in_blocks(spark):
+    df = spark.createDataFrame([(1, -7, 1.0), (1, 12, 2.0), (2, 5, 3.0)], "house int, k long, x double")
+    for block in (1, 4, 100):
+        found = {(r["house"], r["k"]): r["x"] for r in R.dense(df, ["house"], block=block).collect()}
+        assert set(found) == {(1, k) for k in range(-7, 13)} | {(2, 5)} and found[1, -7] == 1.0 and found[1, 0] is None
+
+
+def test_running_sums_are_those_of_one_window(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(40)]), rng.randint(0, 9)) for _ in range(300)]
+    df = spark.createDataFrame([(None if a is None else float(a), b, i) for i, (a, b) in enumerate(rows)], "s double, v long, i long").where("s is not null")
+    for descending in (False, True):
+        order = [F.desc("s") if descending else F.col("s"), F.col("i")]
+        found = running_sums(df, score_ranges(df, "s", 7, descending), order, {"before": F.col("v")}).collect()
+        kept = sorted((r for r in df.collect()), key=lambda r: (-r["s"] if descending else r["s"], r["i"]))
+        at, expect = 0, {}
+        for r in kept:
+            expect[r["i"]] = at
+            at += r["v"]
+        assert {r["i"]: r["before"] for r in found} == expect and {r["before_total"] for r in found} == {at}
+
+
+def test_ranked_metrics_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([0.1, 0.2, 0.25, 0.7, 0.9]) + rng.choice([0, rng.random()]), rng.randint(0, 1)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    on, off = ([s for s, y in rows if y == i] for i in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in on for b in off) / len(on) / len(off)
+    assert abs(E.roc_auc(df).first()["roc_auc"] - auc) < 1e-12
+    steps = sorted({s for s, _ in rows}, reverse=True)
+    ap = sum(sum(y for s, y in rows if s == t) * sum(y for s, y in rows if s >= t) / sum(s >= t for s, _ in rows) for t in steps) / len(on)
+    assert abs(E.average_precision(df).first()["ap"] - ap) < 1e-12
+    assert E.roc_auc(df.limit(0)).first()["roc_auc"] is None
+
+
+def test_shuffle_and_shares(spark):
+    df = spark.range(5000)
+    places = [r["place"] for r in L.shuffled(df, "id", 3).collect()]
+    assert places == list(range(1, 5001))
+    shares = {r["split"]: r["count"] / 5000 for r in L.split_by_share(df, "id", 0.2, 0.1, seed=3).groupBy("split").count().collect()}
+    assert abs(shares["test"] - 0.2) < 0.03 and abs(shares["valid"] - 0.1) < 0.03
+
+
+def test_preparation_in_chunks_is_that_of_the_whole(spark):
+    rng = random.Random(4)
+    ts = datetime.datetime(2024, 1, 1, 22)
+    rows = [(1, a, ts + datetime.timedelta(seconds=10 * k), float(rng.choice([0, 0, 60, 60, 60, 400]))) for a in ("aggregate", "kettle", "fridge") for k in range(3000) if rng.random() < (0.95 if k % 300 < 200 else 0.05)]
+    df = spark.createDataFrame(rows, "house int, appliance string, ts timestamp_ntz, watts double")
+    rules = {"kettle": Rules(40, 300, 4, 6, 2), "fridge": Rules(40, 300, 1, 0, 0)}
+    for kw in ({}, {"anchor": "day", "soft_label": True}, {"long_gap": None}):
+        found = [sorted(map(str, prepare(df, Profile("channels", rules, chunk=chunk, **kw)).collect())) for chunk in (50, 1 << 20)]
+        assert found[0] == found[1] and found[0]
+
+
+def test_gap_filling_and_sliding_windows_against_plain_loops(spark):
+    rng = random.Random(5)
+    for _ in range(4):
+        x = []
+        while len(x) < 120:
+            x += [float(rng.randint(1, 99)) for _ in range(rng.randint(1, 6))] + [None] * rng.choice([0, 1, 5, 6, 7, 12, 13, 20])
+        at, expect = 0, list(x)
+        while at < len(x):
+            end = at
+            while end < len(x) and x[end] is None:
+                end += 1
+            if end - at > 12:
+                expect[at:end] = [0.0] * (end - at)
+            elif end > at and at:
+                expect[at : min(end, at + 6)] = [expect[at - 1]] * (min(end, at + 6) - at)
+            at = max(end, at + 1)
+        made = R.forward_fill(R.fill_long_gaps_zero(series(spark, x), ["house"], 12), ["house"], 6)
+        assert values(made) == expect
+        found = {(r["win"], r["step"]): r["k"] for r in W.cut(series(spark, x), ["house"], 24, 6).collect()}
+        assert found == {(i, j): 6 * i + j for i in range((len(x) - 24) // 6 + 1) for j in range(24)}
+
+
+def test_fitted_models_are_better_than_the_mean(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(600):
+        on = (k // 7) % 3 == 0
+        rows.append((1, k, 80.0 * on + rng.random(), 80.0 * on + 20 * rng.random(), int(on)))
+    df = spark.createDataFrame(rows, "house int, k long, y double, agg double, s int")
+    steps, names = X.step_features(df, ["house"])
+    power = X.predict(X.fit_step_power(steps, names), steps, names).selectExpr("avg(abs(y - prediction)) e", "avg(abs(y - 26)) m").first()
+    assert power["e"] < 0.3 * power["m"]
+    assert X.predict(X.fit_step_state(steps, names), steps, names).selectExpr("avg(cast(s = prediction as int)) a").first()["a"] > 0.95
+    wins = W.cut(df.withColumnRenamed("y", "x"), ["house"], 12)
+    features = X.window_features(wins, ["house"]).join(W.energy(wins, ["house"]), ["house", "win"])
+    columns = ["mean", "std", "high", "low", "first", "last"]
+    energy = X.predict(X.fit_window_energy(features, columns), features, columns).selectExpr("max(abs(energy - prediction)) e", "max(energy) m").first()
+    assert energy["e"] < 0.05 * energy["m"]
+
+
+def test_known_values(spark):
+    assert J.check_names(["kettle"], known.APPLIANCES["ukdale"]) == ["kettle"]
+    with pytest.raises(ValueError, match="toaster"):
+        J.check_names(["kettle", "toaster"], known.APPLIANCES["ukdale"])
+    for dataset, names in known.APPLIANCES.items():
+        for durations in (True, False):
+            assert {r["appliance"] for r in known.rule_table(spark, dataset, durations).collect()} <= set(names)
+    assert known.meter_table(spark).where("house = 1 and appliance = 'WashingMachine'").first()["meters"] == [10, 20]
+    assert known.split_table(spark, "redd").where("appliance = 'Fridge' and split = 'test'").first()["house"] == 1
+    assert known.houses_with(spark).where("appliance = 'Kettle'").count() == 12
+
+
+def test_scale_of_the_train_split(spark):
+    df = spark.createDataFrame([("a", "train", 2.0), ("a", "test", 8.0), ("b", "train", 4.0)], "appliance string, split string, x double")
+    assert {r["appliance"]: r["s2"] for r in K.fit_on(df, K.Scaling.MAX, "x", ["appliance"]).collect()} == {"a": 2.0, "b": 4.0}
+
+
+def test_cluster_without_a_shared_folder():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Fake)
