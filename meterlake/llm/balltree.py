@@ -1,12 +1,14 @@
 """Exact top-k by inner product, with a ball tree per shard and branch and bound.
 
-Vectors become whole numbers, floor(scale * x), within the range of a 64-bit number. They are dealt into shards of about `shard_rows`
-rows, the queries into blocks of about `query_rows`; each (shard, block) cell is one group of a
-cogrouped pandas job, so memory is bounded by a cell whatever the input. In a cell, a ball tree over
-the shard is searched once per query: nodes go by descending upper bound q.c + |q| r, and the search
-ends at the first node whose bound lies below the current k-th score. That score starts from the
-k-th score which a first pass over one shard has found for the query, so every shard shares it. The
-best k of each shard are then ranked per query.
+Vectors become whole numbers, floor(scale * x), within the range of a 64-bit number. Each goes to the
+nearest of at most `pivots` vectors, which a hash of their ids picks; the vectors of a pivot are dealt
+into shards of about `shard_rows` rows, so a hot pivot is many shards. A query is first searched in one
+shard of its own pivot, which gives a k-th score that all other shards share; it then goes to those
+pivots only whose ball, by the upper bound q.c + |q| r, may hold a score as high. Queries are dealt into
+blocks of about `query_rows`; each (shard, block) cell is one group of a cogrouped pandas job, so memory
+is bounded by a cell whatever the input. In a cell, a ball tree over the shard is searched once per
+query: nodes go by descending bound, and the search ends at the first node whose bound lies below the
+current k-th score. The best k of each shard are then ranked per query.
 
 Scores are exact. Where products of two vectors' components may pass 2**53, floating-point products
 only bound the search, and candidates are scored in whole numbers of any size; a score beyond the range
@@ -24,8 +26,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from meterlake.llm.tasks import cut, in_small_batches, parts
+
 FOUND = "query_id long, vec_id long, score long"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -113,27 +118,89 @@ def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return good.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096) -> DataFrame:
+class Pivots:
+    """A few vectors, those of the most frequent length; vectors of other lengths belong to pivot -1."""
+
+    def __init__(self, rows: list[list[float]]):
+        lengths = [len(r) for r in rows]
+        self.size = max(set(lengths), key=lambda n: (lengths.count(n), n), default=0)
+        rows = [r for r in rows if len(r) == self.size]
+        self.centers = np.array(rows, float).reshape(len(rows), self.size)
+        self.norms = (self.centers**2).sum(1)
+
+    def nearest(self, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+        """Per vector its pivot and its distance to it."""
+        own, far = np.full(len(vectors), -1), np.zeros(len(vectors))
+        at = np.array([i for i, v in enumerate(vectors) if self.size and len(v) == self.size], int)
+        if len(at):
+            rows = np.array([vectors[i] for i in at], float)
+            own[at] = (self.norms - 2 * rows @ self.centers.T).argmin(1)
+            far[at] = np.sqrt(((rows - self.centers[own[at]]) ** 2).sum(1))
+        return own, far
+
+    def reached(self, vector: np.ndarray, radii: np.ndarray, floor: float) -> np.ndarray:
+        """The pivots whose ball may hold a score of at least floor."""
+        norm = np.linalg.norm(vector)
+        bound = self.centers @ vector + norm * radii
+        slack = 1e-6 + 1e-9 * (np.abs(bound) + norm * np.sqrt(self.norms) + abs(floor))
+        return np.flatnonzero((radii >= 0) & (bound + slack >= floor))
+
+
+def assigned(vectors: DataFrame, pivots: Pivots) -> DataFrame:
+    """vec_id, v, pivot, far (distance to it)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def made(batches):
+        for batch in parts(batches, 4096):
+            own, far = shared.value.nearest(batch["v"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(own, pa.int32()), pa.array(far)], names=["vec_id", "v", "pivot", "far"])
+
+    return in_small_batches(vectors).select("vec_id", "v").mapInArrow(made, "vec_id long, v array<double>, pivot int, far double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096, pivots: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: vec_id, v as from whole_vectors."""
-    n_shards = max(1, -(-vectors.count() // shard_rows))
+    context = vectors.sparkSession.sparkContext
+    n_pivots = max(1, min(pivots, vectors.count() // shard_rows))
     n_blocks = max(1, -(-queries.count() // query_rows))
-    spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).toArrow()
+    chosen = Pivots(picked["v"].to_pylist())
+    every = cut(assigned(vectors, chosen))
+    # one row per pivot
+    sizes = {r["pivot"]: r for r in every.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    shards, first = {}, 0
+    for pivot in sorted(sizes):
+        shards[pivot] = (first, -(-sizes[pivot]["n"] // shard_rows))
+        first += shards[pivot][1]
+    radii = context.broadcast(np.array([sizes[i]["far"] if i in sizes else -1.0 for i in range(len(chosen.centers))]))
+    shared = context.broadcast(chosen)
+    places = vectors.sparkSession.createDataFrame([(p, *s) for p, s in shards.items()], "pivot int, first int, shards int")
+    spread = lambda col, n: F.pmod(F.xxhash64(col), n).cast("int")
+    sharded = every.join(F.broadcast(places), "pivot").select("vec_id", "v", (F.col("first") + spread("vec_id", F.col("shards"))).alias("shard"), F.col("first"))
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), spread("vec_id", n_blocks).alias("block"))
-    sharded = vectors.select("vec_id", "v", spread("vec_id", n_shards).alias("shard"))
+    asked = cut(assigned(queries, chosen).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "pivot", spread("vec_id", F.lit(n_blocks)).alias("block")))
     search = lambda left, right: _search_cell(left, right, k)
 
     def cells(rows: DataFrame, ask: DataFrame) -> DataFrame:
-        dealt = rows.select("vec_id", "v", "shard", each(n_blocks).alias("block"))
+        dealt = rows.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
         return dealt.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(search, FOUND)
 
-    if n_shards > 1:
-        first = cells(sharded.where("shard = 0"), asked.select("query_id", "qv", "block", F.lit(None).cast("double").alias("floor"), F.lit(0).alias("shard")))
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-        asked = asked.join(floors, "query_id", "left")
-    else:
-        asked = asked.withColumn("floor", F.lit(None).cast("double"))
-    found = cells(sharded, asked.select("query_id", "qv", "block", "floor", each(n_shards).alias("shard")))
+    nearest = asked.join(F.broadcast(places), "pivot").select("query_id", "qv", "block", F.lit(None).cast("double").alias("floor"), F.col("first").alias("shard"))
+    near = cells(sharded.where("shard = first"), nearest)
+    floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+
+    def reached(batches):
+        for batch in parts(batches, 4096):
+            at, to = [], []
+            for i, (v, floor) in enumerate(zip(batch["qv"].to_pylist(), batch["floor"].to_pylist(), strict=True)):
+                some = shared.value.reached(np.array(v, float), radii.value, -np.inf if floor is None else floor) if len(v) == shared.value.size else [-1]
+                for p in some:
+                    start, n = shards.get(int(p), (0, 0))
+                    to += range(start, start + n)
+                    at += [i] * n
+            yield batch.select(["query_id", "qv", "block", "floor"]).take(pa.array(at, pa.int64())).append_column("shard", pa.array(to, pa.int32()))
+
+    asked = asked.join(floors, "query_id", "left").select("query_id", "qv", "block", "floor").mapInArrow(reached, "query_id long, qv array<double>, block int, floor double, shard int")
+    found = cells(sharded, asked)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -425,6 +425,23 @@ def test_balltree_against_all_pairs(spark):
         assert [found[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
+def test_balltree_with_clusters(spark):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(0, 4, (12, 8))
+    rows = [(int(i), (middle[0 if i % 3 == 0 else i % 12] + rng.normal(0, 0.2, 8)).tolist()) for i in range(600)]
+    v = balltree.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in balltree.top_k(v, v.where("vec_id % 50 = 0"), 5, shard_rows=40, query_rows=4).collect()}
+    m = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    for q in range(0, 600, 50):
+        best = sorted((-int(m[q] @ m[i]), i) for i in range(600) if i != q)[:5]
+        assert [found[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    # a query of one cluster does not go to all of them
+    p = balltree.Pivots(m[:12].tolist())
+    own, far = p.nearest(m.tolist())
+    radii = np.array([far[own == i].max(initial=-1.0) for i in range(12)])
+    assert len(p.reached(m[1].astype(float), radii, float(sorted(m @ m[1])[-6]))) < 6
+
+
 def test_balltree_with_huge_components(spark):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.integers(-9, 10, 5) * 10.0 ** rng.integers(0, 12, 5)).tolist()) for i in range(300)]
