@@ -8,9 +8,10 @@ them, which are confirmed against the items' window hashes.
 
 The items are the small side. They are split into blocks by their measured size, each of at most
 `block_bytes` of text (or one longer item); each block is broadcast on its own, so that what an
-executor holds is bounded however many items there are. Texts are never shuffled. For one block no
-row is; for several, each reads the documents and only hits meet again, by id and digest of the text,
-so that each row gets the hits of its own text.
+executor holds is bounded however many items there are. Texts are never shuffled, and for one block no
+row is. For several, a Bloom filter of all items' fingerprints, of a fixed size, first leaves the
+documents that may have a hit; only these are held against each block. Their hits meet again by id and
+digest of the text, so that each row gets the hits of its own text.
 
 Defined results: a null or empty text has no words and no hit. An item without words is ignored;
 an item of fewer than `window` words is one window. Repeated items count by item id; items with a
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import map_texts, small_side
+from meterlake.llm.tasks import cut, filter_texts, map_texts, parts, small_side
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 HITS = {"n_words": ("long", pa.int64()), "hits": ("array<struct<start:long,end:long>>", pa.list_(SPAN)), "items": ("array<long>", pa.list_(pa.int64()))}
@@ -53,11 +54,18 @@ class Index:
                     found.setdefault(n, []).append((g[at], item[at]))
         self.marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
         self.windows = {}
-        for n, parts in found.items():
-            pairs = np.unique(np.rec.fromarrays([np.concatenate([p[i] for p in parts]) for i in (0, 1)], names="h,owner"))
+        #: hashes one of which every text with a hit has: winnowed ones of whole windows, and short items
+        self.signs = np.concatenate([self.marks, *(h for n, pairs in found.items() if n < window for h, _ in pairs)]) if found else self.marks
+        for n, held in found.items():
+            pairs = np.unique(np.rec.fromarrays([np.concatenate([p[i] for p in held]) for i in (0, 1)], names="h,owner"))
             hashes, first = np.unique(pairs.h, return_index=True)
             self.windows[n] = (hashes, np.append(first, len(pairs)), np.asarray(pairs.owner))
 
+    @property
+    def lengths(self) -> list[int]:
+        """Numbers of words of the windows."""
+        return sorted(self.windows)
+
     def _in(self, sorted_hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Index into sorted_hashes, or -1."""
         if not len(sorted_hashes):
@@ -111,33 +119,71 @@ class Index:
 def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, hits (word intervals, end exclusive), items (ids of items with occurring windows)."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null")
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    every_doc = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + int(total) // block_bytes
-    parts = []
+    docs = every_doc if n_blocks == 1 else cut(maybe_hit(every_doc.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text").distinct(), items, window, k))
+    found = []
     for block in range(n_blocks):
         own = (items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)).toArrow()
         index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].to_pylist(), own["text"].to_pylist(), window, k))
 
         def search(texts, index=index):
-            found = list(index.value.search(texts))
-            return {"n_words": [f[0] for f in found], "hits": [[{"start": a, "end": e} for a, e in f[1]] for f in found], "items": [f[2] for f in found]}
+            made = list(index.value.search(texts))
+            return {"n_words": [f[0] for f in made], "hits": [[{"start": a, "end": e} for a, e in f[1]] for f in made], "items": [f[2] for f in made]}
 
-        rows = docs if n_blocks == 1 else docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
-        parts.append(map_texts(rows, "doc_id", "text", search, HITS))
+        found.append(map_texts(docs, "doc_id", "text", search, HITS))
     if n_blocks == 1:
-        return parts[0]
-    every = parts[0].where(F.size("items") > 0)
-    for part in parts[1:]:
+        return found[0]
+    every = found[0].where(F.size("items") > 0)
+    for part in found[1:]:
         every = every.unionByName(part.where(F.size("items") > 0))
     merged = every.groupBy("doc_id").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = merged.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), merge_spans("hits").alias("hits"), "items")
-    counts = map_texts(docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text"), "row", "text", lambda texts: {"n_words": list(W.counts(texts, W.ALNUM))}, {"n_words": HITS["n_words"]})
+    counts = map_texts(every_doc.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text"), "row", "text", lambda texts: {"n_words": list(W.counts(texts, W.ALNUM))}, {"n_words": HITS["n_words"]})
     own = counts.join(merged, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.col("row.digest") == F.col("__digest")), "left")
     nothing = lambda c: F.coalesce(c, F.array().cast(HITS[c][0])).alias(c)
     return own.select("row.doc_id", "n_words", nothing("hits"), nothing("items"))
 
 
+def maybe_hit(docs: DataFrame, items: DataFrame, window: int, k: int, bits: int = 1 << 26) -> DataFrame:
+    """The rows of docs that a Bloom filter of the items' signs does not rule out."""
+
+    def signed(batches):
+        held, lengths = np.zeros(bits // 64, np.uint64), set()
+        for batch in parts(batches):
+            index = Index([0] * batch.num_rows, batch["text"].to_pylist(), window, k)
+            at = W.mix(index.signs) % np.uint64(bits)
+            np.bitwise_or.at(held, (at // np.uint64(64)).astype(np.int64), np.uint64(1) << (at % np.uint64(64)))
+            lengths |= set(index.lengths)
+        at = np.append(np.flatnonzero(held), [-n for n in sorted(lengths)]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.where(at < 0, 0, held[at]).view(np.int64))], names=["word", "bits"])
+
+    # at most one row per word of the filter, and one, with a negative number, per length of windows
+    made = items.select("text").mapInArrow(signed, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    at, values = made["word"].to_numpy(), made["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    held = np.zeros(bits // 64, np.uint64)
+    held[at[at >= 0]] = values[at >= 0]
+    lengths = [-int(n) for n in at[at < 0]]
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def known(hashes):
+        at = W.mix(hashes) % np.uint64(bits)
+        return (shared.value[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1) != 0
+
+    def keep(texts):
+        out = np.zeros(len(texts), bool)
+        for b in W.blocks(texts, W.ALNUM):
+            left, sums = W.left_in_text(b.bounds), W.gram_sums(b.hashes)
+            for n in lengths:
+                at, h = W.winnow(b.hashes, left, k, window - k + 1) if n == window else (np.flatnonzero(left >= n), None)
+                h = W.grams(b.hashes, n, sums)[at] if h is None else h
+                out[b.first + np.searchsorted(b.bounds, at[known(h)], "right") - 1] = True
+        return out.tolist()
+
+    return filter_texts(docs, "text", keep)
+
+
 def merge_spans(col: str) -> F.Column:
     """Intervals sorted and joined where they touch or overlap."""
     empty = F.array().cast("array<struct<start:long,end:long>>")

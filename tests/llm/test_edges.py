@@ -96,6 +96,7 @@ def test_decontaminate(spark):
     # several blocks give what one gives, for repeated and null ids with different texts too
     odd = docs(spark, [*TEXTS, (5, "one two"), (None, "one two"), (None, "no id here"), (None, None)])
     names = ("doc_id", "n_words", "hits", "items")
+    assert {r["doc_id"] for r in decontaminate.maybe_hit(odd.select("doc_id", "text"), items(spark).where("item_id is not null"), 10, 5).collect()} == {4, 5, None}
     assert rows(decontaminate.find_hits(odd, items(spark), block_bytes=20), *names) == rows(decontaminate.find_hits(odd, items(spark)), *names)
 
 
