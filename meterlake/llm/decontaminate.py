@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, filter_texts, map_texts, parts, small_side
+from meterlake.llm.tasks import columns_of, cut, filter_texts, map_texts, parts, small_side
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 HITS = {"n_words": ("long", pa.int64()), "hits": ("array<struct<start:long,end:long>>", pa.list_(SPAN)), "items": ("array<long>", pa.list_(pa.int64()))}
@@ -200,4 +200,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_share: float = 0.0,
     """The documents, all their columns kept, of which at most max_share of the words are hit; null ids and texts stay."""
     found = find_hits(docs, items, **kw).where((F.size("hits") > 0) & (n_hit() > F.lit(max_share) * F.col("n_words"))).select("doc_id").distinct()
     found = small_side(found)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*columns_of(docs))

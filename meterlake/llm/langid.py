@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from meterlake.llm.tasks import cut, map_texts
+from meterlake.llm.tasks import cut, in_small_batches, map_texts
 from meterlake.llm.words import mix
 
 #: Languages for each 64-bit word of the filter.
@@ -90,7 +90,7 @@ def count_ngrams(train: DataFrame, n: int, label_col: str, text_col: str) -> Dat
             for at in range(0, len(grams), 100_000):
                 yield pd.DataFrame({"gram": grams[at : at + 100_000].view(np.int64), "label": label, "n": counts[at : at + 100_000]})
 
-    rows = train.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null")
+    rows = in_small_batches(train).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null")
     return rows.mapInPandas(counted, "gram long, label string, n long").groupBy("gram", "label").agg(F.sum("n").alias("n"))
 
 

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, parts, small_side, spread_join
+from meterlake.llm.tasks import columns_of, cut, in_small_batches, parts, small_side, spread_join
 
 #: Characters that one block holds at most, but for a single longer line.
 BLOCK_CHARS = 1 << 18
 #: Characters whose keys a task packs together.
-PACK_CHARS = 1 << 22
+PACK_CHARS = 1 << 21
 #: Bytes of text for each range of keys; the keys of a range take at most 12 times as much.
-RANGE_BYTES = 1 << 24
+RANGE_BYTES = 1 << 23
 #: Bits of the filter of candidate lines.
 FILTER_BITS = 1 << 24
 
@@ -120,7 +120,7 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, L
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
 
 OCCURRENCE, INDEX, PROBE, PAIR = range(4)
@@ -185,7 +185,7 @@ def once(rows: np.ndarray) -> np.ndarray:
     return rows[new]
 
 
-def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, most: int = 1 << 21) -> Iterator[np.ndarray]:
+def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, most: int = 1 << 19) -> Iterator[np.ndarray]:
     """Pairs (smaller id, larger id) of each probe with the index rows lo .. hi whose sketches allow the threshold."""
     total = np.cumsum(hi - lo)
     at = 0
@@ -423,11 +423,13 @@ def remove_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, drop_
 
     With drop_emptied, rows that lose all of their text go: every line of theirs stands in another document.
     """
-    gone = line_marks(docs, threshold, min_chars, id_col=id_col, text_col=text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    gone = small_side(gone.withColumnRenamed("doc_id", id_col), F.size("__gone") + 1)
-    both = docs.join(gone, id_col, "left")
-    parts = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    both = both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(parts, "\n")))
+    gone = line_marks(docs, threshold, min_chars, id_col=id_col, text_col=text_col).where("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = small_side(gone, F.size("gone") + 1)
+    # as one struct, so that no column of docs can clash with ours
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
+    both = rows.join(gone, F.col(f"row.{id_col}") == F.col("doc_id"), "left")
+    lines = F.filter(F.split(f"row.{text_col}", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col(f"row.{text_col}")).otherwise(F.array_join(lines, "\n"))
     if drop_emptied:
-        both = both.where(F.col("__gone").isNull() | F.regexp_like(text_col, F.lit(r"\S")))
-    return both.select(*docs.columns)
+        both = both.where(F.col("gone").isNull() | F.regexp_like(text, F.lit(r"\S")))
+    return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

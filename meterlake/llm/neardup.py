@@ -23,7 +23,7 @@ checkpoint. All joins on keys that may be hot are dealt so that adaptive executi
 Defined results: a document without words has an empty set, is linked with nothing and stands for
 itself. Rows with a null id have a null component and are kept. Rows that repeat an id are all
 reported, each with the component of its own text, and kept if their id is its component's smallest.
-Other columns are not read.
+Ids are read as 64-bit numbers. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, parts, small_side, spread_join
+from meterlake.llm.tasks import columns_of, cut, in_small_batches, parts, small_side, spread_join
 
 BANDS, ROWS = 30, 4
 BINS = BANDS * ROWS
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 bands.append(band_keys(signature(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "s1", "s2", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(made, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
@@ -267,4 +267,4 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     """The documents, all columns kept, but for those that a smaller id of their group stands for."""
     gone = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col)).distinct()
     gone = small_side(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone, id_col, "left_anti").select(*columns_of(docs))

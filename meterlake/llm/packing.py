@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from meterlake.llm.tasks import parts_of_size
+from meterlake.llm.tasks import in_small_batches, parts_of_size
 
 #: The parts of a tokenizer file that WordTokenizer works by; fixed values.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -54,7 +54,7 @@ class WordTokenizer:
     tokenizer itself.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 100_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -201,4 +201,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
 
     names = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset"]
     types = f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(packed, types)
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(packed, types)

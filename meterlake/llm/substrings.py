@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, parts, spread_join
+from meterlake.llm.tasks import columns_of, cut, in_small_batches, parts, spread_join
 
 UNITS = "doc_id long, digest long, start long, stop long, first_word long, n_words long, whole int"
 
@@ -71,7 +71,7 @@ def units(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_co
             for text, *columns in text_units(batch["text"].to_pylist(), unit_words):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[text]), *map(pa.array, columns)], names=["doc_id", "digest", "start", "stop", "first_word", "n_words", "whole"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     return rows.mapInArrow(found, UNITS)
 
 
@@ -109,7 +109,7 @@ def beside(docs: DataFrame, places: DataFrame, most: int, id_col: str, text_col:
     """
     names = ["first_word", "n_words", "digest", "side", "keep_id", "keep_first"]
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("places"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     kinds = {"doc_id": pa.int64(), "first_word": pa.int64(), "n_words": pa.int64(), "digest": pa.int64(), "side": pa.int32(), "keep_id": pa.int64(), "keep_first": pa.int64(), "words": pa.binary(), "at": pa.int64(), "bounds": pa.binary()}
 
     def found(batches):
@@ -184,8 +184,12 @@ def joined(col: str) -> F.Column:
 
 def remove_repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the passages cut from their texts; all columns and rows stay."""
-    gone = repeats(docs, unit_words, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__gone"))
-    both = docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left")
-    kept = F.aggregate("__gone", F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")), lambda a, x: F.struct(F.concat(a["done"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("done"), x["stop"].alias("at")))
-    rest = F.concat(kept["done"], F.substring(F.col(text_col), (kept["at"] + 1).cast("int"), F.lit(2147483647)))
-    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    gone = repeats(docs, unit_words, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
+    # as one struct, so that no column of docs can clash with ours
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
+    both = rows.join(gone, F.col(f"row.{id_col}") == F.col("doc_id"), "left")
+    text = F.col(f"row.{text_col}")
+    kept = F.aggregate("gone", F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")), lambda a, x: F.struct(F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("done"), x["stop"].alias("at")))
+    rest = F.concat(kept["done"], F.substring(text, (kept["at"] + 1).cast("int"), F.lit(2147483647)))
+    text = F.when(F.col("gone").isNull(), text).otherwise(rest)
+    return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

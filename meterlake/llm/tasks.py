@@ -13,11 +13,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from meterlake.sources.folders import shared_folder
 
 
+#: Bytes of an Arrow batch, of which a task holds several: Spark's own buffer, the worker's, and what is made of it.
+BATCH_BYTES = "8m"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; where its session sets no bound on the bytes of Arrow batches itself, they are bounded by BATCH_BYTES."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH_BYTES)
+    return df
+
+
 def parts(batches, rows: int = 500):
     """The batches in slices of few rows, so that a worker holds the texts of one slice as Python objects only."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    # workers live on: what a task's batches took goes back
+    pa.default_memory_pool().release_unused()
 
 
 def parts_of_size(batch, column: str, size: int):
@@ -42,10 +56,15 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, search: Callable[[lis
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(made[c], t) for c, (_, t) in types.items())], names=[id_col, *types])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{c} {s}" for c, (s, _) in types.items())]))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once as a table `cut-...` to the shared folder and read again.
 
@@ -81,9 +100,12 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 def filter_texts(docs: DataFrame, text_col: str, keep: Callable[[list], list]) -> DataFrame:
     """The rows, with all columns, whose text keep marks true; keep gets each batch's texts."""
+    # by place, as names may hold anything
+    rows = in_small_batches(docs).toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches):
         for batch in parts(batches):
-            yield batch.filter(pa.array(keep(batch[text_col].to_pylist()), pa.bool_()))
+            yield batch.filter(pa.array(keep(batch[text].to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import cut, filter_texts, map_texts, parts
+from meterlake.llm.tasks import cut, filter_texts, in_small_batches, map_texts, parts
 
 
 def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
@@ -138,6 +138,12 @@ class Model:
                     out[b.first + i] = top.max(), top.mean(), (r * n).sum() / len(own)
         return out
 
+    def for_scoring(self) -> Model:
+        """Without the counts, which only training needs."""
+        out = Model(0)
+        out.ratio, out.weights = self.ratio, self.weights
+        return out
+
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> None:
         x, w = np.c_[np.ones(len(x)), x], np.zeros(4)
         for _ in range(50):
@@ -161,7 +167,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         return Model(slots)
     # rows of an id, a label and a hash: broadcast while they are few
     total = sum(seen.values())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     train = texts.join(F.broadcast(chosen) if total <= 1_000_000 else chosen, "id")
     model = Model(slots)
     model.learn(cut(count_words(train.select("label", "text"), slots)))
@@ -176,17 +182,18 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     some = chosen if share == 1 else chosen.where(F.col("place") < int(2**64 * share) - 2**63)
     few = texts.join(F.broadcast(some), "id")
     x = few.select("label", "text").mapInArrow(evidence, "label int, a double, b double, c double").toArrow()
+    shared.destroy()
     model.fit(np.stack([x[c].to_numpy() for c in "abc"], 1), x["label"].to_numpy().astype(float))
     return model
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.for_scoring())
     return map_texts(docs, id_col, text_col, lambda texts: {"score": shared.value.score(texts)}, {"score": ("double", pa.float64())})
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows, all columns kept, that score below threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.for_scoring())
     return filter_texts(docs, text_col, lambda texts: (shared.value.score(texts) < threshold).tolist())

@@ -8,11 +8,11 @@ from meterlake.llm import balltree, decontaminate, html, langid, licenses, lined
 
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
 TEXTS = [(1, None), (2, ""), (3, "   \n\n "), (4, "one two"), (5, LONG), (5, LONG), (6, "MIT License and more of it"), (None, "no id here"), (7, "é ß 漢字 \x00 x")]
-EXTRA = ", id string, n_words int, label int, bytes binary, key long, component_id long, score double, lang string"
+EXTRA = ", id string, n_words int, label int, bytes binary, key long, component_id long, score double, lang string, __gone string, __spread int, gone int, row string, hits int, items string, `a.b` int"
 
 
 def docs(spark, rows=TEXTS):
-    full = [(i, t, "x", 1, 0, b"", 1, 2, 0.5, "en") for i, t in rows]
+    full = [(i, t, "x", 1, 0, b"", 1, 2, 0.5, "en", "g", 3, 4, "r", 5, "i", 6) for i, t in rows]
     return spark.createDataFrame(full, "doc_id long, text string" + EXTRA)
 
 
