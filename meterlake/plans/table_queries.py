@@ -478,7 +478,7 @@ def s13_names(spark, sf):
 # --- models ----------------------------------------------------------------------------------------
 
 
-@query("x1_score_windows", upto("w", "o as (select appliance, row_number() over (order by appliance) as n from (select distinct appliance from w)), a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house * 10 + n as house, win, step, round(case when m < 40 then 0.0 else m end, 4) as pred from a join o using (appliance) where not exists (select 1 from w where w.house = a.house and w.appliance = a.appliance and w.win = a.win and w.x is null)")
+@query("x1_score_windows", upto("w", "o as (select appliance, row_number() over (order by appliance) as n from (select distinct appliance from w)), a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house * 10 + n as house, win, step, round(case when m < 40 then 0.0 else m end, 6) as pred from a join o using (appliance) where not exists (select 1 from w where w.house = a.house and w.appliance = a.appliance and w.win = a.win and w.x is null)")
 def x1(spark, sf):
     rows = windows(spark, sf)
     packed = W.pack(W.drop_gappy(rows, KEYS, ["x"]), KEYS, ["x"])
@@ -488,7 +488,7 @@ def x1(spark, sf):
     def window_mean(batch):
         return batch.mean(axis=1, keepdims=True).repeat(batch.shape[1], axis=1)
 
-    return X.score_windows(ids, window_mean, s1=5.0, s2=3.0, threshold=LOW).withColumn("pred", F.round("pred", 4))
+    return X.score_windows(ids, window_mean, s1=5.0, s2=3.0, threshold=LOW).withColumn("pred", F.round("pred", 6))
 
 
 @query("x2_fit_window_energy")
