@@ -117,7 +117,7 @@ class WordTokenizer:
         inside = kinds != SPACE
         starts = np.flatnonzero(first)
         data = low[inside]
-        offsets = np.append(np.cumsum(inside)[starts] - 1, len(data)).astype(np.int32) * 2
+        offsets = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, len(data)).astype(np.int32) * 2
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         held = list(map(self.word, pieces.dictionary.to_pylist()))
         flat = np.frombuffer(b"".join(held), "<u4")
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             return pa.RecordBatch.from_arrays(made, names=names)
 
         for batch in batches:
-            for part in parts_of_size(batch, "text", 1 << 22):
+            for part in parts_of_size(batch, "text", 1 << 21):
                 ids.append(part["doc_id"])
                 tokens += [np.append(t, np.uint32(end_id)) for t in encode(part["text"].to_pylist())]
                 held = sum(map(len, tokens))
