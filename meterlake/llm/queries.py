@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterlake.llm import balltree, decontaminate, html, langid, licenses, linedup, neardup, packing, substrings, toxicity
+from meterlake.llm import balltree, bytebpe, decontaminate, html, langid, licenses, linedup, neardup, negatives, packing, periods, substrings, toxicity
 from meterlake.llm.tasks import crc_mod
 
 
@@ -83,8 +83,56 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), ranks_path()), ranks_path())
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text; in texts whose hash h of the id is divisible by 10, the words from a on repeat the first p of them."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    planted = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    planted = planted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    made = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return planted.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(with_planted_runs(table(spark, sf_dir, "documents")), powers=4, least=6)
+    found = found.withColumn("best", F.array_min(F.transform("runs", lambda x: F.struct((-x["length"]).alias("less"), x["start"].alias("start"), x["period"].alias("period")))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.less")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.less") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.labelled_vectors(table(spark, sf_dir, "embeddings"), label)
+    mined = negatives.mine(vectors, vectors.where("id % 100 = 0"))
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontamination, op4_toxicity, op5_near_dedup, op6_html_extraction, op7_line_dedup, op8_topk_search, op9_substring_dedup, op10_language_id)}
+    every = (op1_license_scan, op2_packing, op3_decontamination, op4_toxicity, op5_near_dedup, op6_html_extraction, op7_line_dedup, op8_topk_search, op9_substring_dedup, op10_language_id, op11_byte_bpe, op12_periodic_runs, op13_hard_negatives)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -114,4 +162,19 @@ SQL = {
               from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
+    "op13_hard_negatives": """
+        with v as (select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.id as anchor_id, c.id, q.label = c.label as same,
+                     cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+              from v q join v c on q.id <> c.id and len(q.v) = len(c.v) where q.id % 100 = 0),
+        p as (select anchor_id, id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, id) as positive_rank
+              from s where same qualify positive_rank <= 5),
+        n as (select p.*, s.id as negative_id, s.score as negative_score,
+                     row_number() over (partition by p.anchor_id, positive_rank order by s.score desc, s.id) as rank
+              from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score, cast(positive_rank as integer) as positive_rank
+        from n where rank <= 5""",
 }
