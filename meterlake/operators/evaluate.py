@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterlake.functions import metrics as M
 from meterlake.functions.numeric import ratio
-from meterlake.operators.ordered import running_sums, score_ranges
+from meterlake.operators.ordered import running_sums, value_ranges
 
 
 def per_step(df: DataFrame, by: list[str] = (), digits: int | None = 3) -> DataFrame:
@@ -56,16 +56,16 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Rank statistic, ties count half."""
-    each = _by_score(df, score, label)
-    ranked = running_sums(each, score_ranges(df, score), [score], {"below": F.col("neg")})
+    each = value_ranges(_by_score(df, score, label), score)
+    ranked = running_sums(each, F.col("value_range"), [score], {"below": F.col("neg")})
     wins = ranked.select("pos", "neg", (F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"))
     return wins.agg(ratio(F.sum("wins"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Sum of the steps in recall times the precision there, over distinct scores from the highest on."""
-    each = _by_score(df, score, label)
-    ranked = running_sums(each, score_ranges(df, score, descending=True), [F.desc(score)], {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")})
+    each = value_ranges(_by_score(df, score, label), score, descending=True)
+    ranked = running_sums(each, F.col("value_range"), [F.desc(score)], {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")})
     seen = ranked.select("pos", (F.col("tp") + F.col("pos")).alias("tp"), (F.col("n") + F.col("pos") + F.col("neg")).alias("n"))
     return seen.agg(ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos").cast("double")).alias("ap"))
 

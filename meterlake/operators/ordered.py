@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def running_sums(df: DataFrame, ranges: Column, order: list[Column | str], columns: dict[str, Column]) -> DataFrame:
     """df with, per name in columns, the sum of its column over all rows before this one, and `<name>_total` over all.
 
-    ranges: a whole number per row, of few thousand values, that never falls along the order.
+    ranges: a whole number per row that never falls along the order; one row for each is held by one task.
     """
     df = df.withColumn("__range", ranges)
     sums = df.groupBy("__range").agg(*(F.sum(c).alias(n) for n, c in columns.items()))
@@ -26,9 +26,27 @@ def running_sums(df: DataFrame, ranges: Column, order: list[Column | str], colum
     return made.drop("__range", *(f"__{n}" for n in columns))
 
 
-def score_ranges(df: DataFrame, score: str, n: int = 256, descending: bool = False) -> Column:
-    """A range per row by approximate quantiles of the score, which only decide how evenly rows are dealt."""
-    cuts = df.agg(F.percentile_approx(score, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    below = F.size(F.filter(cuts, lambda c: c < F.col(score)))
-    return -below if descending else below
+def value_ranges(df: DataFrame, value: str, n: int = 4096, refine: int = 64, descending: bool = False, name: str = "value_range") -> DataFrame:
+    """df with a whole number that never falls along the value's order, for running_sums; nothing runs until the result is used.
+
+    Values go into n equal bins between the smallest and the largest. A bin with more than 1 / refine
+    of the rows is cut into n of its own between its smallest and largest value, so that crowded values
+    are no single range. NaN and infinite values have the ranges at the ends.
+    """
+    x = F.col(value).cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+    def place(low: str, high: str) -> Column:
+        # halves, so that no difference of finite values is infinite
+        share = F.try_divide(x / 2 - F.col(low) / 2, F.col(high) / 2 - F.col(low) / 2)
+        inside = F.coalesce(F.least(F.floor(share * n), F.lit(n - 1)), F.lit(0))
+        return F.when(finite.isNotNull(), inside).when(x == float("-inf"), 0).when(x.isNull(), 0).otherwise(n - 1)
+
+    ends = df.agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"))
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("__bin", place("__low", "__high")).drop("__low", "__high")
+    # n rows at most, so one task may see them
+    bins = rows.groupBy("__bin").agg(F.count("*").alias("__n"), F.min(finite).alias("__low"), F.max(finite).alias("__high"))
+    bins = bins.select("__bin", "__low", "__high", (F.col("__n") * refine > F.sum("__n").over(Window.partitionBy())).alias("__crowded"))
+    rows = rows.join(F.broadcast(bins), "__bin")
+    ranged = F.col("__bin") * n + F.when(F.col("__crowded"), place("__low", "__high")).otherwise(0)
+    return rows.withColumn(name, -ranged if descending else ranged).drop("__bin", "__low", "__high", "__crowded")

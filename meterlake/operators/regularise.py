@@ -48,7 +48,7 @@ def resample_mean(readings: DataFrame, keys: list[str], every: int, **kw) -> Dat
 
 
 def run_ids(df: DataFrame, keys: list[str], flag: Column, name: str = "run") -> DataFrame:
-    """Adds the number of the run of equal flags that a row is in."""
+    """Adds the number of the run of equal flags that a row is in, for series that one task can order (segments.run_ids: for any)."""
     w = over_time(keys)
     change = F.coalesce((flag != F.lag(flag).over(w)).cast("int"), F.lit(1))
     return df.withColumn(name, F.sum(change).over(w.rowsBetween(Window.unboundedPreceding, 0)))

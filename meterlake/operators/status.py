@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meterlake.operators import segments
 from meterlake.operators.regularise import over_time, run_ids
 
 
@@ -42,14 +43,12 @@ def status_by_params(df: DataFrame, params: DataFrame, keys: list[str], x: str =
     return done.drop("run", "min_threshold", "max_threshold", "min_on", "min_off", "min_activation")
 
 
-def runs_of(df: DataFrame, keys: list[str], state: str = "raw") -> DataFrame:
-    """keys, run_start, run_end (exclusive), steps: every contiguous on run."""
-    runs = run_ids(df, keys, F.col(state)).where(F.col(state) == 1)
-    return runs.groupBy(*keys, "run").agg(F.min("k").alias("run_start"), (F.max("k") + 1).alias("run_end"), F.count("*").alias("steps")).drop("run")
+def runs_of(df: DataFrame, keys: list[str], state: str = "raw", size: int = segments.SIZE) -> DataFrame:
+    """keys, run_start, run_end (exclusive), steps: every contiguous on run; series of any length, by segments of `size` buckets."""
+    return segments.runs(df, keys, F.col(state), size=size).withColumnsRenamed({"start": "run_start", "end": "run_end"})
 
 
-def activations(df: DataFrame, keys: list[str], x: str = "x", state: str = "status") -> DataFrame:
-    """keys, start_k, end_k (exclusive), steps, energy per activation."""
-    runs = run_ids(df, keys, F.col(state)).where(F.col(state) == 1)
-    one = runs.groupBy(*keys, "run").agg(F.min("k").alias("start_k"), (F.max("k") + 1).alias("end_k"), F.count("*").alias("steps"), F.sum(F.coalesce(F.col(x), F.lit(0.0))).alias("energy"))
-    return one.drop("run")
+def activations(df: DataFrame, keys: list[str], x: str = "x", state: str = "status", size: int = segments.SIZE) -> DataFrame:
+    """keys, start_k, end_k (exclusive), steps, energy per activation; likewise."""
+    found = segments.runs(df, keys, F.col(state), {"energy": F.coalesce(F.col(x), F.lit(0.0))}, size)
+    return found.withColumnsRenamed({"start": "start_k", "end": "end_k"})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from meterlake.operators import segments
+
 #: Steps of the named window sizes by sampling rate.
 NAMED_SIZES = {"day": {"30s": 2880, "1min": 1440, "10min": 144}, "week": {"1min": 10080, "10min": 1008}}
 
@@ -19,13 +21,40 @@ def window_size(size: int | str, rate: str) -> int:
 
 
 def positions(df: DataFrame, keys: list[str], k: str = "k") -> DataFrame:
-    """Adds pos, the row's number in its series from 0."""
-    return df.withColumn("pos", (F.row_number().over(Window.partitionBy(*keys).orderBy(k)) - 1).cast("long"))
+    """Adds pos, the row's number in its series from 0; series may have holes."""
+    return segments.positions(df, keys, k)
+
+
+def range_slice(df: DataFrame, keys: list[str], first: int, last: int, dense: bool = False) -> DataFrame:
+    """The rows at places first to last of each series, with pos. dense: the series have no holes."""
+    rows = segments.dense_positions(df, keys).drop("__len") if dense else positions(df, keys)
+    return rows.where(F.col("pos").between(first, last))
+
+
+def decimate(df: DataFrame, keys: list[str], points: int = 100, dense: bool = False) -> DataFrame:
+    """Every n-th row of each series, n so large that about `points` are left."""
+    if dense:
+        rows = segments.dense_positions(df, keys)
+    else:
+        rows = positions(df, keys).join(df.groupBy(*keys).agg(F.count("*").alias("__len")), keys)
+    each = F.greatest(F.lit(1), F.floor(F.col("__len") / points))
+    return rows.where(F.col("pos") % each == 0).drop("pos", "__len")
+
 
+def cut(df: DataFrame, keys: list[str], size: int, stride: int | None = None, dense: bool = False) -> DataFrame:
+    """Adds win and step; rows of whole windows only. A row is in several windows if stride < size.
 
-def cut(df: DataFrame, keys: list[str], size: int, stride: int | None = None) -> DataFrame:
-    """Adds win and step; rows of whole windows only. A row is in several windows if stride < size."""
+    dense: series have every bucket once from their first to their last one, as a regular grid has. Places
+    and whole windows then follow from k and the series' length, and nothing is ordered or counted.
+    """
     stride = stride or size
+    if dense:
+        rows = segments.dense_positions(df, keys)
+        last = F.floor((F.col("__len") - size) / stride)
+        first, own = F.greatest(F.ceil((F.col("pos") - size + 1) / stride), F.lit(0).cast("long")), F.least(F.floor(F.col("pos") / stride), last)
+        rows = rows.where(first <= own)
+        rows = rows.withColumn("win", own if stride >= size else F.explode(F.sequence(first, own)))
+        return rows.withColumn("step", F.col("pos") - F.col("win") * stride).where(F.col("step") < size).drop("pos", "__len")
     rows = positions(df, keys) if "pos" not in df.columns else df
     if stride == size:
         rows = rows.withColumn("win", F.floor(F.col("pos") / size))

@@ -54,7 +54,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf_dir: str, stride: int | None = None) -> DataFrame:
     """house, appliance, win, step, k, x, status of whole windows."""
-    return W.cut(states(spark, sf_dir), KEYS, SIZE, stride).select(*KEYS, "win", "step", "k", "x", "status")
+    return W.cut(states(spark, sf_dir), KEYS, SIZE, stride, dense=True).select(*KEYS, "win", "step", "k", "x", "status")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,16 +170,17 @@ def p16(spark, sf):
 
 @query("p17_range_slice", upto("g") + "select house, appliance, k, x, pos from (select *, cast(row_number() over (partition by house, appliance order by k) - 1 as bigint) as pos from g) where pos between 10 and 60")
 def p17(spark, sf):
-    return W.positions(grid(spark, sf), KEYS).where(F.col("pos").between(10, 60))
+    return W.range_slice(grid(spark, sf), KEYS, 10, 60, dense=True)
+
+
+@query("p17_range_slice_with_holes", upto("m") + "select house, appliance, k, x, pos from (select *, cast(row_number() over (partition by house, appliance order by k) - 1 as bigint) as pos from m) where pos between 10 and 60")
+def p17_holes(spark, sf):
+    return W.range_slice(R.bucket_means(readings(spark, sf), KEYS, HOUR, digits=2), KEYS, 10, 60)
 
 
 @query("p18_decimate", upto("g") + "select house, appliance, k, x from (select *, row_number() over (partition by house, appliance order by k) - 1 as pos, greatest(1, count(*) over (partition by house, appliance) // 100) as each from g) where pos % each = 0")
 def p18(spark, sf):
-    from pyspark.sql import Window
-
-    rows = W.positions(grid(spark, sf), KEYS)
-    each = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(*KEYS)) / 100))
-    return rows.withColumn("each", each).where(F.col("pos") % F.col("each") == 0).select(*KEYS, "k", "x")
+    return W.decimate(grid(spark, sf), KEYS, 100, dense=True).select(*KEYS, "k", "x")
 
 
 @query("p19_middle_quantile", "select event_id, value as mid from events")
@@ -291,7 +292,7 @@ def j7(spark, sf):
 
 @query("a1_status_runs", upto("b0", "e as (select *, case when lag(raw) over (partition by house, appliance order by k) is distinct from raw then 1 else 0 end as edge from b0), n as (select *, sum(edge) over (partition by house, appliance order by k) as run from e where true)") + "select house, appliance, min(k) as run_start, max(k) + 1 as run_end, count(*) as steps from n where raw = 1 group by house, appliance, run")
 def a1(spark, sf):
-    return S.runs_of(filled(spark, sf).withColumn("raw", N.threshold_status("x", LOW, HIGH)), KEYS)
+    return S.runs_of(filled(spark, sf).withColumn("raw", N.threshold_status("x", LOW, HIGH)), KEYS, size=48)
 
 
 @query("a2_merge_short_off", upto("b2") + "select house, appliance, k, cast(c as integer) as status from b2")
@@ -330,7 +331,7 @@ _A6 = upto("st", "e as (select *, case when lag(status) over (partition by house
 
 @query("a6_activations", _A6 + "select house, appliance, min(k) as start_k, max(k) + 1 as end_k, count(*) as steps, round(sum(coalesce(x, 0)), 4) as energy from n where status = 1 group by house, appliance, run")
 def a6(spark, sf):
-    return S.activations(states(spark, sf), KEYS).withColumn("energy", F.round("energy", 4))
+    return S.activations(states(spark, sf), KEYS, size=48).withColumn("energy", F.round("energy", 4))
 
 
 @query("a7_window_has_on", upto("w") + "select house, appliance, win, max(cast(status > 0 as integer)) as label from w group by 1, 2, 3")
@@ -368,7 +369,7 @@ def w3(spark, sf):
 
 @query("w4_named_sizes", upto("g", "p as (select house, appliance, k, row_number() over (partition by house, appliance order by k) - 1 as pos from g), v as (select house, appliance, cast(pos // 144 as bigint) as win, count(*) as n from p group by 1, 2, 3)") + "select house, appliance, win, n from v where n = 144")
 def w4(spark, sf):
-    return W.cut(grid(spark, sf), KEYS, W.window_size("day", "10min")).groupBy(*KEYS, "win").agg(F.count("*").alias("n"))
+    return W.cut(grid(spark, sf), KEYS, W.window_size("day", "10min"), dense=True).groupBy(*KEYS, "win").agg(F.count("*").alias("n"))
 
 
 @query("w5_window_start", upto("w") + "select house, appliance, win, timestamp '1970-01-01' + to_seconds(min(k) * 3600) as start_ts from w group by 1, 2, 3")

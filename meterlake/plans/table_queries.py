@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.functions import calendar as C, metrics as M, numeric as N
-from meterlake.operators import evaluate as E, models as X, regularise as R, runs as U, scaling as K, splits as L, windows as W
+from meterlake.operators import evaluate as E, models as X, regularise as R, runs as U, scaling as K, segments, splits as L, windows as W
 from meterlake.plans.base import HOUR, KEYS, LOW, filled, grid, query, readings, scored, table, upto, windows
 from meterlake.plans.series_queries import _RUNS, run_logs
 
@@ -378,16 +378,12 @@ def j9(spark, sf):
 
 @query("f1_run_change", upto("z2") + "select house, appliance, k, cast(run as bigint) as run from z2")
 def f1(spark, sf):
-    from meterlake.operators.regularise import run_ids
-
-    return run_ids(grid(spark, sf), KEYS, F.col("x").isNull()).select(*KEYS, "k", "run")
+    return segments.run_ids(grid(spark, sf), KEYS, F.col("x").isNull(), size=48).select(*KEYS, "k", "run")
 
 
 @query("f2_run_size", upto("z2") + "select house, appliance, k, count(*) over (partition by house, appliance, run) as size from z2")
 def f2(spark, sf):
-    from meterlake.operators.regularise import run_ids
-
-    return run_ids(grid(spark, sf), KEYS, F.col("x").isNull()).select(*KEYS, "k", F.count("*").over(Window.partitionBy(*KEYS, "run")).alias("size"))
+    return segments.run_sizes(grid(spark, sf), KEYS, F.col("x").isNull(), size=48).select(*KEYS, "k", "size")
 
 
 @query("f3_last_known", upto("g") + "select house, appliance, k, last_value(x ignore nulls) over (partition by house, appliance order by k rows between 3 preceding and current row) as x from g")
@@ -397,6 +393,11 @@ def f3(spark, sf):
     return forward_fill(grid(spark, sf), KEYS, 3)
 
 
+@query("f3_last_known_any_distance", upto("g") + "select house, appliance, k, last_value(x ignore nulls) over (partition by house, appliance order by k rows between unbounded preceding and current row) as x from g")
+def f3_any(spark, sf):
+    return segments.carry_last(grid(spark, sf), KEYS, {"known": "x"}, size=48).select(*KEYS, "k", F.col("known").alias("x"))
+
+
 @query("f4_house_counter", "select o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderkey) as integer) as n from orders")
 def f4(spark, sf):
     rows = table(spark, sf, "orders")
