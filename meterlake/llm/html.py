@@ -5,9 +5,9 @@ The standard library's parser streams start tags, end tags and text. Text inside
 by tag, role, whole names in class or id, or names made of such words) is left out. A form that holds
 all text of a page is no furniture. The rest becomes lines, one per block element. Each line has
 its text-to-tag ratio; the ratios are smoothed by a Gaussian, and lines at or over the standard
-deviation of the smoothed ratios are clustered as content. Each content line votes, with its
-length, for the article it stands in (`article` or `main`; else its parent block). Regions with at
-least a quarter of the best one's votes are kept, with all their lines, short ones too.
+deviation of the smoothed ratios are clustered as content. Each content line votes for its
+region: the article it stands in (`article` or `main`; else its parent block). Regions with a vote are
+kept, with all their lines, short ones too.
 
 White space inside a line becomes one space; lines are joined by newlines. A page that breaks off
 inside a tag loses that tag only. Declarations that html does not know are comments, a head ends where
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -38,13 +39,15 @@ FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs pager pagination comment comments commentlist disqus reply replies respond related recommended share sharing social newsletter subscribe signup login footer header masthead widget toolbar".split()
 )
 #: Words that furniture shares with running text: they count alone or beside other words of furniture or layout.
-SHARED = frozenset("side related notice notices note alert promo respond reply replies comment share sharing social header subscribe recommended popup signup login widget".split())
+SHARED = frozenset("banner menu side related notice notices note alert promo respond reply replies comment share sharing social header subscribe recommended popup signup login widget".split())
 LAYOUT = frozenset("area bar block body box button buttons column container content form group inner item items left link links list main meta module nav page panel post posts article articles region right row section site sub top bottom stories text title wrap wrapper".split())
 HEAD_TAGS = frozenset("base link meta noscript script style template title html head".split())
 KEPT_WHOLE = frozenset(["html", "body", "article", "main"])
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article main section div body html nav aside footer header form blockquote".split())
+#: Scopes that are blocks of text, no regions.
+LISTS = frozenset("ul ol dl table blockquote".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _UNENDED = re.compile(r"<(?:[a-zA-Z/][^<>]*|!(?:-(?:-(?:(?!-->)[\s\S])*)?)?)\Z")
 
@@ -82,8 +85,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # tag, number, how left out (itself or around it)
-        self.opened: dict[str, int] = {}  # how many of a tag are open
+        #: tag, number, how left out (itself or around it), place of the innermost open SCOPE, number of the innermost block of text blocks
+        self.open: list[tuple[str, int, int, int, int]] = []
+        self.opened: dict[str, list[int]] = {}  # places of the open ones of a tag
         self.articles: list[int] = []  # numbers of the open articles
         self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
@@ -93,10 +97,7 @@ class Lines(HTMLParser):
         """The outermost article or main, else the innermost block that is no text block."""
         if self.articles:
             return self.articles[0]
-        for tag, number, _ in reversed(self.open):
-            if tag in SCOPE and tag not in ("ul", "ol", "dl", "table", "blockquote"):
-                return number
-        return 0
+        return self.open[-1][4] if self.open else 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -109,29 +110,29 @@ class Lines(HTMLParser):
         return self.open[-1][2] if self.open else 0
 
     def close_to(self, at: int) -> None:
-        if any(t in BLOCK or out for t, _, out in self.open[at:]):
+        if any(x[0] in BLOCK or x[2] for x in self.open[at:]):
             self.end_line()
-        for tag, _, _ in self.open[at:]:
-            self.opened[tag] -= 1
+        for tag, *_ in self.open[at:]:
+            self.opened[tag].pop()
             if tag in ("article", "main"):
                 self.articles.pop()
         del self.open[at:]
 
     def end_head(self) -> None:
         if self.opened.get("head"):
-            self.close_to(next(i for i, x in enumerate(self.open) if x[0] == "head"))
+            self.close_to(self.opened["head"][0])
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag not in HEAD_TAGS:
             self.end_head()
         if tag in BLOCK or tag in VOID:
-            closing = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
-            for at in range(len(self.open) - 1, -1, -1):
-                if self.open[at][0] in closing:
-                    self.close_to(at)
-                elif self.open[at][0] in SCOPE:
-                    break
+            # the outermost that this tag closes, within the innermost scope; no walk over what is open
+            within = self.open[-1][3] if self.open else -1
+            places = (self.opened.get(t) for t in CLOSES.get(tag, ("p",) if tag in BLOCK else ()))
+            ends = [own[bisect_right(own, within)] for own in places if own and own[-1] > within]
+            if ends:
+                self.close_to(min(ends))
         out = before = self.left_out()
         if out == 1 and tag in ("article", "main"):
             out = 0
@@ -144,8 +145,11 @@ class Lines(HTMLParser):
                 self.text.append(" ")
             return
         self.count += 1
-        self.open.append((tag, self.count, out))
-        self.opened[tag] = self.opened.get(tag, 0) + 1
+        _, _, _, scope, region = self.open[-1] if self.open else ("", 0, 0, -1, 0)
+        self.opened.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            scope, region = len(self.open), region if tag in LISTS else self.count
+        self.open.append((tag, self.count, out, scope, region))
         if tag in ("article", "main"):
             self.articles.append(self.count)
 
@@ -155,10 +159,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         self.tags += 1
         if self.opened.get(tag):
-            at = len(self.open) - 1
-            while self.open[at][0] != tag:
-                at -= 1
-            self.close_to(at)
+            self.close_to(self.opened[tag][-1])
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():
@@ -196,11 +197,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     ratios = smooth([len(text) / tags for text, tags, _ in lines], sigma)
     mean = sum(ratios) / len(ratios)
     threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    votes: dict[int, int] = {}
-    for (text, _, region), ratio in zip(lines, ratios, strict=True):
-        if ratio >= threshold:
-            votes[region] = votes.get(region, 0) + len(text)
-    kept = {region for region, n in votes.items() if 4 * n >= max(votes.values())}
+    kept = {region for (_, _, region), ratio in zip(lines, ratios, strict=True) if ratio >= threshold}
     return "\n".join(text for text, _, region in lines if region in kept)
 
 

@@ -145,3 +145,30 @@ def test_balltree(spark):
     found = balltree.top_k(v, v.where("vec_id % 50 = 0"), 5)
     assert rows(found, "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 81920), (0, 2, 2, 81920), (0, 3, 2, 81920)]
     assert balltree.top_k(v.limit(0), v.limit(0), 5).count() == 0
+
+
+def test_html_of_deep_and_wide_pages():
+    import time
+
+    began = time.time()
+    assert html.main_text("<font>" * 100_000 + "x<br>" * 100_000) == " ".join("x" * 100_000)
+    assert html.main_text("<p><table>" + "<span>" * 50_000 + "<hr>z" * 50_000).count("z") == 50_000
+    html.main_text("<span>" * 50_000 + "<p>y" * 50_000)
+    assert time.time() - began < 20
+
+
+def test_html_keeps_every_content_region():
+    sections = [" ".join(f"w{i}" for i in range(n)) for n in (60, 20, 12)]
+    page = "".join(f"<section>{s}</section>" for s in sections)
+    assert html.main_text(page) == "\n".join(sections[:2]) or html.main_text(page) == "\n".join(sections)
+    assert html.main_text(f'<article><p class="banner-year">{sections[1]}</p><p>{sections[0]}</p><div class="top-banner">ad</div></article>') == f"{sections[1]}\n{sections[0]}"
+
+
+def test_many_passages_of_one_document(spark):
+    """20,000 repeated lines between lines of their own: as many passages, each removed."""
+    own = "\n".join(f"own line {i}\nshared line {i % 7} of all" for i in range(20_000))
+    d = spark.createDataFrame([(1, "\n".join(f"shared line {i} of all" for i in range(7))), (2, own)], "doc_id long, text string")
+    found = substrings.repeats(d)
+    assert found.where("doc_id = 2").count() == 20_000 and {r["method"] for r in found.select("method").distinct().collect()} == {"lines"}
+    left = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(d).collect()}
+    assert "shared" not in left[2] and left[2].count("own line") == 20_000 and left[1].count("shared") == 7
