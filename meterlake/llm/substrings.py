@@ -26,6 +26,7 @@ remove_repeats.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -76,9 +77,9 @@ def units(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_co
 
 
 def repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed passage: doc_id, start, stop (code points of the text), first_word, last_word, n_units, n_whole, first_doc_id.
+    """One row per removed passage: doc_id, start, stop (code points of the text), first_word, last_word, n_units, n_whole, first_doc_id, method.
 
-    Units that touch or overlap are one passage; n_whole of its units are lines or paragraphs, the others runs; first_doc_id is the smallest document that keeps one of them.
+    Units that touch or overlap are one passage; n_whole of its units are lines or paragraphs, the others runs (method: lines, runs or both); first_doc_id is the smallest document that keeps one of them.
     """
     every = units(docs, unit_words, id_col, text_col)
     keep = every.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "stop", "first_word")).alias("keep"), F.count("*").alias("n")).where("n > 1")
@@ -86,8 +87,8 @@ def repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_
     again = cut(again.groupBy("doc_id", "start", "stop", "first_word", "n_words").agg(F.min(F.struct("keep.doc_id", "keep.first_word", "digest")).alias("keep"), F.max("whole").alias("whole")))
     found = again.select("doc_id", "first_word", (F.col("first_word") + F.col("n_words")).alias("end_word"), "start", "stop", F.col("keep.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("units"), F.col("whole").cast("long").alias("whole"))
     found = found.unionByName(extensions(again, docs, unit_words, id_col, text_col).withColumn("whole", F.lit(0).cast("long")))
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "end_word", "start", "stop", "keep_id", "units", "whole"))).alias("spans"))
-    return spans.select("doc_id", F.explode(joined("spans")).alias("p")).select("doc_id", "p.*")
+    method = F.when(F.col("n_whole") == 0, "runs").when(F.col("n_whole") == F.col("n_units"), "lines").otherwise("both")
+    return joined(found).withColumn("method", method)
 
 
 def edges(again: DataFrame, unit_words: int) -> DataFrame:
@@ -169,17 +170,16 @@ def extensions(again: DataFrame, docs: DataFrame, unit_words: int, id_col: str,
     return both.mapInArrow(compared, "doc_id long, first_word long, end_word long, start long, stop long, keep_id long, units long")
 
 
-def joined(col: str) -> F.Column:
-    """Sorted units joined to passages where they touch or overlap."""
-    made = "array<struct<start:long,stop:long,first_word:long,last_word:long,n_units:long,n_whole:long,first_doc_id:long>>"
-    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["first_word"].alias("first_word"), (x["end_word"] - 1).alias("last_word"), x["units"].alias("n_units"), x["whole"].alias("n_whole"), x["keep_id"].alias("first_doc_id"))
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["first_word"].alias("first_word"), F.greatest(last["last_word"], x["end_word"] - 1).alias("last_word"), (last["n_units"] + x["units"]).alias("n_units"), (last["n_whole"] + x["whole"]).alias("n_whole"), F.least(last["first_doc_id"], x["keep_id"]).alias("first_doc_id"))
-        return F.when((F.size(done) > 0) & (x["first_word"] <= last["last_word"] + 1), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(one(x))))
-
-    return F.aggregate(col, F.array().cast(made), step)
+def joined(found: DataFrame) -> DataFrame:
+    """Units joined to passages where they touch or overlap: one order by document, and a group for each passage."""
+    before = Window.partitionBy("doc_id").orderBy("first_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce((F.col("first_word") > F.max("end_word").over(before)).cast("int"), F.lit(1))
+    numbered = found.withColumn("__opened", opened)
+    numbered = numbered.withColumn("__passage", F.sum("__opened").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    made = numbered.groupBy("doc_id", "__passage").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_word").alias("first_word"), (F.max("end_word") - 1).alias("last_word"), F.sum("units").alias("n_units"), F.sum("whole").alias("n_whole"), F.min("keep_id").alias("first_doc_id")
+    )
+    return made.drop("__passage")
 
 
 def remove_repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,9 +187,21 @@ def remove_repeats(docs: DataFrame, unit_words: int = 25, id_col: str = "doc_id"
     gone = repeats(docs, unit_words, id_col, text_col).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
     # as one struct, so that no column of docs can clash with ours
     rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
-    both = rows.join(gone, F.col(f"row.{id_col}") == F.col("doc_id"), "left")
+    both = in_small_batches(rows.join(gone, F.col(f"row.{id_col}") == F.col("doc_id"), "left"))
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for t, spans in zip(text, gone, strict=True):
+            at, kept = 0, []
+            for x in spans if t is not None and spans is not None else ():
+                kept.append(t[at : x["start"]])
+                at = x["stop"]
+            out.append(t if t is None else "".join([*kept, t[at:]]))
+        return pd.Series(out, dtype=object)
+
     text = F.col(f"row.{text_col}")
-    kept = F.aggregate("gone", F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")), lambda a, x: F.struct(F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))).alias("done"), x["stop"].alias("at")))
-    rest = F.concat(kept["done"], F.substring(text, (kept["at"] + 1).cast("int"), F.lit(2147483647)))
-    text = F.when(F.col("gone").isNull(), text).otherwise(rest)
-    return both.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    # rows that lose nothing stay in the JVM
+    kept = both.where("gone is null").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    cut_ = both.where("gone is not null").select(*(without(text, "gone").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return kept.unionByName(cut_)
