@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.llm import words as W
 from meterlake.llm.tasks import columns_of, cut, filter_texts, map_texts, parts, small_side
@@ -122,7 +122,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, b
     every_doc = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + int(total) // block_bytes
-    docs = every_doc if n_blocks == 1 else cut(maybe_hit(every_doc.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text").distinct(), items, window, k))
+    docs = every_doc if n_blocks == 1 else cut(maybe_hit(every_doc.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text"), items, window, k).distinct())
     found = []
     for block in range(n_blocks):
         own = (items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)).toArrow()
@@ -138,8 +138,9 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, b
     every = found[0].where(F.size("items") > 0)
     for part in found[1:]:
         every = every.unionByName(part.where(F.size("items") > 0))
-    merged = every.groupBy("doc_id").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = merged.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), merge_spans("hits").alias("hits"), "items")
+    hits = merge_spans(every.select("doc_id", F.explode("hits").alias("x")).select("doc_id", "x.*"))
+    owned = every.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    merged = hits.join(owned, "doc_id").select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), "hits", "items")
     counts = map_texts(every_doc.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("row"), "text"), "row", "text", lambda texts: {"n_words": list(W.counts(texts, W.ALNUM))}, {"n_words": HITS["n_words"]})
     own = counts.join(merged, F.col("row.doc_id").eqNullSafe(F.col("__id")) & (F.col("row.digest") == F.col("__digest")), "left")
     nothing = lambda c: F.coalesce(c, F.array().cast(HITS[c][0])).alias(c)
@@ -184,11 +185,13 @@ def maybe_hit(docs: DataFrame, items: DataFrame, window: int, k: int, bits: int
     return filter_texts(docs, "text", keep)
 
 
-def merge_spans(col: str) -> F.Column:
-    """Intervals sorted and joined where they touch or overlap."""
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    joined = lambda done, x: F.when((F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))
-    return F.aggregate(F.array_sort(col), empty, joined)
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """doc_id, hits: the intervals (doc_id, start, end) of each document in order, joined where they touch or overlap."""
+    before = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1))
+    numbered = spans.withColumn("opened", opened).withColumn("n", F.sum("opened").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    one = numbered.groupBy("doc_id", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"))
 
 
 def n_hit(col: str = "hits") -> F.Column:
