@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterlake.plans import base, profile_queries, series_queries, table_queries  # noqa: F401
+from meterlake.plans import base, profile_queries, series_queries, table_queries, temporal_queries  # noqa: F401
 from meterlake.plans.series_queries import flagship  # noqa: F401
 
 
