@@ -440,14 +440,25 @@ def s2(spark, sf):
     return IN.channel_labels(spark, path, r"house=(\d+)")
 
 
-@query("s3_scan_wide_house", upto("m") + "select cast(house as integer) as house, cast(o.i as integer) as ordinal, timestamp '1970-01-01' + to_seconds(k * 3600) as ts, round(max(case when o.i = 0 and appliance = 'purchase' or o.i = 1 and appliance = 'view' then x end), 6) as watts from m cross join (select unnest([0, 1]) as i) o group by 1, 2, 3, k")
-def s3(spark, sf):
+#: Every channel of the given readings, in the order of the wide files' columns.
+ALL = ["click", "error", "purchase", "signup", "view"]
+_WIDE = " or ".join(f"o.i = {i} and appliance = '{a}'" for i, a in enumerate(ALL))
+
+
+def written_houses(spark, sf) -> str:
+    """Wide files of all channels, one folder a house."""
     path = scratch(spark)
     means = R.bucket_means(readings(spark, sf), KEYS, HOUR, digits=2)
-    wide = J.select_channels(means.withColumn("status", F.lit(0)), ["purchase", "view"], ["house", "k"])
+    wide = J.select_channels(means.withColumn("status", F.lit(0)), ALL, ["house", "k"])
     time = F.date_format(N.from_seconds(F.col("k") * HOUR), "yyyy-MM-dd HH:mm:ss")
-    wide.select("house", time.alias("Time"), (F.col("k") * HOUR).alias("Unix"), F.round("purchase_power", 6).alias("Appliance1"), F.round("view_power", 6).alias("Appliance2"), F.lit(0).alias("Issues")).write.partitionBy("house").option("header", True).csv(path)
-    rows = IN.wide_house(spark, path, r"house=(\d+)")
+    values = [F.round(f"{a}_power", 6).alias(f"Appliance{i + 1}") for i, a in enumerate(ALL)]
+    wide.select("house", time.alias("Time"), (F.col("k") * HOUR).alias("Unix"), *values, F.lit(0).alias("Issues")).write.partitionBy("house").option("header", True).csv(path)
+    return path
+
+
+@query("s3_scan_wide_house", upto("m") + f"select cast(house as integer) as house, cast(o.i as integer) as ordinal, timestamp '1970-01-01' + to_seconds(k * 3600) as ts, round(max(case when {_WIDE} then x end), 6) as watts from m cross join (select unnest(range({len(ALL)})) as i) o group by 1, 2, 3, k")
+def s3(spark, sf):
+    rows = IN.wide_house(spark, written_houses(spark, sf), r"house=(\d+)")
     return rows.select("house", "ordinal", F.col("ts").cast("timestamp_ntz").alias("ts"), "watts")
 
 

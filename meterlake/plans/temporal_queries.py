@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meterlake.functions import numeric as N
 from meterlake.operators import segments, status as S, temporal as T
 from meterlake.plans.base import HOUR, KEYS, filled, query, readings, states, upto
+from meterlake.plans.series_queries import _DIM, _WIDE, ALL, _channels, _written_channels, scratch, written_houses
+from meterlake.sources import formats
 
 
 @query(
@@ -44,3 +47,30 @@ def t3(spark, sf):
     known = segments.carry_last(rows, KEYS, {"v": "x"}, size=72)
     one = lambda a: F.max(F.when(F.col("appliance") == a, F.col("v"))).alias(a)
     return known.groupBy("house", "k").agg(one("purchase"), one("view"))
+
+
+# --- sources by format: what the scans of the same layouts give --------------------------------------
+
+
+@query("s1_channels_by_format", upto("r", _DIM) + "select cast(house as integer) as house, channel, date_trunc('second', ts) as ts, watts from r join d using (appliance) where house in (1, 2) and channel <> 2")
+def s1_format(spark, sf):
+    formats.register(spark)
+    rows = spark.read.format("meter_channels").load(_written_channels(spark, sf))
+    return rows.where("house in (1, 2) and channel <> 2").withColumn("ts", N.from_seconds(F.unix_seconds("ts")))
+
+
+@query("s2_labels_by_format", upto("r", _DIM) + "select 2 as house, channel, appliance from d where exists (select 1 from r where house = 2)")
+def s2_format(spark, sf):
+    formats.register(spark)
+    path = scratch(spark)
+    names = _channels(spark, sf)
+    doubled = names.unionByName(names.withColumn("channel", F.col("channel") + 100))
+    readings(spark, sf).select("house").distinct().crossJoin(F.broadcast(doubled)).select("house", "channel", "appliance").write.partitionBy("house").option("sep", " ").csv(path)
+    return spark.read.format("meter_labels").load(path).where("house = 2")
+
+
+@query("s3_houses_by_format", upto("m") + f"select cast(house as integer) as house, cast(o.i as integer) as ordinal, timestamp '1970-01-01' + to_seconds(k * 3600) as ts, round(max(case when {_WIDE} then x end), 6) as watts from m cross join (select unnest(range({len(ALL)})) as i) o where house <> 1 group by 1, 2, 3, k")
+def s3_format(spark, sf):
+    formats.register(spark)
+    rows = spark.read.format("meter_houses").load(written_houses(spark, sf)).where("house <> 1")
+    return rows.select("house", "ordinal", F.col("ts").cast("timestamp_ntz").alias("ts"), "watts")
