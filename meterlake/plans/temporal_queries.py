@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meterlake.functions import numeric as N
-from meterlake.operators import segments, status as S, temporal as T
+from meterlake.functions import numeric as N, table_functions
+from meterlake.operators import segments, status as S, summaries as Y, temporal as T
 from meterlake.plans.base import HOUR, KEYS, filled, query, readings, states, upto
 from meterlake.plans.series_queries import _DIM, _WIDE, ALL, _channels, _written_channels, scratch, written_houses
 from meterlake.sources import formats
@@ -74,3 +74,47 @@ def s3_format(spark, sf):
     formats.register(spark)
     rows = spark.read.format("meter_houses").load(written_houses(spark, sf)).where("house <> 1")
     return rows.select("house", "ordinal", F.col("ts").cast("timestamp_ntz").alias("ts"), "watts")
+
+
+# --- table functions ---------------------------------------------------------------------------------
+
+
+def _by_sql(spark, sf, text: str):
+    table_functions.register(spark)
+    return spark.sql(text, rows=states(spark, sf).select(*KEYS, "k", "x", "status"))
+
+
+@query("w1_windows_by_sql", upto("w") + "select house, appliance, win, step, k, x, status from w")
+def w1_sql(spark, sf):
+    return _by_sql(spark, sf, "select house, appliance, win, step, k, x, status from cut_windows(rows => table({rows}) partition by (house, appliance) order by k, size => 24)")
+
+
+@query("w3_whole_windows_by_sql", upto("w") + "select house, appliance, win, step, k, x from (select *, sum(cast(x is null as integer)) over (partition by house, appliance, win) as gaps from w) where gaps = 0")
+def w3_sql(spark, sf):
+    return _by_sql(spark, sf, "select house, appliance, win, step, k, x from cut_windows(rows => table({rows}) partition by (house, appliance) order by k, size => 24, whole => 'x')")
+
+
+# --- summaries and exact quantiles -------------------------------------------------------------------
+
+
+@query(
+    "q1_merged_summaries",
+    upto("r") + "select house, appliance, count(watts) as n, min(watts) as low, max(watts) as high, round(sum(watts), 2) as total, true as median_is_near, true as times_are_near from r group by 1, 2",
+)
+def q1(spark, sf):
+    rows = readings(spark, sf).select(*KEYS, "ts", "watts")
+    one = Y.merge(Y.summarise(rows, KEYS), KEYS)
+    told = one.select(*KEYS, "n", "low", "high", "total", Y.quantile(0.5).alias("median"), Y.distinct_times().alias("times"))
+    exact = rows.join(told.select(*KEYS, "median"), KEYS).groupBy(*KEYS).agg((F.count_if(F.col("watts") < F.col("median")) / F.count("*")).alias("less"), (F.count_if(F.col("watts") <= F.col("median")) / F.count("*")).alias("upto"), F.count_distinct("ts").alias("true_times"))
+    near = (F.col("less") <= 0.52) & (F.col("upto") >= 0.48)
+    return told.join(exact, KEYS).select(*KEYS, "n", "low", "high", F.round("total", 2).alias("total"), near.alias("median_is_near"), (F.abs(F.col("times") / F.col("true_times") - 1) < 0.05).alias("times_are_near"))
+
+
+@query("q2_exact_quantiles", upto("r") + "select house, appliance, unnest([0.0, 0.1, 0.5, 0.9, 1.0]) as q, unnest([quantile_disc(watts, 0.0), quantile_disc(watts, 0.1), quantile_disc(watts, 0.5), quantile_disc(watts, 0.9), quantile_disc(watts, 1.0)]) as x from r group by 1, 2")
+def q2(spark, sf):
+    return Y.exact_quantiles(readings(spark, sf), KEYS, "watts", [0.0, 0.1, 0.5, 0.9, 1.0], limit=50).select(*KEYS, "q", "x")
+
+
+@query("k14_fit_robust", upto("r") + "select appliance, quantile_disc(watts, 0.5) as stat1, quantile_disc(watts, 0.75) - quantile_disc(watts, 0.25) as stat2 from r group by 1")
+def k14(spark, sf):
+    return Y.fit_robust(readings(spark, sf), ["appliance"], "watts", limit=200)
