@@ -8,19 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def score_windows(packed: DataFrame, model: Callable, x: str = "x", s1: float = 0.0, s2: float = 1.0, threshold: float = 0.0) -> DataFrame:
-    """house, win, step, pred: model gets a batch of scaled windows (n, W) and returns as many values; small ones become 0."""
+def score_windows(packed: DataFrame, model: Callable, keys: list[str] = ("house",), x: str = "x", s1: float = 0.0, s2: float = 1.0, threshold: float = 0.0) -> DataFrame:
+    """keys, win, step, pred: model gets a batch of scaled windows (n, W) and returns as many values; small ones become 0.
+
+    The windows of a batch that have one length go to the model together; keys may be of any type that has a form in Arrow.
+    """
     def scored(frames):
         import numpy as np
 
         for frame in frames:
-            if len(frame):
-                made = np.asarray(model((np.stack(frame[x].to_numpy()) - s1) / s2)) * s2 + s1
+            for _, own in frame.groupby(frame[x].map(len)) if len(frame) else ():
+                made = np.asarray(model((np.stack(own[x].to_numpy()) - s1) / s2)) * s2 + s1
                 made = np.where(made < threshold, 0.0, made)
                 n, size = made.shape
-                yield pd.DataFrame({"house": np.repeat(frame["house"].to_numpy(), size), "win": np.repeat(frame["win"].to_numpy(), size), "step": np.tile(np.arange(size), n), "pred": made.ravel()})
+                repeated = {c: own[c].repeat(size).reset_index(drop=True) for c in [*keys, "win"]}
+                yield pd.DataFrame(repeated | {"step": np.tile(np.arange(size), n), "pred": made.ravel()})
 
-    return packed.select("house", "win", x).mapInPandas(scored, "house long, win long, step long, pred double")
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in keys)
+    return packed.select(*keys, F.col("win").cast("long").alias("win"), x).where(F.size(x) > 0).mapInPandas(scored, f"{kinds}, win long, step long, pred double")
 
 
 def window_features(windows: DataFrame, keys: list[str], x: str = "x") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from meterlake.operators import windows as W
 from meterlake.plans.base import KEYS, query, readings
 from meterlake.plans.profiles import Profile, Rules, prepare
+from meterlake.plans.series_queries import scratch
+from meterlake.sources import lake
 
 NAMES = ["click", "error", "purchase", "signup", "view"]
 
@@ -94,3 +96,16 @@ def anchored(spark, sf):
 def extra_channels(spark, sf):
     """'view' has no rules: it counts in the synthetic aggregate only."""
     return _round(prepare(_rows(spark, sf), _profile("channels", ["click", "error", "purchase"], synthetic=["purchase", "view"])))
+
+
+@query("s17_prepared_by_appends", _sql(_EVENTS, False, True, 6, f"select house, appliance, k, round(x, 5) as x, {_HARD}, round(total, 5) as total from d"))
+def appended(spark, sf):
+    """Three appends: the earlier half of the readings but for a tenth, the later half, and that tenth, late."""
+    rows = _rows(spark, sf)
+    ends = rows.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi"))
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < (F.col("lo") + F.col("hi")) / 2
+    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("part", F.when(~early, 1).when(F.col("event_id") % 10 == 3, 2).otherwise(0)).drop("lo", "hi")
+    path = scratch(spark)
+    for part in range(3):
+        lake.append(spark, path, f"b{part}", dealt.where(F.col("part") == part).drop("part"), _profile("channels"))
+    return _round(lake.prepared(spark, path))

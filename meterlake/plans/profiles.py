@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from meterlake.functions import numeric as N
 from meterlake.operators import align as J, regularise as R, status as S
+from meterlake.sources import known
 
 CHANNEL = ["house", "appliance"]
 
@@ -47,6 +48,24 @@ class Profile:
     chunk: int = 65_536  # buckets of a series that one task takes, with what the rules reach over on both sides
 
 
+#: Layout and steps of the three public datasets that sources.known describes.
+KNOWN = {
+    "ukdale": {"layout": "channels", "every": 10, "fill": 6, "long_gap": 12, "cutoff": 6000.0, "floor": 5.0, "factor": 6},
+    "refit": {"layout": "wide", "every": 10, "fill": 9, "long_gap": None, "cutoff": 10_000.0, "floor": 5.0, "factor": 6},
+    "redd": {"layout": "meters", "every": 10, "fill": 6, "long_gap": 12, "cutoff": 6000.0, "floor": 5.0, "factor": 6},
+}
+
+
+def known_profile(dataset: str, durations: bool = True, synthetic: bool = False, **changes) -> Profile:
+    """The preparation of a known dataset: its layout, steps and rules, with durations or by thresholds alone; changes replace fields."""
+    if durations:
+        rules = {a: Rules(float(low), float(high), *rest) for a, (low, high, *rest) in known.DURATION_RULES[dataset].items()}
+    else:
+        rules = {a: Rules(float(low), float(high)) for a, (low, high) in known.PLAIN_RULES[dataset].items()}
+    own = {"rules": rules, "use_durations": durations, "synthetic": known.SYNTHETIC[dataset] if synthetic else []}
+    return Profile(**(KNOWN[dataset] | own | changes))
+
+
 def prepare(readings: DataFrame, profile: Profile, mains: str = "aggregate") -> DataFrame:
     """house, appliance, k (coarse grid), x, status, total.
 

@@ -121,6 +121,28 @@ def p7_known(spark, sf):
     return rows.select("event_id", "appliance", N.threshold_status("watts", F.col("min_threshold"), F.col("max_threshold")).alias("raw"))
 
 
+_V = ", ".join(f"('{a}', {', '.join(map(str, r))})" for a, r in known.DURATION_RULES["ukdale"].items())
+_W7 = "partition by house, appliance order by k"
+
+
+@query(
+    "p7_known_durations",
+    f"with v(appliance, lo, hi, min_on, min_off, min_act) as (values {_V}), r as (select user_id % 4 as house, {_NAME_SQL} as appliance, ts, value * 10 as watts from events), "
+    "m as (select house, appliance, cast(floor(epoch(ts) / 900) as bigint) as k, avg(watts) as x from r group by 1, 2, 3), "
+    "g as (select i.*, m.x from (select house, appliance, unnest(range(min(k), max(k) + 1)) as k from m group by 1, 2) i left join m using (house, appliance, k)), "
+    f"f as (select house, appliance, k, last_value(x ignore nulls) over ({_W7} rows between 6 preceding and current row) as x from g), "
+    "c0 as (select f.*, v.*, case when x between lo and hi then 1 else 0 end as raw from f join v using (appliance)), "
+    f"c1 as (select *, max(case when raw = 1 then k end) over ({_W7} rows between unbounded preceding and current row) as p, min(case when raw = 1 then k end) over ({_W7} rows between current row and unbounded following) as n from c0), "
+    "c2 as (select *, case when raw = 1 or coalesce(n - p - 1 <= min_off, false) then 1 else 0 end as c from c1), "
+    f"c3 as (select *, case when lag(c) over ({_W7}) is distinct from c then 1 else 0 end as edge from c2), c4 as (select *, sum(edge) over ({_W7}) as run from c3) "
+    "select house, appliance, k, cast(case when c = 1 and count(*) over (partition by house, appliance, run) >= greatest(min_on, min_act) then 1 else 0 end as integer) as status from c4",
+)
+def p7_durations(spark, sf):
+    rows = _named(spark, sf).withColumn("watts", F.col("watts") * 10)
+    full = R.forward_fill(R.resample_mean(rows, KEYS, 900), KEYS, 6)
+    return S.status_by_params(full, known.rule_table(spark, "ukdale"), KEYS).select(*KEYS, "k", "status")
+
+
 @query("p12_validate_appliances", f"select {_NAME_SQL} as appliance, count(*) as n from events group by 1")
 def p12(spark, sf):
     rows = _named(spark, sf)

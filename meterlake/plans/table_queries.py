@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterlake.functions import calendar as C, metrics as M, numeric as N
-from meterlake.operators import evaluate as E, models as X, regularise as R, runs as U, scaling as K, segments, splits as L, windows as W
+from meterlake.operators import evaluate as E, models as X, ordered as D, regularise as R, runs as U, scaling as K, segments, splits as L, windows as W
 from meterlake.plans.base import HOUR, KEYS, LOW, filled, grid, query, readings, scored, table, upto, windows
 from meterlake.plans.series_queries import _RUNS, run_logs
 
@@ -429,9 +429,12 @@ def f7(spark, sf):
     return U.loss_curves(packed, ["run"], {"train": "train", "valid": "valid"})
 
 
-@query("o1_sort", "select event_id, ts from events")
+@query("o1_sort", "select event_id, ts, row_number() over (order by ts, event_id) as place from events")
 def o1(spark, sf):
-    return readings(spark, sf).select("event_id", "ts").orderBy("ts", "event_id")
+    """Sorted by time, with the place in that order: what a set of rows alone would not show."""
+    rows = readings(spark, sf).select("event_id", "ts").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    placed = D.running_sums(D.value_ranges(rows, "at"), F.col("value_range"), ["ts", "event_id"], {"before": F.lit(1)})
+    return placed.select("event_id", "ts", (F.col("before") + 1).cast("long").alias("place")).orderBy("ts", "event_id")
 
 
 @query("o2_order_modes", 'select event_id as idx, cast(value between 40 and 300 as integer) as "on" from events where value between 40 and 300')
@@ -440,9 +443,11 @@ def o2(spark, sf):
     return U.ordered_windows(rows, "on_only")
 
 
-@query("o3_sorted_keys", "select distinct o_orderpriority as key from orders")
+@query("o3_sorted_keys", "select key, row_number() over (order by key) as place from (select distinct o_orderpriority as key from orders)")
 def o3(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderpriority").alias("key")).distinct().orderBy("key")
+    keys = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("key")).distinct()
+    # the keys of a metrics table, as many as there are metrics
+    return keys.select("key", F.row_number().over(Window.orderBy("key")).alias("place")).orderBy("key")
 
 
 @query("o4_limit", "select event_id, ts from events order by ts, event_id limit 100")
@@ -479,17 +484,14 @@ def s13_names(spark, sf):
 # --- models ----------------------------------------------------------------------------------------
 
 
-@query("x1_score_windows", upto("w", "o as (select appliance, row_number() over (order by appliance) as n from (select distinct appliance from w)), a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house * 10 + n as house, win, step, round(case when m < 40 then 0.0 else m end, 6) as pred from a join o using (appliance) where not exists (select 1 from w where w.house = a.house and w.appliance = a.appliance and w.win = a.win and w.x is null)")
+@query("x1_score_windows", upto("w", "a as (select house, win, appliance, step, x, avg(x) over (partition by house, appliance, win) as m from w)") + "select house, appliance, win, step, round(case when m < 40 then 0.0 else m end, 6) as pred from a where not exists (select 1 from w where w.house = a.house and w.appliance = a.appliance and w.win = a.win and w.x is null)")
 def x1(spark, sf):
-    rows = windows(spark, sf)
-    packed = W.pack(W.drop_gappy(rows, KEYS, ["x"]), KEYS, ["x"])
-    names = rows.select("appliance").distinct().withColumn("n", F.row_number().over(Window.orderBy("appliance")))
-    ids = packed.join(names, "appliance").withColumn("house", (F.col("house") * 10 + F.col("n")).cast("long")).drop("appliance", "n")
+    packed = W.pack(W.drop_gappy(windows(spark, sf), KEYS, ["x"]), KEYS, ["x"])
 
     def window_mean(batch):
         return batch.mean(axis=1, keepdims=True).repeat(batch.shape[1], axis=1)
 
-    return X.score_windows(ids, window_mean, s1=5.0, s2=3.0, threshold=LOW).withColumn("pred", F.round("pred", 6))
+    return X.score_windows(packed, window_mean, KEYS, s1=5.0, s2=3.0, threshold=LOW).withColumn("pred", F.round("pred", 6))
 
 
 @query("x2_fit_window_energy")
