@@ -13,9 +13,14 @@ A star misses links between members that are both unlike the center. So the grou
 edges connect, and that still hold several components, are compared once more: every member outside
 the largest component of a group against all members of other components, with exact intersections
 counted over an inverted index of the sets. Only links that join two components leave a task, so no
-row per pair is made. Groups of more than `most` members are replaced by their buckets. Groups are
-dealt into blocks of bounded size, and pairs of blocks are the rows that Spark deals to tasks. No link
-between members of one bucket is lost, at any size.
+row per pair is made. Groups are dealt into blocks of bounded size, and pairs of blocks are the rows
+that Spark deals to tasks. No link between members of one group is lost, at any size.
+
+Where a group has more than a block of such members, as pages of one template do that are alike but
+not enough, a prefix filter comes first: of sets with a similarity of t or more, the (1 - t) n + 1
+shingles that are rarest in the group have one in common, so members whose rarest shingles nobody of
+another component has among theirs link nothing, and stay out of the blocks. A template's shingles are the
+most frequent ones, so they are keys only of sets that are nearly similar enough.
 
 Components come from alternating large-star and small-star steps over links, each cut by a
 checkpoint. All joins on keys that may be hot are dealt so that adaptive execution can split them.
@@ -143,7 +148,10 @@ def is_forest_of_stars(edges: DataFrame) -> bool:
 
 
 def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
-    """id, component (smallest id reachable) of all ids that stand in links (src, dst)."""
+    """id, component (smallest id reachable) of all ids that stand in links (src, dst).
+
+    Steps needed grow with the logarithm of the longest path; where max_steps do not settle it, an error is raised.
+    """
     edges = cut(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     for _ in range(max_steps):
         if is_forest_of_stars(edges):
@@ -168,22 +176,43 @@ def crowds(first: DataFrame) -> DataFrame:
     return spread_join(members, small_side(low), ["key"])
 
 
-def mixed_units(crowd: DataFrame, edges: DataFrame, found: DataFrame, most: int) -> DataFrame:
-    """unit, id, part, few: members of the groups that hold several components; few marks those outside the largest.
-
-    A unit is a group that edges connect, or one bucket of a group with more than `most` members.
-    """
-    groups = components(edges).withColumnRenamed("component", "group")
-    groups = cut(groups.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("part")))
-    large = small_side(groups.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > most).select("group"))
-    own = groups.join(large, "group", "left_anti").select(F.struct(F.lit(0).alias("bucket"), F.col("group").alias("key")).alias("unit"), "id", "part")
-    of_large = spread_join(groups.join(large, "group", "left_semi"), crowd.select("key", "id"), ["id"])
-    units = cut(own.unionByName(of_large.select(F.struct(F.lit(1).alias("bucket"), "key").alias("unit"), "id", "part")))
+def mixed_units(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """unit, id, part, few: members of the groups that edges connect and that hold several components; few marks those outside the largest."""
+    groups = components(edges).withColumnRenamed("component", "unit")
+    units = cut(groups.join(found, "id", "left").select("unit", "id", F.coalesce("component", "id").alias("part")))
     parts_of = units.groupBy("unit", "part").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "part"))["part"].alias("main"), F.count("*").alias("n"))
     mixed = small_side(parts_of.where("n > 1").select("unit", "main"))
     return spread_join(units, mixed, ["unit"]).select("unit", "id", "part", (F.col("part") != F.col("main")).alias("few"))
 
 
+def with_rare_partners(units: DataFrame, sets: DataFrame, percent: int, crowded: int) -> DataFrame:
+    """The units without members that can link nothing; units of at most `crowded` members to look for stay as they are."""
+    sizes = units.groupBy("unit").agg(F.count_if("few").alias("n"))
+    many = small_side(sizes.where(F.col("n") > crowded).select("unit"))
+    calm, busy = units.join(many, "unit", "left_anti"), units.join(many, "unit", "left_semi")
+
+    def spread_out(batches):
+        for batch in batches:
+            for part in parts([batch]):
+                held = [np.frombuffer(x.as_buffer(), np.int64) for x in part["hashes"]]
+                n = np.fromiter(map(len, held), np.int64, len(held))
+                at = pa.array(np.repeat(np.arange(len(held)), n))
+                columns = [part[c].take(at) for c in ("unit", "id", "part", "few")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, n)), pa.array(np.concatenate([np.zeros(0, np.int64), *held]))], names=["unit", "id", "part", "few", "size", "shingle"])
+
+    each = spread_join(busy, sets, ["id"]).select("unit", "id", "part", "few", "hashes").mapInArrow(spread_out, "unit long, id long, part long, few boolean, size long, shingle long")
+    shared = each.groupBy("unit", "shingle").agg(F.count("*").alias("n")).where("n > 1")
+    known = spread_join(each, shared, ["unit", "shingle"])
+    # shingles that nobody else has come first in the order, and are no keys
+    own = known.groupBy("unit", "id", "part", "few", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("keys"))
+    least = F.ceil(F.col("size") * percent / 100)
+    first = F.greatest(F.col("size") - least + 1 - (F.col("size") - F.size("keys")), F.lit(0)).cast("int")
+    keys = cut(own.select("unit", "id", "part", "few", F.explode(F.slice("keys", F.lit(1), first)).alias("key")).select("unit", "id", "part", "few", "key.shingle"))
+    live = keys.groupBy("unit", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("few").alias("few")).where("few and lo < hi").select("unit", "shingle")
+    left = spread_join(keys, live, ["unit", "shingle"]).select("unit", "id", "part", "few").distinct()
+    return calm.unionByName(left)
+
+
 def blocks_of_units(units: DataFrame, sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
     """unit, block, blocks, members: the units' members with their sets, in blocks of about block_rows rows or block_bytes."""
     full = spread_join(units, sets, ["id"])
@@ -223,7 +252,7 @@ def block_links(few: list[dict], all_: list[dict], percent: int) -> list[tuple[i
 
 def rest_links(units: DataFrame, sets: DataFrame, percent: int, block_rows: int = 512, block_bytes: int = 1 << 21) -> DataFrame:
     """src, dst: links between different parts of the same unit, enough of them to join all parts that links join."""
-    held = cut(blocks_of_units(units, sets, block_rows, block_bytes))
+    held = cut(blocks_of_units(cut(with_rare_partners(units, sets, percent, block_rows)), sets, block_rows, block_bytes))
     # a unit of one block meets itself; of several, each block with members to look for meets every block
     alone = held.where("blocks = 1").select("members", F.lit(None).cast(held.schema["members"].dataType).alias("others"))
     asked = held.where(F.col("blocks") > 1).where(F.exists("members", lambda x: x["few"]))
@@ -242,7 +271,7 @@ def rest_links(units: DataFrame, sets: DataFrame, percent: int, block_rows: int
     return alone.unionByName(pairs.select("members", "others")).mapInArrow(found, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, most: int = 4096, block_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, block_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept for every row."""
     every = cut(sketches(docs, k, id_col, text_col))
     some = every.where("id is not null and n > 0")
@@ -254,7 +283,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, most: int =
     sets = cut(full_sets(docs, near, k, id_col, text_col))
     links = cut(confirmed(edges, sets, percent))
     found = cut(components(links))
-    more = rest_links(mixed_units(crowd, edges, found, most), sets, percent, block_rows)
+    more = rest_links(mixed_units(edges, found), sets, percent, block_rows)
     links = cut(found.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
     found = cut(components(links))
     named = classes.join(found.withColumnRenamed("component", "c"), "id", "left").select("s1", "s2", "n", F.coalesce("c", "id").alias("component_id"))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meterlake.llm import balltree, html, langid, licenses, linedup, neardup, packing, queries as Q, substrings, toxicity
@@ -299,8 +300,52 @@ def test_large_groups_of_near_copies(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     expect = components_of(rows, 4)
     assert len({c for _, c, _ in expect.values()}) > 5
-    # whole groups at once, and bucket by bucket in small blocks
-    assert near_found(d) == near_found(d, most=20, block_rows=16) == expect
+    # whole groups at once, and in small blocks behind the filter by rare shingles
+    assert near_found(d) == near_found(d, block_rows=16) == expect
+
+
+def template_pages(rng, n):
+    """n pages of one template, alike by some 0.6, and near copies of every fiftieth."""
+    common = [f"t{i}" for i in range(230)]
+    rows = []
+    for i in range(n):
+        own = [f"p{i}w{j}" for j in range(75)]
+        rows.append((len(rows), " ".join([*common, *own])))
+        if i % 50 == 0:
+            own[rng.randrange(75)] = "changed"
+            rows.append((len(rows), " ".join([*common, *own])))
+    return rows
+
+
+def test_template_pages_are_not_compared_with_each_other(spark):
+    rng, left = random.Random(12), []
+    for n in (300, 1200):
+        rows = template_pages(rng, n)
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        found = near_found(d, block_rows=32)
+        assert {i: c for i, (_, c, _) in found.items()} == {i: i - 1 if "changed" in t else i for i, t in rows}
+        # nobody has rare shingles in common with a page of another component
+        sets = neardup.full_sets(d, d.select(F.col("doc_id").alias("id")), 4, "doc_id", "text")
+        units = d.select(F.lit(0).cast("long").alias("unit"), F.col("doc_id").alias("id"), F.col("doc_id").alias("part"), (F.col("doc_id") > 0).alias("few"))
+        kept = neardup.with_rare_partners(units, sets, 80, 32)
+        left.append(kept.count())
+        assert left[-1] == 2 * -(-n // 50)
+    assert left[1] == 4 * left[0]
+
+
+def test_rare_partners_lose_no_link(spark):
+    rng = random.Random(15)
+    for percent in (80, 60):
+        rows, sets = [], {}
+        for i in range(250):
+            base = [rng.randrange(40) for _ in range(rng.randint(1, 30))]
+            sets[i] = {zlib.crc32(f"{x}".encode()) for x in base}
+            rows.append((i, np.array(sorted(sets[i]), np.uint64).tobytes()))
+        held = spark.createDataFrame(rows, "id long, hashes binary")
+        units = spark.createDataFrame([(0, i, i % 50, i % 50 > 0) for i in sets], "unit long, id long, part long, few boolean")
+        kept = {r["id"] for r in neardup.with_rare_partners(units, held, percent, 3).collect()}
+        linked = {i for a in sets for b in sets if a % 50 != b % 50 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for i in (a, b)}
+        assert linked <= kept
 
 
 def test_texts_that_share_an_id(spark):
