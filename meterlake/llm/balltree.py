@@ -1,12 +1,13 @@
 """Exact top-k by inner product, with a ball tree per shard and branch and bound.
 
 Vectors become whole numbers, floor(scale * x), within the range of a 64-bit number. Each goes to the
-nearest of at most `pivots` vectors, which a hash of their ids picks; the vectors of a pivot are dealt
+nearest of some pivots, vectors that a hash of their ids picks: about the square root of their number,
+1,024 at least and 16,384 at most, but one for each shard_rows rows at most. The vectors of a pivot are dealt
 into shards of about `shard_rows` rows, so a hot pivot is many shards. A query is first searched in one
 shard of its own pivot, which gives a k-th score that all other shards share; it then goes to those
 pivots only whose ball, by the upper bound q.c + |q| r, may hold a score as high. Queries are dealt into
 blocks of about `query_rows`; each (shard, block) cell is one group of a cogrouped pandas job, so memory
-is bounded by a cell whatever the input. In a cell, a ball tree over the shard is searched once per
+is bounded by a cell whatever the input; vectors go only to the blocks that ask for their shard. In a cell, a ball tree over the shard is searched once per
 query: nodes go by descending bound, and the search ends at the first node whose bound lies below the
 current k-th score. The best k of each shard are then ranked per query.
 
@@ -23,13 +24,14 @@ rows are candidates each; a query id that stands on several rows is one query, b
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from meterlake.llm.tasks import cut, in_small_batches, parts
+from meterlake.llm.tasks import cut, in_small_batches, parts, small_side
 
 FOUND = "query_id long, vec_id long, score long"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -158,10 +160,11 @@ def assigned(vectors: DataFrame, pivots: Pivots) -> DataFrame:
     return in_small_batches(vectors).select("vec_id", "v").mapInArrow(made, "vec_id long, v array<double>, pivot int, far double")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096, pivots: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 4096, query_rows: int = 4096, pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: vec_id, v as from whole_vectors."""
     context = vectors.sparkSession.sparkContext
-    n_pivots = max(1, min(pivots, vectors.count() // shard_rows))
+    n = vectors.count()
+    n_pivots = max(1, min(pivots or max(1024, min(16_384, math.isqrt(n))), n // shard_rows))
     n_blocks = max(1, -(-queries.count() // query_rows))
     picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).toArrow()
     chosen = Pivots(picked["v"].to_pylist())
@@ -182,7 +185,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     search = lambda left, right: _search_cell(left, right, k)
 
     def cells(rows: DataFrame, ask: DataFrame) -> DataFrame:
-        dealt = rows.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        # a vector goes to the blocks that ask for its shard, and to no other
+        dealt = rows.select("vec_id", "v", "shard").join(small_side(ask.select("shard", "block").distinct()), "shard")
         return dealt.groupBy("shard", "block").cogroup(ask.groupBy("shard", "block")).applyInPandas(search, FOUND)
 
     nearest = asked.join(F.broadcast(places), "pivot").select("query_id", "qv", "block", F.lit(None).cast("double").alias("floor"), F.col("first").alias("shard"))
@@ -200,7 +204,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                     at += [i] * n
             yield batch.select(["query_id", "qv", "block", "floor"]).take(pa.array(at, pa.int64())).append_column("shard", pa.array(to, pa.int32()))
 
-    asked = asked.join(floors, "query_id", "left").select("query_id", "qv", "block", "floor").mapInArrow(reached, "query_id long, qv array<double>, block int, floor double, shard int")
+    asked = cut(asked.join(floors, "query_id", "left").select("query_id", "qv", "block", "floor").mapInArrow(reached, "query_id long, qv array<double>, block int, floor double, shard int"))
     found = cells(sharded, asked)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
