@@ -12,10 +12,11 @@ verified on the texts by a banded bit-parallel edit distance.
 
 One pass over the texts makes the index and probe rows. They are hashed, packed by ranges of keys into
 byte strings, and dealt to one partition per range, where a sort brings equal segments together and
-repeats of a line fall away. A segment that very many different lines share is not compared there: its
-members leave in blocks of `block_rows`, and pairs of blocks are dealt to tasks of their own. Texts are
-never shuffled but for candidate lines: a Bloom filter of their places, of a fixed size, keeps the
-other lines from it.
+repeats of a line fall away. A segment that very many different lines share is neither held nor compared
+there: as soon as what a task holds passes `held_bytes`, such segments leave in blocks of `block_rows`, and
+so does what comes for them later; pairs of blocks are dealt to tasks of their own. Texts are never
+shuffled but for candidate lines: a Bloom filter of their places, sized by their number, keeps the other
+lines from it.
 
 A class is removed if a class within the threshold has an earlier first place; of the other classes
 the first place is kept.
@@ -42,8 +43,8 @@ BLOCK_CHARS = 1 << 18
 PACK_CHARS = 1 << 21
 #: Bytes of text for each range of keys; the keys of a range take at most 12 times as much.
 RANGE_BYTES = 1 << 23
-#: Bits of the filter of candidate lines.
-FILTER_BITS = 1 << 24
+#: Least and most bits of the filter of candidate lines; beyond 2^24 of these, more of the other lines pass it.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 KEYS = np.dtype([("key", "<u8"), ("id", "<i8"), ("sketch", "<u8")])
 PLACES = np.dtype([("doc_id", "<i8"), ("line_no", "<i4"), ("id", "<i8")])
@@ -200,8 +201,9 @@ def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray
         at = end
 
 
-def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int) -> DataFrame:
+def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int, held_bytes: int = 64 << 20) -> DataFrame:
     """kind, a, b, line_no, data: places (document, hash of the line, number), candidate pairs (hashes) and blocks of hot segments (key, block)."""
+    heavy_rows = 4 * block_rows
 
     def rows(kind, a, b, line=None, data=None):
         n = len(a)
@@ -211,26 +213,56 @@ def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int) ->
         )
 
     def joined(batches):
-        held: dict[int, list[np.ndarray]] = {INDEX: [], PROBE: []}
+        held: dict[int, np.ndarray] = {INDEX: np.zeros(0, KEYS), PROBE: np.zeros(0, KEYS)}
+        fresh: dict[int, list[np.ndarray]] = {INDEX: [], PROBE: []}
+        hot_keys, numbers = np.zeros(0, np.uint64), {}
+        size, limit = 0, held_bytes
+
+        def blocks(kind, own):
+            """The rows of one key, as blocks of it."""
+            key = own["key"][0]
+            for at in range(0, len(own), block_rows):
+                number = numbers[kind, int(key)] = numbers.get((kind, int(key)), -1) + 1
+                yield rows(kind, np.array([key]).view(np.int64), np.array([number]), data=[own[at : at + block_rows].tobytes()])
+
+        def let_out(least: int):
+            """Merges what came; rows of hot keys leave once there are `least` of a key. New hot keys are those of more than heavy_rows rows."""
+            nonlocal hot_keys, size
+            for kind in (INDEX, PROBE):
+                held[kind] = once(np.concatenate([held[kind], *fresh[kind]]))
+                fresh[kind] = []
+                keys, n = np.unique(held[kind]["key"], return_counts=True)
+                hot_keys = np.union1d(hot_keys, keys[n > heavy_rows])
+            for kind in (INDEX, PROBE):
+                keys, first, n = np.unique(held[kind]["key"], return_index=True, return_counts=True)
+                out = np.isin(keys, hot_keys) & (n >= least)
+                for at, count in zip(first[out].tolist(), n[out].tolist(), strict=True):
+                    yield from blocks(kind, held[kind][at : at + count])
+                held[kind] = held[kind][~np.repeat(out, n)]
+            size = sum(x.nbytes for x in held.values())
+
         for batch in batches:
             for kind, data in zip(batch["kind"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 if kind == OCCURRENCE:
                     places = np.frombuffer(data, PLACES)
                     yield rows(OCCURRENCE, np.ascontiguousarray(places["doc_id"]), np.ascontiguousarray(places["id"]), np.ascontiguousarray(places["line_no"]))
-                else:
-                    held[kind].append(np.frombuffer(data, KEYS))
-        if not (held[INDEX] and held[PROBE]):
-            return
-        index, probe = (once(np.concatenate(held.pop(kind))) for kind in (INDEX, PROBE))
+                    continue
+                fresh[kind].append(np.frombuffer(data, KEYS))
+                size += len(data)
+                if size > limit:
+                    yield from let_out(block_rows)
+                    # a range of many keys that are not hot stays, and is not gone through again for little
+                    limit = max(held_bytes, 2 * size)
+        yield from let_out(1)
+        index, probe = held.pop(INDEX), held.pop(PROBE)
         lo, hi = np.searchsorted(index["key"], probe["key"], "left"), np.searchsorted(index["key"], probe["key"], "right")
         some = hi > lo
         probe, lo, hi = probe[some], lo[some], hi[some]
-        keys, first, n = np.unique(probe["key"], return_index=True, return_counts=True)
+        _, first, n = np.unique(probe["key"], return_index=True, return_counts=True)
         crowded = (hi - lo)[first] * n > hot
-        for key, at, size in zip(keys[crowded].tolist(), first[crowded].tolist(), n[crowded].tolist(), strict=True):
-            for kind, own in ((INDEX, index[lo[at] : hi[at]]), (PROBE, probe[at : at + size])):
-                for block in range(-(-len(own) // block_rows)):
-                    yield rows(kind, np.array([key], np.uint64).view(np.int64), np.array([block]), data=[own[block * block_rows : (block + 1) * block_rows].tobytes()])
+        for at, count in zip(first[crowded].tolist(), n[crowded].tolist(), strict=True):
+            for kind, own in ((INDEX, index[lo[at] : hi[at]]), (PROBE, probe[at : at + count])):
+                yield from blocks(kind, own)
         cool = ~np.repeat(crowded, n)
         for pairs in matches(probe[cool], lo[cool], hi[cool], index, threshold):
             if len(pairs):
@@ -273,17 +305,18 @@ def place_hash(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def lines_at(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, line of the lines at the places (doc_id, line_no), and of few others."""
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * places.count()).bit_length()))
 
     def marked(batches):
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits = np.zeros(n_bits // 64, np.uint64)
         for batch in batches:
-            at = place_hash(batch["doc_id"].to_numpy(), batch["line_no"].to_numpy()) % np.uint64(FILTER_BITS)
+            at = place_hash(batch["doc_id"].to_numpy(), batch["line_no"].to_numpy()) % np.uint64(n_bits)
             np.bitwise_or.at(bits, (at // np.uint64(64)).astype(np.int64), np.uint64(1) << (at % np.uint64(64)))
         word = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits[word].view(np.int64))], names=["word", "bits"])
 
     made = places.select("doc_id", "line_no").mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words = np.zeros(n_bits // 64, np.uint64)
     words[made["word"].to_numpy()] = made["bits"].to_numpy().astype(np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -294,7 +327,7 @@ def lines_at(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) ->
             n = np.array([t.count("\n") + 1 for t in texts], np.int64)
             before = np.cumsum(n) - n
             line = np.arange(n.sum()) - np.repeat(before, n)
-            at = place_hash(np.repeat(part["doc_id"].to_numpy(), n), line) % np.uint64(FILTER_BITS)
+            at = place_hash(np.repeat(part["doc_id"].to_numpy(), n), line) % np.uint64(n_bits)
             hit = np.flatnonzero((bits[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1))
             wanted: dict[int, list[int]] = {}
             for i, number in zip((np.searchsorted(before, hit, "right") - 1).tolist(), line[hit].tolist(), strict=True):
@@ -329,7 +362,7 @@ def classes_and_links(docs: DataFrame, threshold: int, min_chars: int, hot: int,
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     again = every.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     own = cut(spread_join(every, small_side(again.unionByName(ends).distinct()), ["id"]))
-    firsts = own.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("first.*")
+    firsts = cut(own.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("first.*"))
     lines = cut(lines_at(docs, firsts, id_col, text_col))
     return every, own, cut(verified(pairs, lines, threshold))
 

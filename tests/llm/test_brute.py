@@ -210,6 +210,34 @@ def test_segment_that_many_lines_share(spark):
         assert expect == {frozenset((by_id[r["a"]], by_id[r["b"]])) for r in linedup.links(d, **kw).collect()}
 
 
+def test_hot_segments_leave_before_a_range_is_whole(spark):
+    """Rows of one segment that come in many pieces: the same pairs, whether a task may hold all of them or hardly any."""
+    rng = np.random.default_rng(5)
+    n = 6000
+    rows = np.zeros(n, linedup.KEYS)
+    rows["key"] = np.where(rng.random(n) < 0.7, 7, rng.integers(100, 140, n))
+    rows["id"], rows["sketch"] = rng.integers(0, 3000, n), rng.integers(0, 16, n) << 8
+    pieces = [(0, int(rng.choice([linedup.INDEX, linedup.PROBE])), rows[i : i + 50].tobytes()) for i in range(0, n, 50)]
+    packed = spark.createDataFrame(pieces, "range int, kind int, data binary").coalesce(1)
+
+    def pairs(**kw):
+        found = linedup.found_rows(packed, 2, 1 << 40, 128, **kw).cache()
+        blocks = found.where(F.col("kind") == linedup.INDEX).select(F.max(F.octet_length("data")), F.count("*")).first()
+        every = found.where(F.col("kind") == linedup.PAIR).select("a", "b").unionByName(linedup.hot_pairs(found, 2)).distinct()
+        return sorted(map(tuple, every.collect())), blocks
+
+    (whole, none), (small, some) = pairs(held_bytes=1 << 40), pairs(held_bytes=1 << 14)
+    expect = set()
+    of = lambda kind: np.concatenate([np.frombuffer(d, linedup.KEYS) for _, k, d in pieces if k == kind])
+    index, probe = of(linedup.INDEX), of(linedup.PROBE)
+    for key in np.unique(rows["key"]):
+        a, b = linedup.once(probe[probe["key"] == key]), linedup.once(index[index["key"] == key])
+        near = np.bitwise_count(a["sketch"][:, None] ^ b["sketch"][None, :]) <= 8
+        expect |= {(min(x, y), max(x, y)) for x, y in zip(a["id"][np.nonzero(near)[0]].tolist(), b["id"][np.nonzero(near)[1]].tolist(), strict=True) if x != y}
+    assert whole == small == sorted(expect)
+    assert some[1] > none[1] and some[0] <= 128 * linedup.KEYS.itemsize
+
+
 def test_document_lines(spark):
     rng = random.Random(8)
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))) for _ in range(60)]
