@@ -187,8 +187,11 @@ def mixed_units(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 def with_rare_partners(units: DataFrame, sets: DataFrame, percent: int, crowded: int) -> DataFrame:
     """The units without members that can link nothing; units of at most `crowded` members to look for stay as they are."""
-    sizes = units.groupBy("unit").agg(F.count_if("few").alias("n"))
-    many = small_side(sizes.where(F.col("n") > crowded).select("unit"))
+    units = cut(units)
+    many = cut(units.groupBy("unit").agg(F.count_if("few").alias("n")).where(F.col("n") > crowded).select("unit"))
+    if many.isEmpty():
+        return units
+    many = small_side(many)
     calm, busy = units.join(many, "unit", "left_anti"), units.join(many, "unit", "left_semi")
 
     def spread_out(batches):
@@ -210,7 +213,7 @@ def with_rare_partners(units: DataFrame, sets: DataFrame, percent: int, crowded:
     keys = cut(own.select("unit", "id", "part", "few", F.explode(F.slice("keys", F.lit(1), first)).alias("key")).select("unit", "id", "part", "few", "key.shingle"))
     live = keys.groupBy("unit", "shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("few").alias("few")).where("few and lo < hi").select("unit", "shingle")
     left = spread_join(keys, live, ["unit", "shingle"]).select("unit", "id", "part", "few").distinct()
-    return calm.unionByName(left)
+    return cut(calm.unionByName(left))
 
 
 def blocks_of_units(units: DataFrame, sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
@@ -252,7 +255,7 @@ def block_links(few: list[dict], all_: list[dict], percent: int) -> list[tuple[i
 
 def rest_links(units: DataFrame, sets: DataFrame, percent: int, block_rows: int = 512, block_bytes: int = 1 << 21) -> DataFrame:
     """src, dst: links between different parts of the same unit, enough of them to join all parts that links join."""
-    held = cut(blocks_of_units(cut(with_rare_partners(units, sets, percent, block_rows)), sets, block_rows, block_bytes))
+    held = cut(blocks_of_units(with_rare_partners(units, sets, percent, block_rows), sets, block_rows, block_bytes))
     # a unit of one block meets itself; of several, each block with members to look for meets every block
     alone = held.where("blocks = 1").select("members", F.lit(None).cast(held.schema["members"].dataType).alias("others"))
     asked = held.where(F.col("blocks") > 1).where(F.exists("members", lambda x: x["few"]))
