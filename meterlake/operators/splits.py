@@ -20,7 +20,7 @@ def hash_order(id_col: Column | str, seed: int) -> Column:
 def ranked(ids: DataFrame, id_col: str, seed: int) -> DataFrame:
     """ids with place (from 0 in hash order) and total."""
     order = hash_order(id_col, seed)
-    ranges = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
+    ranges = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
     placed = running_sums(ids.select(id_col), ranges, [order, id_col], {"place": F.lit(1)})
     return placed.select(id_col, "place", F.col("place_total").alias("total"))
 
@@ -83,7 +83,7 @@ def split_fixed(df: DataFrame, lists: DataFrame) -> DataFrame:
 def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """All rows in hash order, with their place from 1 in it."""
     order = hash_order(id_col, seed)
-    ranges = F.conv(F.substring(order, 1, 3), 16, 10).cast("int")
+    ranges = F.conv(F.substring(order, 1, 4), 16, 10).cast("int")
     placed = running_sums(df, ranges, [order, id_col], {"place": F.lit(1)}).drop("place_total")
     return placed.withColumn("place", (F.col("place") + 1).cast("long")).orderBy("place")
 

@@ -65,7 +65,7 @@ def s2_format(spark, sf):
     path = scratch(spark)
     names = _channels(spark, sf)
     doubled = names.unionByName(names.withColumn("channel", F.col("channel") + 100))
-    readings(spark, sf).select("house").distinct().crossJoin(F.broadcast(doubled)).select("house", "channel", "appliance").write.partitionBy("house").option("sep", " ").csv(path)
+    readings(spark, sf).select("house").distinct().crossJoin(doubled).select("house", "channel", "appliance").write.partitionBy("house").option("sep", " ").csv(path)
     return spark.read.format("meter_labels").load(path).where("house = 2")
 
 
