@@ -141,10 +141,10 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def is_forest_of_stars(edges: DataFrame) -> bool:
-    """Does each u stand once, and never as a v?"""
-    if not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return False
-    return edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+    """Does each u stand once, and never as a v? One job, which gives one number."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("end")), F.struct(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("end")))).alias("e")).select("e.*")
+    each = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("end").alias("end"))
+    return not each.agg(F.count_if((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("end") > 0)))).first()[0]
 
 
 def components(links: DataFrame, max_steps: int = 50) -> DataFrame:
@@ -189,9 +189,10 @@ def with_rare_partners(units: DataFrame, sets: DataFrame, percent: int, crowded:
     """The units without members that can link nothing; units of at most `crowded` members to look for stay as they are."""
     units = cut(units)
     many = cut(units.groupBy("unit").agg(F.count_if("few").alias("n")).where(F.col("n") > crowded).select("unit"))
-    if many.isEmpty():
+    n = many.count()
+    if not n:
         return units
-    many = small_side(many)
+    many = F.broadcast(many) if n <= 1_000_000 else many
     calm, busy = units.join(many, "unit", "left_anti"), units.join(many, "unit", "left_semi")
 
     def spread_out(batches):
