@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterlake.functions import calendar as C, metrics as M, numeric as N
 from meterlake.operators import align as J, evaluate as E, models as X, regularise as R, runs as U, scaling as K, splits as L, status as S, windows as W
 from meterlake.plans.profiles import Profile, Rules, prepare
-from meterlake.operators.ordered import running_sums, score_ranges
+from meterlake.operators.ordered import running_sums, value_ranges
 from meterlake.sources import known, readings as IN, results as OUT
 from meterlake.sources.folders import shared_folder
 
@@ -235,7 +235,7 @@ def test_running_sums_are_those_of_one_window(spark):
     df = spark.createDataFrame([(None if a is None else float(a), b, i) for i, (a, b) in enumerate(rows)], "s double, v long, i long").where("s is not null")
     for descending in (False, True):
         order = [F.desc("s") if descending else F.col("s"), F.col("i")]
-        found = running_sums(df, score_ranges(df, "s", 7, descending), order, {"before": F.col("v")}).collect()
+        found = running_sums(value_ranges(df, "s", 7, 2, descending), F.col("value_range"), order, {"before": F.col("v")}).collect()
         kept = sorted((r for r in df.collect()), key=lambda r: (-r["s"] if descending else r["s"], r["i"]))
         at, expect = 0, {}
         for r in kept:
