@@ -37,19 +37,22 @@ def share(a: Column, b: Column) -> Column:
     return F.coalesce(ratio(a, b), F.lit(0.0))
 
 
-def states(s: Column | str = "s", q: Column | str = "q") -> dict[str, Column]:
-    """accuracy, balanced_accuracy, precision, recall, f1, f1_macro."""
+def states(s: Column | str = "s", q: Column | str = "q", both: bool = False) -> dict[str, Column]:
+    """accuracy, balanced_accuracy, precision, recall, f1, f1_macro.
+
+    A class that occurs neither in truth nor in prediction has no part in the macro mean; with both, it counts 0 there.
+    """
     tp, fp, fn, tn = counts(s, q)
     on, off = ratio(tp, tp + fn), ratio(tn, tn + fp)
     f1, f0 = share(2 * tp, 2 * tp + fp + fn), share(2 * tn, 2 * tn + fn + fp)
-    # a class that occurs neither in truth nor in prediction has no part in the macro mean
+    mean = (f1 + f0) / 2
     return {
         "accuracy": ratio(tp + tn, tp + fp + fn + tn),
         "balanced_accuracy": F.when(on.isNull(), off).when(off.isNull(), on).otherwise((on + off) / 2),
         "precision": share(tp, tp + fp),
         "recall": share(tp, tp + fn),
         "f1": f1,
-        "f1_macro": F.when(tp + fp + fn == 0, f0).when(tn + fp + fn == 0, f1).otherwise((f1 + f0) / 2),
+        "f1_macro": mean if both else F.when(tp + fp + fn == 0, f0).when(tn + fp + fn == 0, f1).otherwise(mean),
     }
 
 

@@ -9,9 +9,9 @@ from meterlake.functions.numeric import ratio
 from meterlake.operators.ordered import running_sums, value_ranges
 
 
-def per_step(df: DataFrame, by: list[str] = (), digits: int | None = 3) -> DataFrame:
-    """All metrics over steps. df: y, p, s (true state), q (predicted state)."""
-    cols = M.bundle(M.regression() | M.energy() | M.states(), digits)
+def per_step(df: DataFrame, by: list[str] = (), digits: int | None = 3, both: bool = False) -> DataFrame:
+    """All metrics over steps. df: y, p, s (true state), q (predicted state). both: as in metrics.states."""
+    cols = M.bundle(M.regression() | M.energy() | M.states(both=both), digits)
     return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 
 
