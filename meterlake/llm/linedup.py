@@ -10,6 +10,11 @@ must share a segment. A pair that shares one must also agree in a 64-bit parity
 pairs up to 4 bits per edit, a test which never loses a pair within the threshold. What passes is
 verified on the texts by a banded bit-parallel edit distance.
 
+Pairs are no rows of the marks of lines. What passes the sketch makes a line a member of the group of that
+segment, a group of many members is tiled, and each member takes its text to its groups once. A task holds one
+group, compares all of it, and gives one row a member: the number of its links and the earliest of them. A pair that
+meets in several groups counts in the smallest number of a group that both are in. Only `links` gives pairs.
+
 One pass over the texts makes the index and probe rows. They are hashed, packed by ranges of keys into
 byte strings, and dealt to one partition per range, where a sort brings equal segments together and
 repeats of a line fall away. A segment that very many different lines share is neither held nor compared
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from meterlake.llm import words as W
-from meterlake.llm.tasks import columns_of, cut, in_small_batches, parts, small_side, spread_join
+from meterlake.llm.tasks import columns_of, cut, in_small_batches, parts, parts_of_size, small_side, spread_join
 
 #: Characters that one block holds at most, but for a single longer line.
 BLOCK_CHARS = 1 << 18
@@ -45,6 +50,8 @@ PACK_CHARS = 1 << 21
 RANGE_BYTES = 1 << 23
 #: Least and most bits of the filter of candidate lines; beyond 2^24 of these, more of the other lines pass it.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Members of a tile of a group: a group holds at most two tiles.
+TILE = 1024
 
 KEYS = np.dtype([("key", "<u8"), ("id", "<i8"), ("sketch", "<u8")])
 PLACES = np.dtype([("doc_id", "<i8"), ("line_no", "<i4"), ("id", "<i8")])
@@ -79,6 +86,12 @@ class Lines:
         all_before = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, np.uint64)
         return all_before[self.starts + self.sizes - 1] ^ all_before[self.starts]
 
+    def letters(self) -> np.ndarray:
+        """Per line the XOR of one bit per character; one edit flips at most 2 bits."""
+        bits = np.uint64(1) << (W.mix(self.codes) >> np.uint64(58))
+        all_before = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)])
+        return all_before[self.starts + self.sizes] ^ all_before[self.starts]
+
 
 def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of segment i of lines of these lengths; the longer segments come last."""
@@ -124,7 +137,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
 
 
-OCCURRENCE, INDEX, PROBE, PAIR = range(4)
+OCCURRENCE, INDEX, PROBE, PAIR, MEMBER = range(5)
 
 
 def packed_rows(texts: DataFrame, threshold: int, min_chars: int, ranges: int) -> DataFrame:
@@ -186,8 +199,8 @@ def once(rows: np.ndarray) -> np.ndarray:
     return rows[new]
 
 
-def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, most: int = 1 << 19) -> Iterator[np.ndarray]:
-    """Pairs (smaller id, larger id) of each probe with the index rows lo .. hi whose sketches allow the threshold."""
+def near(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in probe, places in index) of each probe with the index rows lo .. hi of other lines whose sketches allow the threshold."""
     total = np.cumsum(hi - lo)
     at = 0
     while at < len(probe):
@@ -195,14 +208,46 @@ def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray
         n = (hi - lo)[at:end]
         a = np.repeat(np.arange(at, end), n)
         b = np.repeat(lo[at:end] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        near = np.bitwise_count(probe["sketch"][a] ^ index["sketch"][b]) <= 4 * threshold
-        a, b = probe["id"][a[near]], index["id"][b[near]]
-        yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+        kept = (np.bitwise_count(probe["sketch"][a] ^ index["sketch"][b]) <= 4 * threshold) & (probe["id"][a] != index["id"][b])
+        yield a[kept], b[kept]
         at = end
 
 
-def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int, held_bytes: int = 64 << 20) -> DataFrame:
-    """kind, a, b, line_no, data: places (document, hash of the line, number), candidate pairs (hashes) and blocks of hot segments (key, block)."""
+def matches(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int) -> Iterator[np.ndarray]:
+    """Pairs (smaller id, larger id) of near."""
+    for a, b in near(probe, lo, hi, index, threshold):
+        a, b = probe["id"][a], index["id"][b]
+        yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def tiled(groups: np.ndarray, ids: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, ids): a group of over `tile` members as groups of two tiles of it each, so that any two members meet. Sorted by group."""
+    _, first, n = np.unique(groups, return_index=True, return_counts=True)
+    large = n > tile
+    out = [(groups[~np.repeat(large, n)], ids[~np.repeat(large, n)])]
+    for at, count in zip(first[large].tolist(), n[large].tolist(), strict=True):
+        tiles = [ids[x : min(x + tile, at + count)] for x in range(at, at + count, tile)]
+        for i in range(len(tiles)):
+            for j in range(i + 1, len(tiles)):
+                own = np.concatenate([tiles[i], tiles[j]])
+                out.append((np.full(len(own), W.mix(groups[at : at + 1] + np.uint64(i * len(tiles) + j + 1))[0]), own))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def members(probe: np.ndarray, lo: np.ndarray, hi: np.ndarray, index: np.ndarray, threshold: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, ids) of the lines that near gives, by the keys of their rows."""
+    found = [np.zeros(0, KEYS)]
+    for a, b in near(probe, lo, hi, index, threshold):
+        found.append(once(np.concatenate([probe[np.unique(a)], index[np.unique(b)]])))
+    own = once(np.concatenate(found))
+    return tiled(own["key"], own["id"], tile)
+
+
+def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int, held_bytes: int = 64 << 20, grouped: bool = False) -> DataFrame:
+    """kind, a, b, line_no, data: places (document, hash of the line, number), candidate pairs (hashes) and blocks of hot segments (key, block).
+
+    grouped: members of groups (group, hash) take the place of pairs.
+    """
     heavy_rows = 4 * block_rows
 
     def rows(kind, a, b, line=None, data=None):
@@ -264,6 +309,10 @@ def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int, hel
             for kind, own in ((INDEX, index[lo[at] : hi[at]]), (PROBE, probe[at : at + count])):
                 yield from blocks(kind, own)
         cool = ~np.repeat(crowded, n)
+        if grouped:
+            groups, ids = members(probe[cool], lo[cool], hi[cool], index, threshold)
+            yield rows(MEMBER, groups.view(np.int64), ids)
+            return
         for pairs in matches(probe[cool], lo[cool], hi[cool], index, threshold):
             if len(pairs):
                 yield rows(PAIR, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
@@ -271,8 +320,8 @@ def found_rows(packed: DataFrame, threshold: int, hot: int, block_rows: int, hel
     return packed.mapInArrow(joined, "kind int, a long, b long, line_no int, data binary")
 
 
-def hot_pairs(found: DataFrame, threshold: int) -> DataFrame:
-    """a, b: candidate pairs of the segments that many lines share, one pair of blocks a row."""
+def hot_pairs(found: DataFrame, threshold: int, grouped: bool = False) -> DataFrame:
+    """a, b: candidate pairs, or members of groups, of the segments that many lines share, one pair of blocks a row."""
     side = lambda kind, name: found.where(F.col("kind") == kind).select(F.col("a").alias("key"), F.col("data").alias(name))
     pairs = spread_join(side(PROBE, "probe"), side(INDEX, "index"), ["key"])
 
@@ -280,21 +329,31 @@ def hot_pairs(found: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 probe, index = (np.frombuffer(batch[c][i].as_py(), KEYS) for c in ("probe", "index"))
-                for p in matches(probe, np.zeros(len(probe), np.int64), np.full(len(probe), len(index)), index, threshold):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+                all_of = probe, np.zeros(len(probe), np.int64), np.full(len(probe), len(index)), index, threshold
+                if grouped:
+                    # each pair of blocks is a group of its own
+                    groups, ids = members(*all_of)
+                    made = [(W.mix(groups + np.uint64(batch["at"][i].as_py() % (1 << 64))).view(np.int64), ids)]
+                else:
+                    made = ((np.ascontiguousarray(p[:, 0]), np.ascontiguousarray(p[:, 1])) for p in matches(*all_of))
+                for a, b in made:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     # pairs of blocks are dealt to tasks one by one
-    return pairs.select("probe", "index").repartition(F.xxhash64("probe", "index")).mapInArrow(compared, "a long, b long")
+    at = F.xxhash64("probe", "index")
+    return pairs.select("probe", "index", at.alias("at")).repartition("at").mapInArrow(compared, "a long, b long")
 
 
-def find(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line_no, id of every line that takes part; a, b: candidate pairs, each once)."""
+def find(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str, grouped: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line_no, id of every line that takes part; a, b: candidate pairs, each once, or group and id of members)."""
     texts, spark = _texts(docs, id_col, text_col), docs.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
     packed = packed_rows(texts, threshold, min_chars, ranges)
-    found = cut(found_rows(packed.repartitionById(ranges, F.col("range")), threshold, hot, block_rows))
+    found = cut(found_rows(packed.repartitionById(ranges, F.col("range")), threshold, hot, block_rows, grouped=grouped))
     every = found.where(F.col("kind") == OCCURRENCE).select(F.col("a").alias("doc_id"), "line_no", F.col("b").alias("id"))
+    if grouped:
+        return every, found.where(F.col("kind") == MEMBER).select(F.col("a").alias("group"), F.col("b").alias("id")).unionByName(hot_pairs(found, threshold, True).toDF("group", "id"))
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").unionByName(hot_pairs(found, threshold)).distinct()
     return every, cut(pairs)
 
@@ -356,20 +415,79 @@ def verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "line_a", "line_b").mapInArrow(compared, "a long, b long, distance int")
 
 
-def classes_and_links(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(every line's place; places of repeated and candidate lines; a, b, distance of different lines within the threshold)."""
-    every, pairs = find(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    again = every.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    own = cut(spread_join(every, small_side(again.unionByName(ends).distinct()), ["id"]))
-    firsts = cut(own.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("first.*"))
-    lines = cut(lines_at(docs, firsts, id_col, text_col))
-    return every, own, cut(verified(pairs, lines, threshold))
+def firsts_of(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, doc_id, line_no: where the lines of these ids stand first."""
+    return cut(own.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select("id", "first.*"))
 
 
 def links(docs: DataFrame, threshold: int = 2, min_chars: int = 30, hot: int = 1 << 26, block_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b, distance: pairs of different lines (hashes) within the threshold, each once."""
-    return classes_and_links(docs, threshold, min_chars, hot, block_rows, id_col, text_col)[2]
+    every, pairs = find(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    lines = cut(lines_at(docs, firsts_of(every, ends), id_col, text_col))
+    return cut(verified(pairs, lines, threshold))
+
+
+def linked(dealt: DataFrame, threshold: int) -> DataFrame:
+    """id, n_links, doc_id, line_no: per member of a group that has any, its links that count there and the earliest place of them.
+
+    dealt: group, id, line, doc_id, line_no (the line's first place), groups (all of the line's); the rows of a group follow each other.
+    """
+
+    def pairs_of(rows):
+        sketch, letters = np.array([r[-2] for r in rows], np.uint64), np.array([r[-1] for r in rows], np.uint64)
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        step = max(1, (1 << 19) // len(rows))
+        for lo in range(0, len(rows), step):
+            at = slice(lo, lo + step)
+            close = (np.bitwise_count(sketch[at, None] ^ sketch) <= 4 * threshold) & (np.bitwise_count(letters[at, None] ^ letters) <= 2 * threshold)
+            i, j = np.nonzero(close & (np.abs(size[at, None] - size) <= threshold))
+            i += lo
+            yield from zip(i[i < j].tolist(), j[i < j].tolist(), strict=True)
+
+    def compared(rows):
+        sets = [set(r[5]) for r in rows]
+        found: dict[int, list] = {}
+        for i, j in pairs_of(rows):
+            if min(sets[i] & sets[j]) == rows[i][0] and within(rows[i][2], rows[j][2], threshold) <= threshold:
+                for x, y in ((i, j), (j, i)):
+                    n, other = found.get(x, (0, rows[y][3:5]))
+                    found[x] = n + 1, min(other, rows[y][3:5])
+        return [(rows[x][1], n, *other) for x, (n, other) in found.items()]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["id", "n_links", "doc_id", "line_no"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for part in parts_of_size(batch, "line", BLOCK_CHARS):
+                lines = Lines(part["line"].to_pylist())
+                columns = [part[c].to_pylist() for c in ("group", "id", "line", "doc_id", "line_no", "groups")]
+                for row in zip(*columns, lines.parity().tolist(), lines.letters().tolist(), strict=True):
+                    if held and held[0][0] != row[0]:
+                        out += compared(held)
+                        held = []
+                    held.append(row)
+            yield batch_of(out)
+        if held:
+            yield batch_of(compared(held))
+
+    return dealt.select("group", "id", "line", "doc_id", "line_no", "groups").mapInArrow(run, "id long, n_links long, doc_id long, line_no int")
+
+
+def classes_and_ends(docs: DataFrame, threshold: int, min_chars: int, hot: int, block_rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every line's place; places of repeated and candidate lines; id, n_links, other: lines within the threshold of different ones, how many, and the earliest place of these)."""
+    every, found = find(docs, threshold, min_chars, hot, block_rows, id_col, text_col, grouped=True)
+    groups = cut(found.groupBy("id").agg(F.collect_set("group").alias("groups")))
+    again = every.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    own = cut(spread_join(every, small_side(again.unionByName(groups.select("id")).distinct()), ["id"]))
+    firsts = firsts_of(own, groups.select("id"))
+    lines = lines_at(docs, firsts, id_col, text_col).join(firsts, "id").join(groups, "id")
+    dealt = lines.select(F.explode("groups").alias("group"), "*").repartition("group").sortWithinPartitions("group")
+    ends = linked(dealt, threshold).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "line_no")).alias("other"))
+    return every, own, cut(ends)
 
 
 def within(a: str, b: str, threshold: int) -> int:
@@ -416,14 +534,12 @@ def within(a: str, b: str, threshold: int) -> int:
     return next((e for e in range(threshold + 1) if reach[e] & goal), threshold + 1)
 
 
-def marks_of(own: DataFrame, found: DataFrame) -> DataFrame:
+def marks_of(own: DataFrame, ends: DataFrame) -> DataFrame:
     """doc_id, line_no, removed, n_links, first_doc_id: every line that is removed or has links to different lines.
 
     first_doc_id: where the line, or the earliest line within the threshold, stands first.
     """
     classes = own.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ends = both.join(classes.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("other")).withColumnRenamed("a", "id")
     marked = classes.join(ends, "id", "left").where("n > 1 or n_links is not null")
     marked = marked.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.least("first", "other").alias("earliest"))
     here = F.struct("doc_id", "line_no")
@@ -433,8 +549,8 @@ def marks_of(own: DataFrame, found: DataFrame) -> DataFrame:
 
 def line_marks(docs: DataFrame, threshold: int = 2, min_chars: int = 30, hot: int = 1 << 26, block_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As marks_of, for the lines of docs."""
-    _, own, found = classes_and_links(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
-    return marks_of(own, found)
+    _, own, ends = classes_and_ends(docs, threshold, min_chars, hot, block_rows, id_col, text_col)
+    return marks_of(own, ends)
 
 
 def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -442,8 +558,8 @@ def document_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 30, id_
 
     n_lines counts the lines that take part. Rows that repeat an id each report the figures of the id.
     """
-    every, own, found = classes_and_links(docs, threshold, min_chars, 1 << 26, 8192, id_col, text_col)
-    marks = marks_of(own, found)
+    every, own, ends = classes_and_ends(docs, threshold, min_chars, 1 << 26, 8192, id_col, text_col)
+    marks = marks_of(own, ends)
     per = marks.groupBy("doc_id").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_doc_id")))).alias("first_doc_ids"))
     sizes = every.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(sizes, "doc_id", "left").join(per, "doc_id", "left")

@@ -1,6 +1,7 @@
 """Operators against plain brute-force versions on small tables."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -258,6 +259,45 @@ def test_document_lines(spark):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"], r["first_doc_ids"]) for r in found.collect()} == expect
 
 
+def test_rows_of_a_group_of_near_lines(spark, monkeypatch):
+    """Lines of one template with another short word, and lines that are all links of each other: no table has a row for each pair."""
+    rng = random.Random(9)
+    words = rng.sample(["".join(x) for x in itertools.product("bcdfghjk", repeat=3)], 300)
+    template = [f"the same long opening of every line {w} and the same long end of it" for w in words]
+    base = "another line that stands in many copies of which each has another letter changed somewhere" * 3
+    near = [base[:i] + "#" + base[i + 1 :] for i in range(150)]
+    lines = template + near
+    close = {x: [y for y in lines if x != y and abs(len(x) - len(y)) <= 2 and linedup.within(x, y, 2) <= 2] for x in lines}
+    rows, cut = [], linedup.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(linedup, "cut", counted)
+    found = linedup.document_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_links"] for r in found} == {i: len(close[x]) for i, x in enumerate(lines)}
+    assert all(len(close[x]) >= 149 for x in near) and max(rows) < 20 * len(lines)
+
+
+def test_tiles_of_a_group(spark):
+    """Any two members of a group meet in some tile, and a pair that meets in several counts once."""
+    rng = random.Random(10)
+    base = "a line that stands in several copies of which some are near to each other"
+    lines = sorted({edited(rng, base, rng.randint(0, 3)) for _ in range(40)})
+    ids = np.arange(len(lines))
+    for tile in (3, 7, 1000):
+        groups, own = linedup.tiled(np.full(len(ids), 5, np.uint64), ids, tile)
+        meet = {(a, b) for g in np.unique(groups) for a in own[groups == g] for b in own[groups == g] if a < b}
+        assert len(meet) == len(lines) * (len(lines) - 1) // 2 and max(np.unique(groups, return_counts=True)[1]) <= max(2 * tile, len(lines) * (tile == 1000))
+        of = {i: [int(g) for g in groups[own == i].view(np.int64)] for i in ids.tolist()}
+        dealt = spark.createDataFrame([(g, i, lines[i], i, 0, of[i]) for i in of for g in of[i]], "group long, id long, line string, doc_id long, line_no int, groups array<long>")
+        found = linedup.linked(dealt.repartition("group").sortWithinPartitions("group"), 2).groupBy("id").agg(F.sum("n_links").alias("n"), F.min("doc_id").alias("first"))
+        close = {i: [j for j in of if i != j and distance(lines[i], lines[j]) <= 2] for i in of}
+        assert {r["id"]: (r["n"], r["first"]) for r in found.collect()} == {i: (len(x), min(x)) for i, x in close.items() if x}
+
+
 def test_lines_removed(spark):
     line = "this is a line of more than thirty characters"
     d = spark.createDataFrame([(1, f"{line}\nshort\n{line}"), (2, f"short\n{line.upper()}  \nkeep"), (3, f"{line}x"), (4, None)], "doc_id long, text string")
